@@ -1,315 +1,293 @@
-"""Rule application: semantic labels, contextual result, success, operational result."""
+"""Rule application: semantic labels, contextual result, success, operational result.
+
+A rule hit is kept as the position of the rule; labels are looked up in one literal table at
+the end. The stages expect the columns (or struct fields) ``mensagem``, ``codigo`` and
+``funcionalidade``; the last may also be a column outside the array.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from returnlens.functions import rules
-from returnlens.functions.text import (
-    bind,
-    contains_any,
-    has_negation,
-    mask_message,
-    matches_any,
-    matches_prefix,
-    strip,
-)
+from returnlens.functions.sqltext import Ref, Stage, case, contains_any, text, text_list
+from returnlens.functions.text import fold, has_negation, mask_stages, matches_any, matches_prefix, strip
 
 # Positions in the label table: the rules, then the two outcomes without a rule.
 UNCATEGORISED_INDEX = len(rules.SEMANTIC_RULES)
 EMPTY_INDEX = UNCATEGORISED_INDEX + 1
 
+LABEL_FIELDS = ("categoria", "template", "descricao", "severidade", "orientacao", "causa", "codigo", "rotulo_severidade")
+RESULT_FIELDS = ("resultado_operacional", "tipo_erro_tecnico", "severidade")
+
+
+def _table(rows: list[tuple], names: tuple[str, ...]) -> str:
+    """Array of structs as one literal; the optimizer folds the parsing away."""
+    fields = ",".join(f"{name}:string" for name in names)
+    return f"from_json({text(json.dumps([dict(zip(names, row)) for row in rows]))}, 'array<struct<{fields}>>')"
 
-def _lookup(table: Mapping[str, str], key: Column, default: str) -> Column:
-    entries = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    return F.coalesce(F.try_element_at(entries, key), F.lit(default))
 
+def _lookup(table: Mapping[str, str], key: str, default: str) -> str:
+    entries = "map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in table.items()) + ")"
+    return f"coalesce(try_element_at({entries}, {key}), {text(default)})"
 
-def category_severity(category: Column) -> Column:
+
+def category_severity(category: str) -> str:
     """Severity word of a category."""
     return _lookup(rules.SEVERITY_BY_CATEGORY, category, rules.DEFAULT_SEVERITY)
 
 
-def category_guidance(category: Column) -> Column:
+def category_guidance(category: str) -> str:
     """Corrective action of a category."""
     return _lookup(rules.GUIDANCE_BY_CATEGORY, category, rules.DEFAULT_GUIDANCE)
 
 
-def severity_label(severity: Column) -> Column:
+def severity_label(severity: str) -> str:
     """Normalised severity: CRITICO, ALTO, MEDIO, BAIXO or INFO."""
-    word = F.upper(severity)
-    found = [F.when(word.contains(part), F.lit(label)) for part, label in rules.SEVERITY_LABELS]
-    return F.coalesce(*found, F.lit(rules.DEFAULT_SEVERITY_LABEL))
-
-
-def _label_table() -> Column:
-    """Labels by position; all literals, folded once by the optimizer."""
-
-    def entry(category, template, description, severity, guidance, cause, code):
-        values = {"categoria": category, "template": template, "descricao": description, "severidade": severity,
-                  "orientacao": guidance, "causa": cause, "codigo": code}
-        return F.struct(*(F.lit(v).cast("string").alias(k) for k, v in values.items()))
-
-    entries = [
-        entry(
-            r.category,
-            r.template,
-            r.description,
-            r.severity or rules.SEVERITY_BY_CATEGORY.get(r.category, rules.DEFAULT_SEVERITY),
-            r.guidance or rules.GUIDANCE_BY_CATEGORY.get(r.category, rules.DEFAULT_GUIDANCE),
-            r.cause or r.category,
-            r.code,
-        )
-        for r in rules.SEMANTIC_RULES
-    ]
+    branches = [(f"contains(upper({severity}), {text(part)})", text(label)) for part, label in rules.SEVERITY_LABELS]
+    return case(branches, text(rules.DEFAULT_SEVERITY_LABEL))
+
+
+def _label_of(severity: str) -> str:
+    """The same on a known word."""
+    return next((label for part, label in rules.SEVERITY_LABELS if part in severity), rules.DEFAULT_SEVERITY_LABEL)
+
+
+def _label_rows() -> list[tuple]:
     other = rules.UNCATEGORISED
-    entries.append(entry(other, other, None, rules.SEVERITY_BY_CATEGORY[other], rules.GUIDANCE_BY_CATEGORY[other],
-                         other, None))
-    entries.append(entry(other, other, rules.EMPTY_DESCRIPTION, rules.EMPTY_SEVERITY,
-                         rules.GUIDANCE_BY_CATEGORY[rules.EMPTY_GUIDANCE_CATEGORY], other, rules.UNCATEGORISED_CODE))
-    return F.array(*entries)
+    rows = []
+    for r in rules.SEMANTIC_RULES:
+        severity = r.severity or rules.SEVERITY_BY_CATEGORY.get(r.category, rules.DEFAULT_SEVERITY)
+        guidance = r.guidance or rules.GUIDANCE_BY_CATEGORY.get(r.category, rules.DEFAULT_GUIDANCE)
+        rows.append((r.category, r.template, r.description, severity, guidance, r.cause or r.category, r.code,
+                     _label_of(severity)))
+    severity = rules.SEVERITY_BY_CATEGORY[other]
+    rows.append((other, other, None, severity, rules.GUIDANCE_BY_CATEGORY[other], other, None, _label_of(severity)))
+    rows.append((other, other, rules.EMPTY_DESCRIPTION, rules.EMPTY_SEVERITY,
+                 rules.GUIDANCE_BY_CATEGORY[rules.EMPTY_GUIDANCE_CATEGORY], other, rules.UNCATEGORISED_CODE,
+                 _label_of(rules.EMPTY_SEVERITY)))
+    return rows
 
 
-def semantic_labels(index: Column) -> Column:
-    """``struct<categoria, template, descricao, severidade, orientacao, causa, codigo>``."""
-    return F.get(_label_table(), index)
+def semantic_labels(index: str) -> str:
+    """Struct of ``LABEL_FIELDS`` at a rule position."""
+    return f"get({_table(_label_rows(), LABEL_FIELDS)}, {index})"
 
 
-def raw_and_masked(clean: Column, masked: Column) -> Column:
-    """Text on which a semantic rule hits iff it hits the raw or the masked message.
+def _positions(predicate) -> str:
+    """SQL list of the label positions whose row satisfies the predicate."""
+    return ", ".join(str(i) for i, row in enumerate(_label_rows()) if predicate(dict(zip(LABEL_FIELDS, row))))
 
-    No rule pattern crosses a line feed, so both can be scanned in one go.
-    """
-    return F.when(clean == masked, clean).otherwise(F.concat(clean, F.lit("\n"), masked))
 
+def semantic_index(clean: str, scanned: str, folded: str, code: str) -> str:
+    """Position of the semantic rule of a stripped message: first pattern hit, else by code.
 
-def semantic_index(clean: Column, text: Column, code: Column) -> Column:
-    """Position of the semantic rule of a stripped message: first pattern hit, else by code."""
-    by_pattern = [F.when(matches_any(text, r.patterns), F.lit(i)) for i, r in enumerate(rules.SEMANTIC_RULES)]
+    ``scanned`` holds the raw and the masked message, ``folded`` is its case-folded form.
+    """
     by_code: dict[str, list[int]] = {}
     for i, rule in enumerate(rules.SEMANTIC_RULES):
         if rule.code is not None:
             by_code.setdefault(rule.code, []).append(i)
-    unique = {c: ix[0] for c, ix in by_code.items() if len(ix) == 1}
     axle = next(i for i in by_code[rules.AMBIGUOUS_CODE] if rules.SEMANTIC_RULES[i].category == rules.AXLE_CATEGORY)
     other = next(i for i in by_code[rules.AMBIGUOUS_CODE] if i != axle)
-    stripped_code = strip(code)
-    entries = F.create_map(*(F.lit(x) for pair in unique.items() for x in pair))
-    ambiguous = F.when(
-        stripped_code == rules.AMBIGUOUS_CODE,
-        F.when(contains_any(F.lower(clean), rules.AXLE_WORDS), F.lit(axle)).otherwise(F.lit(other)),
-    )
-    no_text = clean.isNull() | clean.isin("", "None", "nan")
-    return F.when(no_text, F.lit(EMPTY_INDEX)).otherwise(
-        F.coalesce(*by_pattern, F.try_element_at(entries, stripped_code), ambiguous, F.lit(UNCATEGORISED_INDEX))
-    )
-
-
-def classify_semantic(message: Column, code: Column) -> Column:
-    """The nine semantic labels of one message and its code."""
-
-    def label(m: Column) -> Column:
-        index = semantic_index(m["limpa"], raw_and_masked(m["limpa"], m["mascara"]), code)
-        return bind(
-            F.struct(semantic_labels(index).alias("r"), index.alias("i")),
-            lambda s: F.struct(
-                s["r"]["categoria"].alias("categoria_operacional"),
-                s["r"]["template"].alias("tipo_rejeicao_semantica"),
-                description(s["i"], s["r"], m["limpa"]).alias("subtipo_rejeicao"),
-                s["r"]["severidade"].alias("severidade"),
-                s["r"]["orientacao"].alias("orientacao_operacional"),
-                s["r"]["causa"].alias("causa_raiz"),
-                F.when(
-                    s["i"] == UNCATEGORISED_INDEX,
-                    F.when(F.coalesce(code, F.lit("")) != "", code).otherwise(rules.UNCATEGORISED_CODE),
-                ).otherwise(s["r"]["codigo"]).alias("codigo_oficial"),
-                s["r"]["template"].alias("template_oficial"),
-                F.when(s["i"] == EMPTY_INDEX, "").otherwise(m["mascara"]).alias("mensagem_normalizada"),
-            ),
-        )
-
-    clean = strip(message)
-    return bind(clean, lambda c: bind(F.struct(c.alias("limpa"), mask_message(c).alias("mascara")), label))
-
-
-def description(index: Column, labels: Column, clean: Column) -> Column:
-    """Subtype text; an unmatched message carries itself."""
-    return F.when(
-        index == UNCATEGORISED_INDEX, F.concat(F.lit(rules.UNCATEGORISED_PREFIX), clean)
-    ).otherwise(labels["descricao"])
+    branches = [(f"{clean} IN ('', 'None', 'nan')", str(EMPTY_INDEX))]
+    branches += [(matches_any(scanned, folded, r.patterns), str(i)) for i, r in enumerate(rules.SEMANTIC_RULES)]
+    branches += [(f"{code} = {text(c)}", str(ix[0])) for c, ix in by_code.items() if len(ix) == 1]
+    branches += [
+        (f"{code} = {text(rules.AMBIGUOUS_CODE)} AND {contains_any(f'lower({clean})', rules.AXLE_WORDS)}", str(axle)),
+        (f"{code} = {text(rules.AMBIGUOUS_CODE)}", str(other)),
+    ]
+    return case(branches, str(UNCATEGORISED_INDEX))
 
 
-def context_index(clean: Column, negated: Column, code: Column, functionality: Column) -> Column:
+def context_index(clean: str, folded: str, negated: str, code: str, functionality: str) -> str:
     """Position of the first contextual rule that matches functionality, code and message, or NULL."""
-    hits = []
+    branches = []
     for i, rule in enumerate(rules.CONTEXT_RULES):
-        applies = matches_prefix(functionality, rule.functionalities) & matches_prefix(code, rule.codes)
+        applies = [matches_prefix(code, rule.codes)]
         if rule.patterns != rules.ANY:
-            applies &= matches_any(clean, rule.patterns)
+            applies.append(matches_any(clean, folded, rule.patterns))
+        applies.append(matches_prefix(functionality, rule.functionalities))
         if rule.outcome == "SUCESSO":
-            applies &= ~negated
-        hits.append(F.when(applies, F.lit(i)))
-    return F.coalesce(*hits)
+            applies.append(f"NOT {negated}")
+        branches.append((" AND ".join(a for a in applies if a is not None), str(i)))
+    return case(branches)
 
 
-def _result(outcome: str, technical: str | None, severity: str) -> Column:
-    return F.struct(
-        F.lit(outcome).alias("resultado_operacional"),
-        F.lit(technical).cast("string").alias("tipo_erro_tecnico"),
-        F.lit(severity).alias("severidade"),
-    )
+def success_text(lowered: str, functionality: str) -> str:
+    """Lookup hit or success wording in a lower-cased message."""
+    lookup = contains_any(f"lower({functionality})", rules.LOOKUP_FUNCTIONALITIES)
+    worded = matches_any(lowered, lowered, rules.SUCCESS_PATTERNS)
+    return f"(({contains_any(lowered, rules.LOOKUP_HITS)} AND {lookup}) OR {worded})"
 
 
-def _context_table() -> Column:
-    return F.array(*(_result(r.outcome, r.technical_type, r.severity) for r in rules.CONTEXT_RULES))
+# What decides a result, in order of precedence: the outcomes without and with a rule table.
+_SERVER_ERROR = ("ERRO_TECNICO", "HTTP_500", "CRITICO")
+_INTEGRATION = ("ERRO_INFRAESTRUTURA", "CONEXAO", "CRITICO")
+_SYSTEM = ("ERRO_TECNICO", "CONEXAO", "CRITICO")
+_SUCCESS = ("SUCESSO", None, "INFO")
+_REJECTED_BY_RULE = ("REJEICAO_NEGOCIO", None, None)
+_REJECTED = ("REJEICAO_NEGOCIO", None, rules.DEFAULT_SEVERITY_LABEL)
+_UNREADABLE = ("ERRO_TECNICO", "PARSE", rules.DEFAULT_SEVERITY_LABEL)
 
 
-def contextual_result(message: Column, code: Column, functionality: Column) -> Column:
-    """Result struct of the first contextual rule, or NULL."""
-    clean = strip(F.coalesce(message, F.lit("")))
-    index = bind(
-        clean,
-        lambda c: context_index(
-            c, has_negation(F.lower(c)), strip(F.coalesce(code, F.lit(""))), strip(F.coalesce(functionality, F.lit("")))
-        ),
-    )
-    return F.get(_context_table(), index)
+def _outcomes() -> list[tuple]:
+    """All outcomes: the contextual rules first, so that their positions coincide."""
+    context = [(r.outcome, r.technical_type, r.severity) for r in rules.CONTEXT_RULES]
+    groups = [(g.outcome, g.technical_type, g.severity) for g in rules.KEYWORD_GROUPS]
+    return [*context, *groups, _SERVER_ERROR, _INTEGRATION, _SYSTEM, _SUCCESS, _REJECTED_BY_RULE, _REJECTED, _UNREADABLE]
 
 
-def _success_text(lowered: Column, functionality: Column) -> Column:
-    lookup = contains_any(F.lower(functionality), rules.LOOKUP_FUNCTIONALITIES)
-    return (lookup & contains_any(lowered, rules.LOOKUP_HITS)) | matches_any(lowered, rules.SUCCESS_PATTERNS)
+def contextual_result(index: str) -> str:
+    """Result struct of a contextual rule position, or NULL."""
+    return f"get({_table(_outcomes(), RESULT_FIELDS)}, {index})"
 
 
-def is_success_message(message: Column, code: Column, functionality: Column) -> Column:
-    """Whether a message without negation confirms success by code, lookup hit or wording."""
-    by_code = F.coalesce(strip(code).isin(*rules.SUCCESS_CODES), F.lit(False))
-    return bind(
-        strip(F.lower(message)),
-        lambda low: F.coalesce(
-            (F.coalesce(message, F.lit("")) != "")
-            & ~has_negation(low)
-            & (by_code | _success_text(low, F.coalesce(functionality, F.lit("")))),
-            F.lit(False),
-        ),
-    )
-
-
-def operational_result(
-    clean: Column,
-    lowered: Column,
-    negated: Column,
-    code: Column,
-    functionality: Column,
-    semantic: Column,
-    context: Column,
-) -> Column:
-    """``struct<resultado_operacional, tipo_erro_tecnico, severidade>`` by strict precedence.
-
-    ``semantic`` and ``context`` are the positions of the matching rules.
-    """
-    ctx = F.get(_context_table(), context)
-    sem = semantic_labels(semantic)
-    success = _result("SUCESSO", None, "INFO")
-
-    chain = F.when(
-        (code == rules.SERVER_ERROR_CODE) | contains_any(lowered, rules.SERVER_ERROR_WORDS),
-        _result("ERRO_TECNICO", "HTTP_500", "CRITICO"),
-    ).when(ctx["resultado_operacional"].isin(*rules.TECHNICAL_RESULTS), ctx)
-    for group in rules.KEYWORD_GROUPS:
-        hit = contains_any(lowered, group.keywords)
+def outcome_index(r: Ref, functionality: str) -> str:
+    """Position of the outcome of a prepared message, by strict precedence."""
+    outcomes = _outcomes()
+    first_group = len(rules.CONTEXT_RULES)
+
+    def at(outcome: tuple) -> str:
+        return str(outcomes.index(outcome, first_group + len(rules.KEYWORD_GROUPS)))
+
+    def context_in(*results: str) -> str:
+        positions = ", ".join(str(i) for i, c in enumerate(rules.CONTEXT_RULES) if c.outcome in results)
+        return f"{r('contexto')} IN ({positions})"
+
+    low, clean, code = r("minuscula"), r("limpa"), r("codigo_limpo")
+    semantic, context = r("semantica"), r("contexto")
+    branches = [
+        (f"{code} = {text(rules.SERVER_ERROR_CODE)} OR {contains_any(low, rules.SERVER_ERROR_WORDS)}", at(_SERVER_ERROR)),
+        (context_in(*rules.TECHNICAL_RESULTS), context),
+    ]
+    for i, group in enumerate(rules.KEYWORD_GROUPS):
+        hit = contains_any(low, group.keywords)
         if group.technical_type == rules.JAVA_OBJECT_GROUP:
-            hit |= matches_any(clean, (rules.JAVA_OBJECT,))
-        chain = chain.when(hit, _result(group.outcome, group.technical_type, group.severity))
-    chain = (
-        chain.when(sem["categoria"] == rules.EMPTY_GUIDANCE_CATEGORY, _result("ERRO_TECNICO", "CONEXAO", "CRITICO"))
-        .when(
-            sem["categoria"].isin(*rules.INTEGRATION_CATEGORIES),
-            _result("ERRO_INFRAESTRUTURA", "CONEXAO", "CRITICO"),
-        )
-        .when(code.isin(*rules.SUCCESS_CODES), success)
-        .when(
-            ~negated
-            & (
-                ((clean != "") & _success_text(lowered, functionality))
-                | (ctx["resultado_operacional"] == "SUCESSO")
-                | (sem["categoria"] == "SUCESSO")
-            ),
-            success,
-        )
-        .when(ctx["resultado_operacional"].isin("SUCESSO_COM_ALERTA", "ALERTA_OPERACIONAL"), ctx)
-        .when(
-            sem["template"] != rules.UNCATEGORISED,
-            F.struct(
-                F.lit("REJEICAO_NEGOCIO").alias("resultado_operacional"),
-                F.lit(None).cast("string").alias("tipo_erro_tecnico"),
-                severity_label(sem["severidade"]).alias("severidade"),
-            ),
-        )
-        .when(code.rlike(r"^2\d*$") | ~negated, _result("REJEICAO_NEGOCIO", None, "MEDIO"))
-    )
-    return chain.otherwise(_result("ERRO_TECNICO", "PARSE", "MEDIO"))
-
-
-def classify_log_message(message: Column, code: Column, functionality: Column) -> Column:
-    """Operational result of one message with its code and functionality."""
-
-    def prepared(c: Column) -> Column:
-        return F.struct(
-            c.alias("limpa"),
-            F.lower(c).alias("minuscula"),
-            has_negation(F.lower(c)).alias("negada"),
-            mask_message(c).alias("mascara"),
-            strip(F.coalesce(code, F.lit(""))).alias("codigo"),
-            strip(F.coalesce(functionality, F.lit(""))).alias("funcionalidade"),
-        )
-
-    def result(m: Column) -> Column:
-        rule_positions = F.struct(
-            semantic_index(m["limpa"], raw_and_masked(m["limpa"], m["mascara"]), m["codigo"]).alias("s"),
-            context_index(m["limpa"], m["negada"], m["codigo"], m["funcionalidade"]).alias("c"),
-        )
-        return bind(
-            rule_positions,
-            lambda ix: operational_result(
-                m["limpa"], m["minuscula"], m["negada"], m["codigo"], m["funcionalidade"], ix["s"], ix["c"]
-            ),
-        )
-
-    return bind(strip(F.coalesce(message, F.lit(""))), lambda c: bind(prepared(c), result))
-
-
-def result_rank(result: Column) -> Column:
-    """Position of a result between SUCESSO (0) and the worst."""
-    return F.array_position(F.array(*(F.lit(r) for r in rules.RESULT_ORDER)), result) - 1
-
-
-def worst_result(results: Column) -> Column:
+            hit = f"({hit} OR {matches_any(clean, clean, (rules.JAVA_OBJECT,))})"
+        branches.append((hit, str(first_group + i)))
+    system = _positions(lambda row: row["categoria"] == rules.EMPTY_GUIDANCE_CATEGORY)
+    if system:
+        branches.append((f"{semantic} IN ({system})", at(_SYSTEM)))
+    integration = _positions(lambda row: row["categoria"] in rules.INTEGRATION_CATEGORIES)
+    success = _positions(lambda row: row["categoria"] == "SUCESSO")
+    confirmed = (f"{semantic} IN ({success}) OR coalesce({context_in('SUCESSO')}, false)"
+                 f" OR ({clean} != '' AND {success_text(low, functionality)})")
+    branches += [
+        (f"{semantic} IN ({integration})", at(_INTEGRATION)),
+        (f"{code} IN ({text_list(rules.SUCCESS_CODES)})", at(_SUCCESS)),
+        (f"NOT {r('negada')} AND ({confirmed})", at(_SUCCESS)),
+        (context_in("SUCESSO_COM_ALERTA", "ALERTA_OPERACIONAL"), context),
+        (f"{semantic} < {UNCATEGORISED_INDEX}", at(_REJECTED_BY_RULE)),
+        (f"{code} RLIKE '^2[0-9]*$' OR NOT {r('negada')}", at(_REJECTED)),
+    ]
+    return case(branches, at(_UNREADABLE))
+
+
+def prepare_stages() -> list[Stage]:
+    """Stripped, lowered, folded and masked forms of a message."""
+    return [
+        lambda r: {"limpa": strip(r("mensagem")), "codigo_limpo": strip(r("codigo"))},
+        lambda r: {"minuscula": f"lower({r('limpa')})", "dobrada": fold(r("limpa"))},
+        lambda r: {"negada": has_negation(r("minuscula"))},
+        *mask_stages("limpa", "mascara"),
+    ]
+
+
+def semantic_stages() -> list[Stage]:
+    """Position of the semantic rule.
+
+    No rule pattern crosses a line feed, so the raw and the masked message are scanned in one go.
+    """
+    return [
+        lambda r: {"varrida": f"if({r('limpa')} = {r('mascara')}, {r('limpa')}, concat({r('limpa')}, '\\n', {r('mascara')}))"},
+        lambda r: {"varrida_dobrada": fold(r("varrida"))},
+        lambda r: {"semantica": semantic_index(r("limpa"), r("varrida"), r("varrida_dobrada"), r("codigo_limpo"))},
+    ]
+
+
+def context_stages(functionality: str = "funcionalidade") -> list[Stage]:
+    """Position of the contextual rule."""
+    function = strip(functionality)
+    return [
+        lambda r: {"contexto": context_index(r("limpa"), r("dobrada"), r("negada"), r("codigo_limpo"), function)}
+    ]
+
+
+def result_stages(functionality: str = "funcionalidade") -> list[Stage]:
+    """``resultado_operacional``, ``tipo_erro_tecnico`` and ``severidade``."""
+
+    def outcome(r: Ref) -> str:
+        return f"get({_table(_outcomes(), RESULT_FIELDS)}, {r('desfecho')})"
+
+    return [
+        lambda r: {"desfecho": outcome_index(r, functionality)},
+        lambda r: {"resultado": outcome(r), "rotulo": semantic_labels(r("semantica"))},
+        lambda r: {
+            "resultado_operacional": f"{r('resultado')}.resultado_operacional",
+            "tipo_erro_tecnico": f"{r('resultado')}.tipo_erro_tecnico",
+            "severidade": f"coalesce({r('resultado')}.severidade, {r('rotulo')}.rotulo_severidade)",
+        },
+    ]
+
+
+def classification_stages(functionality: str = "funcionalidade") -> list[Stage]:
+    """The whole classification of one message."""
+    return [*prepare_stages(), *semantic_stages(), *context_stages(functionality), *result_stages(functionality)]
+
+
+def semantic_columns(r: Ref) -> dict[str, str]:
+    """The nine semantic labels of a message after the semantic stages and the label lookup."""
+    label, index = r("rotulo"), r("semantica")
+    code = f"if(coalesce({r('codigo')}, '') = '', {text(rules.UNCATEGORISED_CODE)}, {r('codigo')})"
+    return {
+        "categoria_operacional": f"{label}.categoria",
+        "tipo_rejeicao_semantica": f"{label}.template",
+        "subtipo_rejeicao": description(index, label, r("limpa")),
+        "severidade_semantica": f"{label}.severidade",
+        "orientacao_operacional": f"{label}.orientacao",
+        "causa_raiz": f"{label}.causa",
+        "codigo_oficial": f"if({index} = {UNCATEGORISED_INDEX}, {code}, {label}.codigo)",
+        "template_oficial": f"{label}.template",
+        "mensagem_normalizada": f"if({index} = {EMPTY_INDEX}, '', {r('mascara')})",
+    }
+
+
+def description(index: str, label: str, clean: str) -> str:
+    """Subtype text; an unmatched message carries itself."""
+    own = f"concat({text(rules.UNCATEGORISED_PREFIX)}, {clean})"
+    return f"if({index} = {UNCATEGORISED_INDEX}, {own}, {label}.descricao)"
+
+
+def is_success_message(message: str, code: str, functionality: str) -> str:
+    """Whether a message without negation confirms success by code, lookup hit or wording."""
+    low = strip(f"lower({message})")
+    by_code = f"coalesce({strip(code)} IN ({text_list(rules.SUCCESS_CODES)}), false)"
+    return (f"(coalesce({message}, '') != '' AND NOT {has_negation(low)} AND ({by_code} OR "
+            f"{success_text(low, f'''coalesce({functionality}, '')''')}))")
+
+
+def worst_result(results: str) -> str:
     """Worst of an array of results; SUCESSO when it is empty."""
-    worst = F.array_max(F.transform(results, result_rank))
-    order = F.array(*(F.lit(r) for r in rules.RESULT_ORDER))
-    return F.coalesce(F.get(order, worst.cast("int")), F.lit(rules.RESULT_ORDER[0]))
+    order = f"array({text_list(rules.RESULT_ORDER)})"
+    ranks = f"transform({results}, x -> CAST(array_position({order}, x) AS INT) - 1)"
+    return f"coalesce(get({order}, array_max({ranks})), {text(rules.RESULT_ORDER[0])})"
 
 
-def general_status(result: Column) -> Column:
+def general_status(result: str) -> str:
     """SUCESSO or ERRO of an operational result."""
-    return F.when(result.isin(*rules.SUCCESS_RESULTS), "SUCESSO").otherwise("ERRO")
+    return f"if({result} IN ({text_list(rules.SUCCESS_RESULTS)}), 'SUCESSO', 'ERRO')"
 
 
-def evitability_class(category: Column) -> Column:
+def evitability_class(category: str) -> str:
     """How far a rejection of this category can be avoided at the source."""
-    chain = reduce(
-        lambda acc, c: acc.when(category.isin(*c[1]), c[0]), rules.EVITABILITY_CLASSES[1:],
-        F.when(category.isin(*rules.EVITABILITY_CLASSES[0][1]), rules.EVITABILITY_CLASSES[0][0]),
-    )
-    return chain.otherwise(rules.EVITABILITY_DEFAULT[0])
+    branches = [(f"{category} IN ({text_list(members)})", text(name)) for name, members, _ in rules.EVITABILITY_CLASSES]
+    return case(branches, text(rules.EVITABILITY_DEFAULT[0]))
 
 
-def evitability_description(name: Column) -> Column:
+def evitability_description(name: str) -> str:
     """Explanation of an evitability class."""
-    table = {c[0]: c[2] for c in rules.EVITABILITY_CLASSES}
-    return _lookup(table, name, rules.EVITABILITY_DEFAULT[1])
+    return _lookup({c[0]: c[2] for c in rules.EVITABILITY_CLASSES}, name, rules.EVITABILITY_DEFAULT[1])
+
+

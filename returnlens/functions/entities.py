@@ -2,59 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from returnlens.functions import rules
 from returnlens.functions.regex import java_regex
+from returnlens.functions.sqltext import each, keep, struct, text
+from returnlens.functions.text import fold, required_word, rlike
 
 KINDS = tuple(rule.kind for rule in rules.ENTITY_RULES)
-ENTITY_TYPE = "array<struct<entidade_id:string,entidade_tipo:string,entidade_valor:string>>"
-FOUND_TYPE = "array<struct<tipo:string,valores:array<string>>>"
+FOUND_TYPE = "ARRAY<STRUCT<tipo: STRING, valores: ARRAY<STRING>>>"
 
 
-def entity_values(message: Column, kind: str) -> Column:
+def entity_values(message: str, kind: str) -> str:
     """Distinct values of one entity kind, in order of first occurrence."""
     rule = next(r for r in rules.ENTITY_RULES if r.kind == kind)
-    found = F.regexp_extract_all(message, F.lit(java_regex(rule.pattern)), F.lit(0))
+    found = f"regexp_extract_all({message}, {text(java_regex(rule.pattern))}, 0)"
+    if rule.pattern.startswith("(?i)") and (word := required_word(rule.pattern)):
+        found = f"if(contains({fold(message)}, {text(word)}), {found}, CAST(array() AS ARRAY<STRING>))"
 
-    def clean(value: Column) -> Column:
-        value = F.upper(value) if rule.upper else value
-        return F.regexp_replace(value, java_regex(rule.strip), "") if rule.strip else value
+    def clean(value: str, _: str) -> str:
+        value = f"upper({value})" if rule.upper else value
+        return f"regexp_replace({value}, {text(java_regex(rule.strip))}, '')"
 
-    return F.array_distinct(F.transform(found, clean))
+    return f"array_distinct({each(found, clean) if rule.strip else found})"
 
 
-def found_entities(message: Column) -> Column:
+def found_entities(message: str) -> str:
     """``array<struct<tipo, valores>>`` of every kind; each pattern needs a digit, so a message
     without one is not scanned."""
-    kinds = F.array(
-        *(F.struct(F.lit(k).alias("tipo"), entity_values(message, k).alias("valores")) for k in KINDS)
-    )
-    none = F.array().cast(FOUND_TYPE)
-    return F.when(message.rlike(java_regex(r"\d")), F.filter(kinds, lambda k: F.size(k["valores"]) > 0)).otherwise(none)
+    kinds = ", ".join(struct(tipo=text(k), valores=entity_values(message, k)) for k in KINDS)
+    found = keep(f"array({kinds})", lambda k: f"size({k}.valores) > 0")
+    return f"if({rlike(message, java_regex(chr(92) + 'd'))}, {found}, CAST(array() AS {FOUND_TYPE}))"
 
 
-def entity_rows(found: Column, rejection_id: Column) -> Column:
+def entity_rows(found: str, rejection_id: str) -> str:
     """Entities to keep of one rejection, at most ten per kind, with deterministic ids."""
 
-    def rows(kind: Column) -> Column:
-        return F.transform(
-            F.slice(kind["valores"], 1, rules.MAX_ENTITIES_PER_KIND),
-            lambda value, i: F.struct(
-                F.concat_ws("_", rejection_id, F.lit("ent"), kind["tipo"], i.cast("string")).alias("entidade_id"),
-                kind["tipo"].alias("entidade_tipo"),
-                value.alias("entidade_valor"),
+    def rows(kind: str, _: str) -> str:
+        return each(
+            f"slice({kind}.valores, 1, {rules.MAX_ENTITIES_PER_KIND})",
+            lambda value, i: struct(
+                entidade_id=f"concat_ws('_', {rejection_id}, 'ent', {kind}.tipo, {i})",
+                entidade_tipo=f"{kind}.tipo",
+                entidade_valor=value,
             ),
         )
 
-    return F.flatten(F.transform(found, rows))
+    return f"flatten({each(found, rows)})"
 
 
-def excess_entities(found: Column) -> Column:
+def excess_entities(found: str) -> str:
     """Number of distinct entities beyond the cap per kind."""
-    return F.aggregate(
-        found,
-        F.lit(0),
-        lambda acc, kind: acc + F.greatest(F.lit(0), F.size(kind["valores"]) - rules.MAX_ENTITIES_PER_KIND),
-    )
+    over = f"greatest(0, size(k.valores) - {rules.MAX_ENTITIES_PER_KIND})"
+    return f"aggregate({found}, 0, (acc, k) -> acc + {over})"

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from returnlens.functions import rules
 from returnlens.functions.regex import java_regex
-from returnlens.functions.text import bind, split_message, strip
-
-
+from returnlens.functions.sqltext import bind, case, each, keep, struct, text, text_list
+from returnlens.functions.text import rlike, split_message, strip
 
+NO_VALUES = "CAST(array() AS ARRAY<STRING>)"
 
-def _no_text(value: Column) -> Column:
-    return value.isNull() | value.isin("None", "nan")
 
-
-def json_object(text: Column) -> Column:
+def json_object(value: str) -> str:
     """The text as a VARIANT object, or NULL where it is anything else.
 
     The JSON parser stops after the first value, so the text is parsed inside an array: content
@@ -24,126 +18,117 @@ def json_object(text: Column) -> Column:
     close that array by itself must hold inside an object as well.
     """
 
-    def parse(stripped: Column) -> Column:
-        wrapped = F.try_parse_json(F.concat(F.lit("["), stripped, F.lit("]")))
-        keyed = F.try_parse_json(F.concat(F.lit('{"k":'), stripped, F.lit("}")))
-        whole = ~stripped.rlike(r"\}\s*\]") | keyed.isNotNull()
-        return F.when(
-            stripped.startswith("{") & stripped.endswith("}") & whole,
-            bind(wrapped, lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(),
-                                           F.try_variant_get(v, "$[0]", "variant"))),
+    def parse(t: str) -> str:
+        whole = f"(NOT {rlike(t, chr(125) + r'\s*\]')} OR try_parse_json(concat('{{\"k\":', {t}, '}}')) IS NOT NULL)".replace("{{", "{").replace("}}", "}")
+        document = bind(
+            f"try_parse_json(concat('[', {t}, ']'))",
+            lambda v: f"if(try_variant_get({v}, '$[1]', 'variant') IS NULL, try_variant_get({v}, '$[0]', 'variant'), NULL)",
         )
+        return f"if(startswith({t}, '{{') AND endswith({t}, '}}') AND {whole}, {document}, NULL)"
 
-    return bind(strip(text), parse)
+    return bind(strip(value), parse)
 
 
-def _first_key(doc: Column, *keys: str) -> Column:
+def _first_key(doc: str, *keys: str) -> str:
     """Value of the first key that exists; an explicit JSON null counts as existing."""
-    return F.coalesce(*(F.try_variant_get(doc, f"$.{key}", "variant") for key in keys))
+    return "coalesce(" + ", ".join(f"try_variant_get({doc}, '$.{key}', 'variant')" for key in keys) + ")"
 
 
-def _truthy(value: Column) -> Column:
+def _truthy(value: str) -> str:
     """Whether a VARIANT is neither null, false, zero nor empty; quoted text only has to be non-empty."""
-    text = value.cast("string")
-    quoted = F.schema_of_variant(value) == "STRING"
-    return text.isNotNull() & (text != "") & (quoted | ~text.isin("0", "false", "[]", "{}"))
+    return bind(
+        f"CAST({value} AS STRING)",
+        lambda t: f"{t} IS NOT NULL AND {t} != '' AND ({t} NOT IN ('0', 'false', '[]', '{{}}')"
+        f" OR schema_of_variant({value}) = 'STRING')",
+    )
 
 
-def _items(value: Column) -> Column:
+def _items(value: str) -> str:
     """Stripped texts of a JSON list, falsy elements dropped; NULL where the value is no list."""
-    elements = F.try_variant_get(value, "$", "array<variant>")
-    return F.transform(F.filter(elements, _truthy), lambda e: strip(e.cast("string")))
+    elements = f"try_variant_get({value}, '$', 'array<variant>')"
+    return each(keep(elements, _truthy), lambda e, _: strip(f"CAST({e} AS STRING)"))
 
 
-def comma_list(text: Column) -> Column:
+def comma_list(value: str) -> str:
     """Stripped, non-empty parts between commas."""
-    return F.filter(F.transform(F.split(text, ",", -1), strip), lambda c: c != "")
-
-
-def _codes(value: Column) -> Column:
-    return F.coalesce(_items(value), comma_list(value.cast("string")))
-
+    return keep(each(f"split({value}, ',', -1)", lambda c, _: strip(c)), lambda c: f"{c} != ''")
 
-def _messages(value: Column) -> Column:
-    return F.coalesce(_items(value), F.array(strip(value.cast("string"))))
 
+def _no_text(value: str) -> str:
+    return f"({value} IS NULL OR {value} IN ('None', 'nan'))"
 
-def _at_least_one(values: Column) -> Column:
-    return F.when(F.size(values) > 0, values).otherwise(F.array(F.lit("")))
 
-
-def parse_payload(code: Column, response: Column) -> Column:
+def parse_payload(code: str, response: str) -> str:
     """``struct<codes array<string>, messages array<string>>``, each with one element at least.
 
     A JSON object in the response wins, then one in the code field, else both are plain text:
-    codes separated by commas and the response as one message.
+    codes separated by commas and the response as one message. ``code`` and ``response`` are
+    plain references.
     """
-    none = F.array().cast("array<string>")
-
-    def read(doc: Column) -> Column:
-        def from_json(raw: Column) -> Column:
-            return F.struct(
-                F.when(F.is_variant_null(raw["c"]) | raw["c"].isNull(), none).otherwise(_codes(raw["c"])).alias("codes"),
-                F.when(F.is_variant_null(raw["m"]) | raw["m"].isNull(), none).otherwise(_messages(raw["m"])).alias("messages"),
-            )
-
-        plain = F.struct(
-            F.when(_no_text(code), none).otherwise(comma_list(code)).alias("codes"),
-            F.when(_no_text(response), none).otherwise(F.array(strip(response))).alias("messages"),
-        )
-        keys = F.struct(
-            _first_key(doc, "Codigo", "codigo").alias("c"), _first_key(doc, "Mensagem", "mensagem").alias("m")
+    one_code = f"if(contains({code}, ','), {comma_list(code)}, array({strip(code)}))"
+    plain = struct(
+        codes=f"if({_no_text(code)}, array(''), {one_code})",
+        messages=f"if({_no_text(response)}, array(''), array({strip(response)}))",
+    )
+
+    def from_json(raw: str) -> str:
+        def value(field: str, read: str) -> str:
+            return f"if({raw}.{field} IS NULL OR is_variant_null({raw}.{field}), {NO_VALUES}, {read})"
+
+        string = f"CAST({raw}.{{}} AS STRING)"
+        return struct(
+            codes=value("c", f"coalesce({_items(raw + '.c')}, {comma_list(string.format('c'))})"),
+            messages=value("m", f"coalesce({_items(raw + '.m')}, array({strip(string.format('m'))}))"),
         )
-        return F.when(doc.isNotNull(), bind(keys, from_json)).otherwise(plain)
 
-    parsed = bind(F.coalesce(json_object(response), json_object(code)), read)
-    return bind(
-        parsed,
-        lambda p: F.struct(
-            _at_least_one(p["codes"]).alias("codes"), _at_least_one(p["messages"]).alias("messages")
-        ),
-    )
+    def read(doc: str) -> str:
+        keys = struct(c=_first_key(doc, "Codigo", "codigo"), m=_first_key(doc, "Mensagem", "mensagem"))
+        return f"if({doc} IS NULL, {plain}, {bind(keys, from_json)})"
+
+    def at_least_one(p: str) -> str:
+        return struct(
+            **{f: f"if(size({p}.{f}) > 0, {p}.{f}, array(''))" for f in ("codes", "messages")}
+        )
 
+    brace = f"(contains({code}, '{{') OR contains({response}, '{{'))"
+    parsed = bind(f"coalesce({json_object(response)}, {json_object(code)})", read)
+    return f"if({brace}, {bind(parsed, at_least_one)}, {bind(plain, at_least_one)})"
 
-def pair_messages(payload: Column) -> Column:
-    """``array<struct<mensagem, codigo>>``: each message with the code of its position, else the
-    first code, split into single messages. An empty message stays; a message with nothing left
-    after unquoting yields no pair."""
 
-    def pairs(p: Column) -> Column:
-        def expand(message: Column, index: Column) -> Column:
-            code = F.coalesce(F.get(p["codes"], index), F.get(p["codes"], F.lit(0)))
-            singles = F.when(message == "", F.array(F.lit(""))).otherwise(split_message(message))
-            return F.transform(singles, lambda m: F.struct(m.alias("mensagem"), code.alias("codigo")))
+def pair_messages(payload: str) -> str:
+    """``array<struct<pos, mensagem, codigo>>`` of a payload struct: each message with the code
+    of its position, else the first code, split into single messages. An empty message stays; a
+    message with nothing left after unquoting yields no pair."""
 
-        return F.flatten(F.transform(p["messages"], expand))
+    def expand(message: str, index: str) -> str:
+        singles = f"if({message} = '', array(''), {split_message(message)})"
+        code = f"coalesce(get({payload}.codes, {index}), get({payload}.codes, 0))"
+        return each(singles, lambda m, _: struct(mensagem=m, codigo=code))
 
-    return bind(payload, pairs)
+    pairs = f"flatten({each(payload + '.messages', expand)})"
+    return each(pairs, lambda p, i: struct(pos=i, mensagem=f"{p}.mensagem", codigo=f"{p}.codigo"))
 
 
-def _protocol_in_json(text: Column) -> Column:
-    def lookup(doc_text: Column) -> Column:
-        entries = F.map_entries(F.from_json(doc_text, "map<string,variant>"))
-        hits = F.filter(entries, lambda e: (F.lower(e["key"]) == "protocolo") & _truthy(e["value"]))
-        return strip(F.get(hits, F.lit(0))["value"].cast("string"))
+def _protocol_in_json(value: str) -> str:
+    def lookup(doc: str) -> str:
+        entries = f"map_entries(from_json({doc}, 'map<string,variant>'))"
+        hits = keep(entries, lambda e: f"lower({e}.key) = 'protocolo' AND {_truthy(e + '.value')}")
+        return strip(f"CAST(get({hits}, 0).value AS STRING)")
 
-    mentions = F.lower(text).contains("protocolo")
-    return F.when(mentions & json_object(text).isNotNull(), lookup(strip(text)))
+    return case([(f"contains(lower({value}), 'protocolo') AND {json_object(value)} IS NOT NULL", lookup(strip(value)))])
 
 
-def _protocol_in_column(value: Column) -> Column:
-    stripped = strip(value)
-    return F.when((stripped != "") & ~value.isin("None", "nan", rules.NO_PROTOCOL), stripped)
+def _protocol_in_column(value: str) -> str:
+    return case([(f"{strip(value)} != '' AND {value} NOT IN ({text_list(['None', 'nan', rules.NO_PROTOCOL])})",
+                  strip(value))])
 
 
-def _protocol_in_text(text: Column) -> Column:
-    found = F.regexp_extract(text, java_regex(rules.PROTOCOL_IN_TEXT), 1)
-    return F.when(F.length(found) >= rules.PROTOCOL_MIN_LENGTH, found)
+def _protocol_in_text(value: str) -> str:
+    found = f"regexp_extract({value}, {text(java_regex(rules.PROTOCOL_IN_TEXT))}, 1)"
+    return case([(f"length({found}) >= {rules.PROTOCOL_MIN_LENGTH}", found)])
 
 
-def extract_protocol(
-    code: Column, response: Column, protocol_code: Column | None = None, protocol: Column | None = None
-) -> Column:
+def extract_protocol(code: str, response: str, protocol_code: str | None = None, protocol: str | None = None) -> str:
     """Protocol of a request: JSON key, code column, text, original column, then the default."""
     candidates = [_protocol_in_json(response), _protocol_in_json(code)]
     if protocol_code is not None:
@@ -151,4 +136,4 @@ def extract_protocol(
     candidates += [_protocol_in_text(response), _protocol_in_text(code)]
     if protocol is not None:
         candidates.append(_protocol_in_column(protocol))
-    return F.coalesce(*candidates, F.lit(rules.NO_PROTOCOL))
+    return f"coalesce({', '.join(candidates)}, {text(rules.NO_PROTOCOL)})"

@@ -3,9 +3,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 IGNORE_CASE = "(?i)"
+# What ends a run of required text: groups (innermost first), classes, class escapes, the dot,
+# and any character that a quantifier makes optional.
+_GROUP = re.compile(r"(?<!\\)\((?:\?:)?[^()]*\)(?:[*+?]|\{[\d,]+\})?")
+_BREAK = re.compile(r"\[[^\]]*\](?:[*+?]|\{[\d,]+\})?|\\[a-zA-Z](?:[*+?]|\{[\d,]+\})?|\.(?:[*+?])?|[^\\][*?]|[\^$+]")
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -28,3 +33,23 @@ def java_any(patterns: Sequence[str], ignore_case: bool = False) -> str:
 def java_replacement(replacement: str) -> str:
     """Group references: ``\\1`` becomes ``$1``."""
     return replacement.replace("\\1", "$1")
+
+
+def required_words(pattern: str) -> tuple[str, ...] | None:
+    """Pieces of plain text that every match of the pattern contains; ``None`` where the
+    pattern offers top-level alternatives.
+
+    A cheap substring test on them tells most texts apart without running the pattern.
+    """
+    body = pattern.removeprefix(IGNORE_CASE)
+    while (reduced := _GROUP.sub("\0", body)) != body:
+        body = reduced
+    if "|" in body:
+        return None
+    runs = re.sub(r"\\([^a-zA-Z])", r"\1", _BREAK.sub("\0", body)).split("\0")
+    return tuple(dict.fromkeys(run.lower() for run in runs if run))
+
+
+def is_plain(pattern: str) -> bool:
+    """Whether the pattern is nothing but letters, digits, blanks and underscores."""
+    return re.fullmatch(r"(?:\(\?i\))?[\w ]+", pattern) is not None

@@ -1,113 +1,168 @@
-"""Text helpers as column expressions: stripping, masking, splitting."""
+"""Text expressions: stripping, case folding, masking, splitting."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
 from returnlens.functions import rules
-from returnlens.functions.regex import java_any, java_regex, java_replacement
+from returnlens.functions.regex import is_plain, java_any, java_regex, java_replacement, required_words
+from returnlens.functions.sqltext import (
+    Ref,
+    Stage,
+    any_of,
+    bind,
+    case,
+    contains_any,
+    each,
+    keep,
+    text,
+)
 
 # Every Unicode whitespace character, control separators included.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 ANY_SPACE = r"[\s\x1c-\x1f]"
+IGNORE_CASE = "(?i)"
 
 
-def strip(text: Column) -> Column:
+def strip(value: str) -> str:
     """Trim Unicode whitespace (``trim`` alone removes only blanks)."""
-    return F.btrim(text, F.lit(WHITESPACE))
+    return f"btrim({value}, {text(WHITESPACE)})"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def rlike(value: str, regex: str) -> str:
+    return f"{value} RLIKE {text(regex)}"
 
 
-def contains_any(text: Column, words: Iterable[str]) -> Column:
-    """Whether one of the literal words occurs."""
-    return reduce(lambda hit, word: hit | text.contains(word), words, F.lit(False))
+def fold(value: str) -> str:
+    """Lower case in the sense of case-insensitive matching: letters that match i or s without
+    lower-casing to them are replaced first."""
+    odd = f"translate({value}, 'İıſ', 'iis')"
+    return f"lower(if({contains_any(value, 'İıſ')}, {odd}, {value}))"
 
 
-def _substitute(text: Column, steps: Iterable[tuple[str, str]]) -> Column:
-    return reduce(
-        lambda acc, step: F.regexp_replace(acc, java_regex(step[0]), java_replacement(step[1])), steps, text
-    )
+def has_negation(lowered: str) -> str:
+    """Whether a lower-cased message holds a word that rules success out."""
+    return contains_any(lowered, rules.NEGATIONS)
 
 
-def mask_message(message: Column) -> Column:
-    """Template of a message: identifiers, dates and amounts become placeholders.
+def required_word(pattern: str) -> str | None:
+    """The longest piece of text that every match of the pattern contains."""
+    words = [w for w in required_words(pattern) or () if len(w) > 1 or not w.isalnum()]
+    return max(words, key=len, default=None)
 
-    The substitutions are ordered. Whole groups of them are skipped where a character that all
-    of them need is missing.
+
+def matches_any(value: str, folded: str, patterns: Iterable[str]) -> str:
+    """Whether one of the patterns is found anywhere; ``folded`` is ``fold(value)``.
+
+    Case-insensitive plain words need no pattern at all, and the others run, as one
+    alternation, only on a text that holds a word one of them requires.
     """
-    numbers = rules.MASK_NUMBERS + rules.MASK_PROTOCOL + rules.MASK_AMOUNTS
-    lists = [
-        (rf"\{{{kind}\}}{rules.MASK_LIST_JOIN}\{{{kind}\}})+", f"{{{kind}}}") for kind in rules.MASK_COLLAPSED
-    ]
+    patterns = tuple(patterns)
+    plain = [p.removeprefix(IGNORE_CASE) for p in patterns if is_plain(p) and p.startswith(IGNORE_CASE)]
+    others = [p for p in patterns if not (is_plain(p) and p.startswith(IGNORE_CASE))]
+    hits = [contains_any(folded, plain)] if plain else []
+    if others:
+        words = dict.fromkeys(required_word(p) for p in others)
+        found = rlike(value, java_any(others))
+        hits.append(found if None in words else f"({contains_any(folded, words)} AND {found})")
+    return any_of(hits)
+
+
+def matches_prefix(value: str, patterns: Iterable[str]) -> str | None:
+    """Whether one of the patterns matches from the start, ignoring case; ``None`` for always."""
+    patterns = tuple(patterns)
+    if patterns == rules.ANY:
+        return None
+    return rlike(value, java_regex(rf"\A(?:{'|'.join(patterns)})", ignore_case=True))
 
-    def objects(text: Column) -> Column:
-        return F.when(text.contains("@"), _substitute(text, rules.MASK_OBJECTS)).otherwise(text)
 
-    def values(text: Column) -> Column:
-        return F.when(text.rlike(java_regex(r"\d")), _substitute(text, numbers)).otherwise(
-            _substitute(text, rules.MASK_PROTOCOL)
-        )
+def _replace(value: str, steps: Iterable[tuple[str, str]]) -> str:
+    for pattern, replacement in steps:
+        value = f"regexp_replace({value}, {text(java_regex(pattern))}, {text(java_replacement(replacement))})"
+    return value
 
-    def collapse(text: Column) -> Column:
-        return F.when(text.contains("}"), _substitute(text, lists)).otherwise(text)
 
-    masked = bind(_substitute(bind(message, objects), rules.MASK_PREFIX), values)
-    squeezed = F.regexp_replace(bind(masked, collapse), java_regex(ANY_SPACE + "+"), " ")
-    return F.coalesce(F.trim(squeezed), F.lit(""))
+def _substitution(column: str, steps: tuple[tuple[str, str], ...], condition: str | None = None) -> Stage:
+    """Stage of ordered substitutions under a cheap necessary condition: the word a lone
+    pattern requires, or the given one (a template over the column)."""
 
+    def stage(r: Ref) -> dict[str, str]:
+        value = r(column)
+        if condition is not None:
+            guard = condition.format(value)
+        else:
+            word = required_word(steps[0][0])
+            scanned = fold(value) if steps[0][0].startswith(IGNORE_CASE) else value
+            guard = f"contains({scanned}, {text(word)})"
+        return {column: f"if({guard}, {_replace(value, steps)}, {value})"}
 
-def _peel(text: Column, openers: str, pairs: Iterable[tuple[str, str]]) -> Column:
-    """Strip enclosing bracket or quote layers until none is left.
+    return stage
 
-    Each layer uses up at least one character of the leading run of openers, which bounds the
-    number of rounds; a text without such a run is returned as it is.
-    """
-    lead = F.length(F.regexp_extract(text, java_regex(f"^(?:{ANY_SPACE}|[{openers}])*"), 0))
 
-    def once(acc: Column, _: Column) -> Column:
-        inner = strip(F.substring(acc, F.lit(2), F.length(acc) - 2))
-        enclosed = reduce(
-            lambda hit, pair: hit | (acc.startswith(pair[0]) & acc.endswith(pair[1])), pairs, F.lit(False)
-        )
-        return F.when(enclosed, inner).otherwise(acc)
+def mask_stages(source: str, target: str) -> list[Stage]:
+    """Template of a stripped message: identifiers, dates and amounts become placeholders.
 
-    return F.aggregate(F.array_repeat(F.lit(0), lead), text, once)
+    The substitutions keep their order; they are grouped only under conditions that all members
+    of a group need.
+    """
+    dates, (plate, *_), formatted = rules.MASK_NUMBERS[:2], rules.MASK_NUMBERS[2:3], rules.MASK_NUMBERS[3:5]
+    long_numbers, label, rest, cep = (rules.MASK_NUMBERS[5:7], rules.MASK_NUMBERS[7:8], rules.MASK_NUMBERS[8:9],
+                                      rules.MASK_NUMBERS[9:])
+    digit = text(java_regex(r"\d"))
+    eight = text(java_regex(r"\d{8}"))
+    lists = tuple(
+        (rf"\{{{kind}\}}{rules.MASK_LIST_JOIN}\{{{kind}\}})+", f"{{{kind}}}") for kind in rules.MASK_COLLAPSED
+    )
+    return [
+        lambda r: {target: r(source)},
+        _substitution(target, rules.MASK_OBJECTS, "contains({0}, '@')"),
+        _substitution(target, rules.MASK_PREFIX, f"contains({fold('{0}')}, 'rejei')"),
+        _substitution(target, dates, "(contains({0}, '/') OR contains({0}, '-'))"),
+        _substitution(target, (plate,), "{0} RLIKE " + digit.replace("{", "{{").replace("}", "}}")),
+        _substitution(target, formatted, "contains({0}, '-')"),
+        _substitution(target, long_numbers, "{0} RLIKE " + eight.replace("{", "{{").replace("}", "}}")),
+        _substitution(target, label),
+        _substitution(target, rest, "{0} RLIKE " + eight.replace("{", "{{").replace("}", "}}")),
+        _substitution(target, cep, "{0} RLIKE " + text(java_regex(r"\d-\d|\d{8}")).replace("{", "{{").replace("}", "}}")),
+        _substitution(target, rules.MASK_PROTOCOL),
+        _substitution(target, rules.MASK_AMOUNTS, "(contains({0}, ',') OR contains({0}, '.'))"),
+        _substitution(target, lists, "contains({0}, '}}')"),
+        lambda r: {target: f"trim(regexp_replace({r(target)}, {text(java_regex(ANY_SPACE + '+'))}, ' '))"},
+    ]
 
 
-def split_message(message: Column) -> Column:
-    """Single messages of a text that may hold a quoted, comma-separated list.
+def _peel(value: str, openers: str, pairs: Iterable[tuple[str, str]]) -> str:
+    """Strip enclosing bracket or quote layers until none is left.
 
-    Only a comma between quotes separates; parts that are empty after unquoting are dropped.
+    Each layer uses up at least one character of the leading run of openers, which bounds the
+    number of rounds; a text without such a run is returned as it is.
     """
-    plain = strip(F.replace(F.replace(message, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'")))
-    quotes = (('"', '"'), ("'", "'"))
-    body = bind(plain, lambda t: _peel(t, "\\[\"'", (("[", "]"), *quotes)))
-    separator = java_regex(rules.MESSAGE_SEPARATOR.replace(r"\s", ANY_SPACE))
-    parts = F.transform(F.split(body, separator, -1), lambda p: bind(strip(p), lambda t: _peel(t, "\"'", quotes)))
-    return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda p: p != "")
+    run = text(java_regex(f"^(?:{ANY_SPACE}|[{openers}])*"))
+    enclosed = any_of(f"(startswith(acc, {text(a)}) AND endswith(acc, {text(b)}))" for a, b in pairs)
+    inner = strip("substring(acc, 2, length(acc) - 2)")
+    rounds = f"array_repeat(0, length(regexp_extract({value}, {run}, 0)))"
+    return f"aggregate({rounds}, {value}, (acc, n) -> if({enclosed}, {inner}, acc))"
 
 
-def has_negation(lowered: Column) -> Column:
-    """Whether a lower-cased message holds a word that rules success out."""
-    return contains_any(lowered, rules.NEGATIONS)
+def split_message(message: str) -> str:
+    """Array of the single messages of a text that may hold a quoted, comma-separated list.
 
+    Only a comma between quotes separates; parts that are empty after unquoting are dropped. A
+    text without quotes and without a leading bracket is its own and only part.
+    """
+    quotes = (('"', '"'), ("'", "'"))
+    separator = text(java_regex(rules.MESSAGE_SEPARATOR.replace(r"\s", ANY_SPACE)))
 
-def matches_any(text: Column, patterns: Iterable[str], ignore_case: bool = False) -> Column:
-    """Whether one of the patterns is found anywhere."""
-    return text.rlike(java_any(tuple(patterns), ignore_case))
+    def full(value: str) -> str:
+        unescaped = f"replace(replace({value}, {text(chr(92) + chr(34))}, {text(chr(34))}), {text(chr(92) + chr(39))}, {text(chr(39))})"
+        body = bind(strip(unescaped), lambda t: _peel(t, "\\[\"'", (("[", "]"), *quotes)))
+        parts = each(f"split({body}, {separator}, -1)",
+                     lambda p, _: bind(strip(p), lambda t: _peel(t, "\"'", quotes)))
+        return keep(parts, lambda p: f"{p} != ''")
 
+    def split(value: str) -> str:
+        plain = f"NOT ({contains_any(value, chr(34) + chr(39))} OR startswith({value}, '['))"
+        alone = f"if({value} = '', CAST(array() AS ARRAY<STRING>), array({value}))"
+        return case([(f"{value} IS NULL", "CAST(array() AS ARRAY<STRING>)"), (plain, alone)], full(value))
 
-def matches_prefix(text: Column, patterns: Iterable[str]) -> Column:
-    """Whether one of the patterns matches from the start of the text, ignoring case."""
-    patterns = tuple(patterns)
-    if patterns == rules.ANY:
-        return F.lit(True)
-    return text.rlike(java_regex(rf"\A(?:{'|'.join(patterns)})", ignore_case=True))
+    return bind(strip(message), split)

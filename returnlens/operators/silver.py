@@ -1,30 +1,32 @@
 """Canonical logs to classified logs with their rejections and entities.
 
 The whole step is row-local: messages, their classification, the worst result, the caps and the
-entities stay in arrays of their log, so no row moves between partitions until a query asks for
-it. ``dim_log`` and the two fact tables are projections of this nested table.
+entities stay with their log, so no row moves between partitions until a query asks for it.
+``dim_log`` and the two fact tables are projections of this nested table.
+
+A log with one message of ordinary length, the common case, is classified as plain columns in
+generated code. Only the others run the same stages over the elements of their message array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.functions import rules
 from returnlens.functions.classify import (
     UNCATEGORISED_INDEX,
-    context_index,
+    classification_stages,
     description,
     general_status,
-    operational_result,
-    raw_and_masked,
-    semantic_index,
+    prepare_stages,
     semantic_labels,
+    semantic_stages,
     worst_result,
 )
 from returnlens.functions.entities import entity_rows, excess_entities, found_entities
 from returnlens.functions.payload import extract_protocol, pair_messages, parse_payload
-from returnlens.functions.text import bind, has_negation, mask_message, strip
+from returnlens.functions.sqltext import Ref, Stage, bind, keep, run_on_array, run_on_table, struct, text, text_list
 
 DIM_COLUMNS = ("log_id", "protocolo", "data_evento", "contratante", "funcionalidade", "status_geral",
                "resultado_operacional")
@@ -35,141 +37,120 @@ FACT_COLUMNS = ("rejeicao_id", "log_id", "codigo_antt", "categoria_operacional",
 ENTITY_COLUMNS = ("entidade_id", "rejeicao_id", "entidade_tipo", "entidade_valor")
 
 
-def classified_messages(pairs: Column, functionality: Column) -> Column:
-    """Classified pairs: message and code with masks, rule positions and the result struct.
-
-    Each ``transform`` works on the fields the one before it computed, so that no text is
-    stripped, lowered or masked twice.
-    """
-    function = strip(functionality)
-
-    def clean(p: Column, i: Column) -> Column:
-        return F.struct(i.alias("pos"), p["mensagem"].alias("mensagem"), p["codigo"].alias("codigo"),
-                        strip(p["mensagem"]).alias("limpa"))
-
-    def derive(p: Column) -> Column:
-        lowered = F.lower(p["limpa"])
-        return F.struct(p["pos"], p["mensagem"], p["codigo"], p["limpa"], lowered.alias("minuscula"),
-                        has_negation(lowered).alias("negada"), mask_message(p["limpa"]).alias("mascara"))
-
-    def position(p: Column) -> Column:
-        return F.struct(
-            p["pos"], p["mensagem"], p["codigo"], p["limpa"], p["minuscula"], p["negada"], p["mascara"],
-            semantic_index(p["limpa"], raw_and_masked(p["limpa"], p["mascara"]), p["codigo"]).alias("semantica"),
-            context_index(p["limpa"], p["negada"], p["codigo"], function).alias("contexto"),
-        )
-
-    def result(p: Column) -> Column:
-        return F.struct(
-            p["pos"], p["mensagem"], p["codigo"], p["limpa"], p["mascara"], p["semantica"],
-            operational_result(p["limpa"], p["minuscula"], p["negada"], p["codigo"], function, p["semantica"],
-                               p["contexto"]).alias("resultado"),
-        )
-
-    return F.transform(F.transform(F.transform(F.transform(pairs, clean), derive), position), result)
-
-
-def rejection_rows(messages: Column, log_id: Column) -> Column:
-    """Rejections to keep of one log, at most ten, each with its entities."""
-    kept = F.slice(
-        F.filter(messages, lambda p: p["resultado"]["resultado_operacional"].isin(*rules.REJECTION_RESULTS)),
-        1,
-        rules.MAX_REJECTIONS_PER_LOG,
+PAIR_FIELDS = ("pos", "mensagem", "codigo")
+MARKED = f"concat(substring({{0}}, 1, {rules.MAX_MESSAGE_LENGTH}), {text(rules.TRUNCATION_MARK)})"
+
+
+def _rejection_stages(log_id: str = "log_id") -> list[Stage]:
+    """Classified message to the fields of its rejection."""
+    return [
+        lambda r: {"rejeicao_id": f"concat({log_id}, '_rej_', {r('pos')})", "achados": found_entities(r("mensagem"))},
+        lambda r: {"rejeicao": _rejection(r)},
+    ]
+
+
+def _rejection(r: Ref) -> str:
+    """Struct of the fact columns plus the entities. A technical failure without a rule of its
+    own gets integration labels instead of the semantic ones."""
+    label, kind = r("rotulo"), r("tipo_erro_tecnico")
+    kind_text = f"coalesce({kind}, 'None')"
+    technical = (f"({r('resultado_operacional')} IN ({text_list(rules.TECHNICAL_RESULTS)})"
+                 f" AND {r('semantica')} >= {UNCATEGORISED_INDEX})")
+    integration = text(rules.INTEGRATION_CATEGORIES[0])
+
+    def choose(for_technical: str, semantic: str) -> str:
+        return f"if({technical}, {for_technical}, {semantic})"
+
+    category = choose(integration, f"{label}.categoria")
+    return struct(
+        rejeicao_id=r("rejeicao_id"),
+        codigo_antt=r("codigo"),
+        categoria_operacional=category,
+        tipo_rejeicao_semantica=choose("NULL", f"{label}.template"),
+        subtipo_rejeicao=choose(f"concat('Erro técnico: ', {kind_text})",
+                                description(r("semantica"), label, r("limpa"))),
+        categoria=category,
+        severidade=r("severidade"),
+        causa_raiz=choose(integration, f"{label}.causa"),
+        orientacao_operacional=choose(f"concat('Erro técnico detectado (', {kind_text}, '). Contatar suporte.')",
+                                      f"{label}.orientacao"),
+        mensagem=r("mensagem"),
+        mensagem_original=r("mensagem"),
+        mensagem_normalizada=r("mascara"),
+        template_oficial=choose("NULL", f"{label}.template"),
+        resultado_operacional=r("resultado_operacional"),
+        tipo_erro_tecnico=kind,
+        entidades=entity_rows(r("achados"), r("rejeicao_id")),
+        entidades_excedentes=excess_entities(r("achados")),
     )
 
-    def truncate(p: Column) -> Column:
-        """A message over the limit is cut, and its semantic labels come from the cut text."""
-
-        def relabel(clean: Column) -> Column:
-            return bind(
-                F.struct(clean.alias("limpa"), mask_message(clean).alias("mascara")),
-                lambda m: F.struct(
-                    m["limpa"], m["mascara"],
-                    semantic_index(m["limpa"], raw_and_masked(m["limpa"], m["mascara"]), p["codigo"]).alias("semantica"),
-                ),
-            )
-
-        long = F.length(p["mensagem"]) > rules.MAX_MESSAGE_LENGTH
-        cut = F.concat(F.substring(p["mensagem"], 1, rules.MAX_MESSAGE_LENGTH), F.lit(rules.TRUNCATION_MARK))
-        return F.struct(
-            p["pos"], p["codigo"], p["resultado"],
-            F.when(long, cut).otherwise(p["mensagem"]).alias("mensagem"),
-            F.when(long, bind(strip(cut), relabel))
-            .otherwise(F.struct(p["limpa"], p["mascara"], p["semantica"]))
-            .alias("texto"),
-            F.concat(log_id, F.lit("_rej_"), p["pos"]).alias("id"),
-        )
-
-    def label(p: Column) -> Column:
-        return F.struct(p["pos"], p["codigo"], p["resultado"], p["mensagem"], p["texto"], p["id"],
-                        semantic_labels(p["texto"]["semantica"]).alias("rotulo"),
-                        found_entities(p["mensagem"]).alias("achados"))
-
-    def assemble(p: Column) -> Column:
-        result, labels, text = p["resultado"], p["rotulo"], p["texto"]
-        kind = result["tipo_erro_tecnico"]
-        kind_text = F.coalesce(kind, F.lit("None"))
-        plain_technical = result["resultado_operacional"].isin(*rules.TECHNICAL_RESULTS) & (
-            text["semantica"] >= UNCATEGORISED_INDEX
-        )
-
-        def choose(technical: Column, semantic: Column) -> Column:
-            return F.when(plain_technical, technical).otherwise(semantic)
-
-        integration = F.lit(rules.INTEGRATION_CATEGORIES[0])
-        nothing = F.lit(None).cast("string")
-        category = choose(integration, labels["categoria"])
-        return F.struct(
-            p["id"].alias("rejeicao_id"),
-            p["codigo"].alias("codigo_antt"),
-            category.alias("categoria_operacional"),
-            choose(nothing, labels["template"]).alias("tipo_rejeicao_semantica"),
-            choose(F.concat(F.lit("Erro técnico: "), kind_text),
-                   description(text["semantica"], labels, text["limpa"])).alias("subtipo_rejeicao"),
-            category.alias("categoria"),
-            result["severidade"].alias("severidade"),
-            choose(integration, labels["causa"]).alias("causa_raiz"),
-            choose(F.concat(F.lit("Erro técnico detectado ("), kind_text, F.lit("). Contatar suporte.")),
-                   labels["orientacao"]).alias("orientacao_operacional"),
-            p["mensagem"].alias("mensagem"),
-            p["mensagem"].alias("mensagem_original"),
-            text["mascara"].alias("mensagem_normalizada"),
-            choose(nothing, labels["template"]).alias("template_oficial"),
-            result["resultado_operacional"].alias("resultado_operacional"),
-            kind.alias("tipo_erro_tecnico"),
-            entity_rows(p["achados"], p["id"]).alias("entidades"),
-            excess_entities(p["achados"]).alias("entidades_excedentes"),
-        )
-
-    return F.transform(F.transform(F.transform(kept, truncate), label), assemble)
-
-
-def classify_logs(canonical: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+
+def classified_messages(pairs: str, functionality: str = "funcionalidade") -> str:
+    """Pairs with their classification: rule positions, result and labels as struct fields."""
+    return run_on_array(pairs, PAIR_FIELDS, classification_stages(functionality))
+
+
+def _kept_rejections(classified: str) -> str:
+    """Rejections of a classified array, at most ten; an overlong message is cut, and its
+    semantic labels come from the cut text."""
+    fields = ("pos", "mensagem", "codigo", "limpa", "mascara", "semantica", "resultado_operacional",
+              "tipo_erro_tecnico", "severidade")
+    kept = keep(classified, lambda p: f"{p}.resultado_operacional IN ({text_list(rules.REJECTION_RESULTS)})")
+    slim = run_on_array(f"slice({kept}, 1, {rules.MAX_REJECTIONS_PER_LOG})", (),
+                        [lambda r: {f: r(f) for f in fields}])
+
+    def relabelled(p: str) -> str:
+        cut = struct(mensagem=MARKED.format(f"{p}.mensagem"), codigo=f"{p}.codigo")
+        stages = [*prepare_stages(), *semantic_stages()]
+        return f"get({run_on_array(f'array({cut})', ('mensagem', 'codigo'), stages)}, 0)"
+
+    def shorten(p: str) -> str:
+        same = {f: f"{p}.{f}" for f in fields}
+        cut = bind(relabelled(p), lambda c: struct(
+            **(same | {f: f"{c}.{f}" for f in ("mensagem", "limpa", "mascara", "semantica")})))
+        return f"if(length({p}.mensagem) > {rules.MAX_MESSAGE_LENGTH}, {cut}, {struct(**same)})"
+
+    item = "rejeitada"
+    short = f"transform({slim}, {item} -> {shorten(item)})"
+    labelled = run_on_array(short, fields, [lambda r: {"rotulo": semantic_labels(r("semantica"))}, *_rejection_stages()])
+    return f"transform({labelled}, p -> p.rejeicao)"
+
+
+def classify_logs(canonical: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """Nested silver table: one row per log, the ``dim_log`` columns and ``rejeicoes``.
 
-    Input: the canonical columns plus ``log_id``; ``keep`` columns are carried along.
+    Input: the canonical columns plus ``log_id``; ``keep_columns`` are carried along.
     """
-    carried = [F.col(c) for c in keep]
-    messages = canonical.select(
+    log = ["log_id", "protocolo", "data_evento", "contratante", "funcionalidade", *keep_columns]
+    df = canonical.selectExpr(
         "log_id",
-        extract_protocol(F.col("cod_mensagem"), F.col("des_resposta"), F.col("cod_protocolo")).alias("protocolo"),
-        F.col("data").alias("data_evento"),
-        "contratante",
-        "funcionalidade",
-        classified_messages(
-            pair_messages(parse_payload(F.col("cod_mensagem"), F.col("des_resposta"))), F.col("funcionalidade")
-        ).alias("_mensagens"),
-        *carried,
+        f"{extract_protocol('cod_mensagem', 'des_resposta', 'cod_protocolo')} AS protocolo",
+        "data AS data_evento", "contratante", "funcionalidade",
+        f"{parse_payload('cod_mensagem', 'des_resposta')} AS payload",
+        *keep_columns,
     )
-    worst = worst_result(F.transform("_mensagens", lambda p: p["resultado"]["resultado_operacional"]))
-    rejections = rejection_rows(F.col("_mensagens"), F.col("log_id"))
-    return messages.withColumn("resultado_operacional", worst).select(
-        *(c for c in DIM_COLUMNS[:-2]),
-        general_status(F.col("resultado_operacional")).alias("status_geral"),
-        "resultado_operacional",
-        rejections.alias("rejeicoes"),
-        *carried,
+    df = df.selectExpr(*log, f"{pair_messages('payload')} AS pares")
+    single = f"size(pares) = 1 AND length(get(pares, 0).mensagem) <= {rules.MAX_MESSAGE_LENGTH}"
+    df = df.selectExpr(*log, f"{single} AS unica", f"if({single}, NULL, pares) AS pares", "0 AS pos",
+                       f"if({single}, get(pares, 0).mensagem, '') AS mensagem",
+                       f"if({single}, get(pares, 0).codigo, '') AS codigo")
+    df = run_on_table(df, classification_stages())
+    df = df.selectExpr(*log, "unica", "pos", "mensagem", "codigo", "limpa", "mascara", "semantica", "rotulo",
+                       "resultado_operacional", "tipo_erro_tecnico", "severidade",
+                       f"{classified_messages('pares')} AS classificadas")
+    rejected = f"resultado_operacional IN ({text_list(rules.REJECTION_RESULTS)})"
+    first, last = _rejection_stages()
+    df = run_on_table(df, [first])
+    row = last(lambda name: name)["rejeicao"]
+    empty = "slice(array({0}), 1, 0)".format(row)
+    worst = worst_result("transform(classificadas, p -> p.resultado_operacional)")
+    df = df.selectExpr(
+        *log, f"if(unica, resultado_operacional, {worst}) AS resultado_operacional",
+        f"CASE WHEN NOT unica THEN {_kept_rejections('classificadas')} WHEN {rejected} THEN array({row})"
+        f" ELSE {empty} END AS rejeicoes",
     )
+    return df.selectExpr(*DIM_COLUMNS[:-2], f"{general_status('resultado_operacional')} AS status_geral",
+                         "resultado_operacional", "rejeicoes", *keep_columns)
 
 
 def dim_log(silver: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
