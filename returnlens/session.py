@@ -15,6 +15,9 @@ SQL_SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # A repeated JSON key is legal in the payloads; the last one wins.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # The JIT compiler leaves methods over 8000 bytes of bytecode interpreted; beyond that the
+    # projections of the rule chains run faster one by one than fused.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Settings that only count when the session is built. Recording the Python line of every column
