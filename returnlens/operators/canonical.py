@@ -68,15 +68,6 @@ def canonicalize(raw: DataFrame, ingest_ts: Column | None = None, keep: tuple[st
     )
 
 
-def with_position_key(df: DataFrame, *prefix: Column) -> DataFrame:
-    """``log_id`` from the position of the row in the scan.
-
-    Needs no shuffle and no second pass, and is the same again when a task is retried, because
-    the splits of a scan are fixed. It must be added directly above the scan.
-    """
-    return df.withColumn("log_id", F.concat_ws("_", F.lit("log"), *prefix, F.monotonically_increasing_id()))
-
-
 def with_dense_key(df: DataFrame) -> DataFrame:
     """``log_id`` as a gap-free row number in scan order.
 
@@ -95,3 +86,10 @@ def with_dense_key(df: DataFrame) -> DataFrame:
     local = F.col("_position") - F.shiftleft(partition, local_bits)
     index = F.get(table, partition.cast("int")).cast("bigint") + local
     return tagged.withColumn("log_id", F.concat(F.lit("log_"), index)).drop("_position")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core for a scan that has fewer splits than there are cores. A large scan stays
+    as it is and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
