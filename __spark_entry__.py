@@ -282,8 +282,8 @@ FILTERED_REPORTS = ("executive_kpis", "top_rejections", "data_quality", "error_t
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Most frequent rejection types, straight from the raw logs."""
-    return _rounded(overview.top_rejections(LogModel.from_nested(_classified(spark, SMOKE_DIR))))
+    """Most frequent rejection types."""
+    return _rounded(overview.top_rejections(_model(spark, SMOKE_DIR)))
 
 
 def queries() -> dict[str, Query]:

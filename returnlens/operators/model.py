@@ -39,6 +39,7 @@ class LogModel(ABC):
 
     @staticmethod
     def from_nested(silver: DataFrame) -> LogModel:
+        """Over a stored nested table. Of its arrays only the fields a report asks for are read."""
         return NestedLogModel(silver)
 
     @staticmethod

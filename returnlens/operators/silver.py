@@ -144,9 +144,13 @@ def classify_logs(canonical: DataFrame, keep_columns: tuple[str, ...] = ()) -> D
     row = last(lambda name: name)["rejeicao"]
     empty = "slice(array({0}), 1, 0)".format(row)
     worst = worst_result("transform(classificadas, p -> p.resultado_operacional)")
+    # The optimizer moves filters below projections by inlining every column they name, which
+    # multiplies through the stages above without bound. It does not move them below a
+    # projection that depends on the row position.
+    fenced = "(unica AND monotonically_increasing_id() >= 0)"
     df = df.selectExpr(
-        *log, f"if(unica, resultado_operacional, {worst}) AS resultado_operacional",
-        f"CASE WHEN NOT unica THEN {_kept_rejections('classificadas')} WHEN {rejected} THEN array({row})"
+        *log, f"if({fenced}, resultado_operacional, {worst}) AS resultado_operacional",
+        f"CASE WHEN NOT {fenced} THEN {_kept_rejections('classificadas')} WHEN {rejected} THEN array({row})"
         f" ELSE {empty} END AS rejeicoes",
     )
     return df.selectExpr(*DIM_COLUMNS[:-2], f"{general_status('resultado_operacional')} AS status_geral",
@@ -159,15 +163,16 @@ def dim_log(silver: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def fact_rejections(silver: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per kept rejection."""
-    rows = silver.select("log_id", *keep, F.explode("rejeicoes").alias("r"))
-    return rows.select(*(F.col("log_id") if c == "log_id" else F.col(f"r.{c}") for c in FACT_COLUMNS), *keep)
+    """One row per kept rejection.
+
+    ``inline`` hands over whole rows, which suits a table that is still being computed: the
+    optimizer pushes no single fields into its expressions.
+    """
+    rows = silver.select("log_id", *keep, F.inline("rejeicoes"))
+    return rows.select(*FACT_COLUMNS, *keep)
 
 
 def fact_entities(silver: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per kept entity."""
-    rejections = silver.select(*keep, F.explode("rejeicoes").alias("r"))
-    rows = rejections.select(*keep, F.col("r.rejeicao_id"), F.explode("r.entidades").alias("e"))
-    return rows.select(
-        *(F.col("rejeicao_id") if c == "rejeicao_id" else F.col(f"e.{c}") for c in ENTITY_COLUMNS), *keep
-    )
+    rejections = silver.select(*keep, F.inline("rejeicoes")).select("rejeicao_id", "entidades", *keep)
+    return rejections.select("rejeicao_id", *keep, F.inline("entidades")).select(*ENTITY_COLUMNS, *keep)
