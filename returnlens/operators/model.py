@@ -8,8 +8,9 @@ size. From three flat tables they are equi-joins on ``log_id`` and ``rejeicao_id
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.operators.filters import LogFilter
@@ -27,13 +28,17 @@ LOG_RESULT = "resultado_log"
 LOG_COLUMNS = DIM_COLUMNS[:-1]
 REJECTION_ONLY = tuple(c for c in FACT_COLUMNS if c != "log_id")
 ENTITY_ONLY = tuple(c for c in ENTITY_COLUMNS if c != "rejeicao_id")
-KINDS_TYPE = "array<string>"
 
 
 def _log_columns(prefix: str = "") -> list:
     return [*(F.col(prefix + c) for c in LOG_COLUMNS), F.col(prefix + DIM_COLUMNS[-1]).alias(LOG_RESULT)]
 
 
+def _some_rejection(predicate: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """The predicate holds for an element of the log's rejection array."""
+    return F.exists("rejeicoes", lambda r: predicate(lambda name: r[name]))
+
+
 class LogModel(ABC):
     """Logs under a filter, with their rejections and entities."""
 
@@ -78,7 +83,7 @@ class NestedLogModel(LogModel):
     def where(self, log_filter: LogFilter) -> LogModel:
         df = self.silver.where(log_filter.log_predicate())
         for predicate in log_filter.rejection_predicates():
-            df = df.where(F.exists("rejeicoes", lambda r, p=predicate: p(lambda name: r[name])))
+            df = df.where(_some_rejection(predicate))
         return NestedLogModel(df)
 
     def logs(self) -> DataFrame:
