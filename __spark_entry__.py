@@ -103,7 +103,9 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = _canonical(configure_session(spark), sf_dir)
     payload = canonical.selectExpr("log_id", "funcionalidade", f"{parse_payload('cod_mensagem', 'des_resposta')} AS payload")
     pairs = payload.selectExpr("log_id", "funcionalidade", f"{pair_messages('payload')} AS pares")
-    return pairs.selectExpr("log_id", "funcionalidade", "inline(pares)")
+    # The outer form, with its empty rows dropped, spares the size test the optimizer would put
+    # below a plain generator, and with it a second evaluation of the pairs.
+    return pairs.selectExpr("log_id", "funcionalidade", "inline_outer(pares)").where("mensagem IS NOT NULL")
 
 
 def _on_messages(stages: list, *columns: str) -> Query:
