@@ -15,7 +15,7 @@ DELIMITERS = (";", ",")
 DEFAULT_DELIMITER = ";"
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 # The binary source holds a file in one row, which bounds its size.
-MAX_BINARY_BYTES = 256 * 1024 * 1024
+MAX_BINARY_BYTES = 64 * 1024 * 1024
 # Up to this many files the file table is broadcast to the scan; it holds a path and a hash each.
 MAX_BROADCAST_FILES = 200_000
 
