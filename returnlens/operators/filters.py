@@ -29,6 +29,10 @@ def ilike_contains(column: Column, text: str) -> Column:
     return column.ilike(_pattern(text))
 
 
+def _one_of(values: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda column: column.isin(*values)
+
+
 def all_of(conditions: list[Column]) -> Column:
     """Conjunction; true without conditions."""
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
@@ -71,18 +75,16 @@ class LogFilter:
             conditions.append(F.col("funcionalidade").isin(*self.funcionalidades))
         return all_of(conditions)
 
-    def rejection_predicates(self) -> list[Callable[[Callable[[str], Column]], Column]]:
-        """Conditions of which each must hold for some rejection of the log; a condition takes a
-        function that yields a rejection column by name."""
-        predicates: list[Callable[[Callable[[str], Column]], Column]] = []
-        if self.causas:
-            predicates.append(lambda r: r("causa_raiz").isin(*self.causas))
-        if self.tipos:
-            predicates.append(lambda r: r("tipo_rejeicao_semantica").isin(*self.tipos))
-        if self.codigos:
-            predicates.append(lambda r: r("codigo_antt").isin(*self.codigos))
+    def rejection_predicates(self) -> list[tuple[str, Callable[[Column], Column]]]:
+        """Conditions on one rejection column each, of which each must hold for some rejection of
+        the log."""
+        predicates: list[tuple[str, Callable[[Column], Column]]] = []
+        for name, values in (("causa_raiz", self.causas), ("tipo_rejeicao_semantica", self.tipos),
+                             ("codigo_antt", self.codigos)):
+            if values:
+                predicates.append((name, _one_of(values)))
         if self.mensagem.strip():
-            predicates.append(lambda r: ilike_contains(r("mensagem"), self.mensagem))
+            predicates.append(("mensagem", lambda column: ilike_contains(column, self.mensagem)))
         return predicates
 
 

@@ -8,9 +8,8 @@ size. From three flat tables they are equi-joins on ``log_id`` and ``rejeicao_id
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.operators.filters import LogFilter
@@ -19,8 +18,6 @@ from returnlens.operators.silver import (
     ENTITY_COLUMNS,
     FACT_COLUMNS,
     dim_log,
-    fact_entities,
-    fact_rejections,
 )
 
 # The log's own result is renamed where both results stand in one row.
@@ -34,11 +31,6 @@ def _log_columns(prefix: str = "") -> list:
     return [*(F.col(prefix + c) for c in LOG_COLUMNS), F.col(prefix + DIM_COLUMNS[-1]).alias(LOG_RESULT)]
 
 
-def _some_rejection(predicate: Callable[[Callable[[str], Column]], Column]) -> Column:
-    """The predicate holds for an element of the log's rejection array."""
-    return F.exists("rejeicoes", lambda r: predicate(lambda name: r[name]))
-
-
 class LogModel(ABC):
     """Logs under a filter, with their rejections and entities."""
 
@@ -60,16 +52,17 @@ class LogModel(ABC):
         """One row per log."""
 
     @abstractmethod
-    def rejections(self) -> DataFrame:
-        """Log INNER JOIN rejection."""
+    def rejections(self, *columns: str) -> DataFrame:
+        """Log INNER JOIN rejection, with the given rejection columns or all."""
 
     @abstractmethod
-    def logs_with_rejections(self, with_entities: bool = False) -> DataFrame:
-        """Log LEFT JOIN rejection; with ``entidades`` (the rejection's entity array) on request."""
+    def logs_with_rejections(self, *columns: str) -> DataFrame:
+        """Log LEFT JOIN rejection, with the given rejection columns or all. ``entidades``, the
+        rejection's entity array, only comes when it is named."""
 
     @abstractmethod
-    def entities(self) -> DataFrame:
-        """Entity INNER JOIN rejection INNER JOIN log."""
+    def entities(self, *columns: str) -> DataFrame:
+        """Entity INNER JOIN rejection INNER JOIN log, with the given rejection columns or all."""
 
     @abstractmethod
     def all_rejections(self) -> DataFrame:
@@ -77,38 +70,41 @@ class LogModel(ABC):
 
 
 class NestedLogModel(LogModel):
+    """The arrays are zipped from the named fields only. A scan prunes fields read that way,
+    but reads whole elements for an explode of which several fields are used."""
+
     def __init__(self, silver: DataFrame):
         self.silver = silver
 
     def where(self, log_filter: LogFilter) -> LogModel:
         df = self.silver.where(log_filter.log_predicate())
-        for predicate in log_filter.rejection_predicates():
-            df = df.where(_some_rejection(predicate))
+        for name, predicate in log_filter.rejection_predicates():
+            df = df.where(F.exists(F.col(f"rejeicoes.{name}"), predicate))
         return NestedLogModel(df)
 
     def logs(self) -> DataFrame:
         return dim_log(self.silver)
 
-    def rejections(self) -> DataFrame:
-        rows = self.silver.select(*_log_columns(), F.explode("rejeicoes").alias("r"))
-        return rows.select(*LOG_COLUMNS, LOG_RESULT, *(F.col(f"r.{c}") for c in REJECTION_ONLY))
+    def _zipped(self, columns: tuple[str, ...], outer: bool) -> DataFrame:
+        zipped = F.arrays_zip(*(F.col(f"rejeicoes.{c}") for c in columns))
+        rows = self.silver.select(*_log_columns(), (F.inline_outer if outer else F.inline)(zipped))
+        return rows.toDF(*LOG_COLUMNS, LOG_RESULT, *columns)
 
-    def logs_with_rejections(self, with_entities: bool = False) -> DataFrame:
-        rows = self.silver.select(*_log_columns(), F.explode_outer("rejeicoes").alias("r"))
-        extra = [F.col("r.entidades")] if with_entities else []
-        return rows.select(*LOG_COLUMNS, LOG_RESULT, *(F.col(f"r.{c}") for c in REJECTION_ONLY), *extra)
+    def rejections(self, *columns: str) -> DataFrame:
+        return self._zipped(columns or REJECTION_ONLY, outer=False)
 
-    def entities(self) -> DataFrame:
-        rows = self.silver.select(*_log_columns(), F.explode("rejeicoes").alias("r"))
-        rows = rows.select(*LOG_COLUMNS, LOG_RESULT, *(F.col(f"r.{c}") for c in REJECTION_ONLY),
-                           F.explode("r.entidades").alias("e"))
-        return rows.select(*LOG_COLUMNS, LOG_RESULT, *REJECTION_ONLY, *(F.col(f"e.{c}") for c in ENTITY_ONLY))
+    def logs_with_rejections(self, *columns: str) -> DataFrame:
+        return self._zipped(columns or REJECTION_ONLY, outer=True)
 
-    def all_rejections(self) -> DataFrame:
-        return fact_rejections(self.silver)
+    def entities(self, *columns: str) -> DataFrame:
+        columns = columns or REJECTION_ONLY
+        rows = self._zipped((*columns, "entidades"), outer=False)
+        return rows.select(*LOG_COLUMNS, LOG_RESULT, *columns, F.inline("entidades")).select(
+            *LOG_COLUMNS, LOG_RESULT, *columns, *ENTITY_ONLY
+        )
 
-    def tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return dim_log(self.silver), fact_rejections(self.silver), fact_entities(self.silver)
+    def all_rejections(self) -> DataFrame:
+        return self.rejections()
 
 
 class FlatLogModel(LogModel):
@@ -119,32 +115,31 @@ class FlatLogModel(LogModel):
 
     def where(self, log_filter: LogFilter) -> LogModel:
         dim = self.dim.where(log_filter.log_predicate())
-        for predicate in log_filter.rejection_predicates():
-            chosen = self.fact.where(predicate(F.col)).select("log_id")
+        for name, predicate in log_filter.rejection_predicates():
+            chosen = self.fact.where(predicate(F.col(name))).select("log_id")
             dim = dim.join(chosen, "log_id", "left_semi")
         return FlatLogModel(dim, self.fact, self.entity)
 
-    def _renamed(self) -> DataFrame:
-        return self.dim.select(*_log_columns())
+    def _joined(self, how: str) -> DataFrame:
+        return self.dim.select(*_log_columns()).join(self.fact, "log_id", how)
 
     def logs(self) -> DataFrame:
         return self.dim
 
-    def rejections(self) -> DataFrame:
-        return self._renamed().join(self.fact, "log_id", "inner").select(*LOG_COLUMNS, LOG_RESULT, *REJECTION_ONLY)
+    def rejections(self, *columns: str) -> DataFrame:
+        return self._joined("inner").select(*LOG_COLUMNS, LOG_RESULT, *(columns or REJECTION_ONLY))
 
-    def logs_with_rejections(self, with_entities: bool = False) -> DataFrame:
-        joined = self._renamed().join(self.fact, "log_id", "left")
-        extra = []
-        if with_entities:
+    def logs_with_rejections(self, *columns: str) -> DataFrame:
+        joined = self._joined("left")
+        if "entidades" in columns:
             item = F.struct(*(F.col(c) for c in ENTITY_ONLY))
             grouped = self.entity.groupBy("rejeicao_id").agg(F.collect_list(item).alias("entidades"))
-            joined, extra = joined.join(grouped, "rejeicao_id", "left"), ["entidades"]
-        return joined.select(*LOG_COLUMNS, LOG_RESULT, *REJECTION_ONLY, *extra)
+            joined = joined.join(grouped, "rejeicao_id", "left")
+        return joined.select(*LOG_COLUMNS, LOG_RESULT, *(columns or REJECTION_ONLY))
 
-    def entities(self) -> DataFrame:
-        return self.rejections().join(self.entity, "rejeicao_id", "inner").select(
-            *LOG_COLUMNS, LOG_RESULT, *REJECTION_ONLY, *ENTITY_ONLY
+    def entities(self, *columns: str) -> DataFrame:
+        return self._joined("inner").join(self.entity, "rejeicao_id", "inner").select(
+            *LOG_COLUMNS, LOG_RESULT, *(columns or REJECTION_ONLY), *ENTITY_ONLY
         )
 
     def all_rejections(self) -> DataFrame:

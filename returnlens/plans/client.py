@@ -29,7 +29,7 @@ def client_scorecard(model: LogModel, contratante: str | None = None) -> DataFra
     model = _of(model, contratante)
     business = F.col("resultado_operacional") == "REJEICAO_NEGOCIO"
     totals = model.logs().groupBy("contratante").agg(F.count(F.lit(1)).alias("total"))
-    rejected = model.rejections().groupBy("contratante").agg(
+    rejected = model.rejections("severidade", "resultado_operacional", "categoria_operacional").groupBy("contratante").agg(
         *severity_counts(only_errors=False),
         count_if(business).alias("rejeicoes_negocio"),
         count_if(F.col("resultado_operacional").isin(*rules.TECHNICAL_RESULTS)).alias("erros_tecnicos"),
@@ -51,7 +51,7 @@ def _business(model: LogModel, contratante: str | None):
 def client_recurrent_entities(model: LogModel, contratante: str | None = None, n: int = 8) -> DataFrame:
     """Entities with most business rejections per client, with one of their types."""
     model, business = _business(model, contratante)
-    counts = model.entities().where(business).groupBy("contratante", "entidade_tipo", "entidade_valor").agg(
+    counts = model.entities("resultado_operacional", "tipo_rejeicao_semantica").where(business).groupBy("contratante", "entidade_tipo", "entidade_valor").agg(
         F.count(F.lit(1)).alias("total_falhas"), F.max("tipo_rejeicao_semantica").alias("rejeicao_predominante")
     )
     order = Window.partitionBy("contratante").orderBy(
@@ -64,7 +64,8 @@ def client_error_categories(model: LogModel, contratante: str | None = None) ->
     """Business rejections per client and category."""
     model, business = _business(model, contratante)
     return (
-        model.rejections().where(business).groupBy("contratante", "categoria_operacional")
+        model.rejections("resultado_operacional", "categoria_operacional").where(business)
+        .groupBy("contratante", "categoria_operacional")
         .agg(F.count(F.lit(1)).alias("volume"))
         .orderBy("contratante", F.desc("volume"), *tie_break("categoria_operacional"))
     )
@@ -75,7 +76,7 @@ def corrective_actions(model: LogModel, contratante: str | None = None) -> DataF
     model, business = _business(model, contratante)
     keys = ("categoria_operacional", "tipo_rejeicao_semantica", "subtipo_rejeicao", "orientacao_operacional")
     return (
-        model.rejections().where(business).groupBy("contratante", *keys)
+        model.rejections("resultado_operacional", "mensagem", *keys).where(business).groupBy("contratante", *keys)
         .agg(F.count(F.lit(1)).alias("ocorrencias"), F.max("mensagem").alias("exemplo"))
         .orderBy("contratante", F.desc("ocorrencias"), *tie_break(*keys))
     )

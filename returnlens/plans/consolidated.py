@@ -18,7 +18,7 @@ def consolidated_rejections(model: LogModel, search: str = "") -> DataFrame:
     after the share, which keeps the whole as its base."""
     template = F.coalesce(F.nullif("mensagem_normalizada", F.lit("")), F.lit(NO_MESSAGE))
     counts = (
-        model.rejections().where(F.col("status_geral") == "ERRO")
+        model.rejections("mensagem_normalizada").where(F.col("status_geral") == "ERRO")
         .groupBy(F.to_date("data_evento").alias("dia"), "funcionalidade", template.alias("mensagem_normalizada"))
         .agg(F.count(F.lit(1)).alias("quantidade"))
     )

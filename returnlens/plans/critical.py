@@ -13,14 +13,15 @@ from returnlens.plans.overview import temporal_variability
 PAGE_SIZE = 10
 
 
-def _business_entities(model: LogModel) -> DataFrame:
-    return model.entities().where(F.col("resultado_operacional") == "REJEICAO_NEGOCIO")
+def _business_entities(model: LogModel, *columns: str) -> DataFrame:
+    return model.entities("resultado_operacional", *columns).where(F.col("resultado_operacional") == "REJEICAO_NEGOCIO")
 
 
 def critical_entities(model: LogModel, kind: str, value: str = "") -> DataFrame:
     """Values of an entity kind or group: rejected protocols, clients hit, leading type and
     functionality."""
-    rows = _business_entities(model).where(entity_predicate(kind, value)).withColumnRenamed("entidade_valor", "entidade")
+    rows = _business_entities(model, "tipo_rejeicao_semantica").where(entity_predicate(kind, value))
+    rows = rows.withColumnRenamed("entidade_valor", "entidade")
     base = rows.groupBy("entidade").agg(
         F.countDistinct("protocolo").alias("quantidade_rejeicoes"),
         F.countDistinct("contratante").alias("quantidade_clientes"),

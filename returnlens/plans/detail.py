@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions import rules
 from returnlens.operators.filters import ilike_contains, like_contains
-from returnlens.operators.model import LOG_RESULT, LogModel
+from returnlens.operators.model import LOG_RESULT, REJECTION_ONLY, LogModel
 from returnlens.operators.ranking import page
 
 PAGE_SIZE = 50
@@ -31,7 +31,7 @@ def detail_rows(
 ) -> DataFrame:
     """Logs with their rejections under the local filters: text in protocol, message or entity
     value, and equal functionality, type and client."""
-    rows = model.logs_with_rejections(with_entities=True)
+    rows = model.logs_with_rejections(*REJECTION_ONLY, "entidades")
     if search.strip():
         in_entity = F.exists(F.coalesce("entidades", F.array()), lambda e: like_contains(e["entidade_valor"], search))
         rows = rows.where(
@@ -77,7 +77,7 @@ def detail_page(rows: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> Data
 def export_rows(model: LogModel) -> DataFrame:
     """The 22 columns of the denormalised export. Sort it only where the order matters."""
     success = F.col(LOG_RESULT).isin(*rules.SUCCESS_RESULTS)
-    return model.logs_with_rejections(with_entities=True).select(
+    return model.logs_with_rejections(*REJECTION_ONLY, "entidades").select(
         "protocolo", F.col("data_evento").alias("data"), "contratante", "funcionalidade", "status_geral",
         F.col(LOG_RESULT).alias("resultado_operacional"), "tipo_rejeicao_semantica", "tipo_erro_tecnico",
         F.coalesce("mensagem_original", F.lit(SUCCESS_MESSAGE)).alias("mensagem_original"),
@@ -97,7 +97,7 @@ def export_rows(model: LogModel) -> DataFrame:
 def filter_domain(model: LogModel) -> DataFrame:
     """Values to choose from, as (campo, valor): date range, clients, functionalities, causes,
     types and codes."""
-    logs, rejections = model.logs(), model.all_rejections()
+    logs, rejections = model.logs(), model.rejections("causa_raiz", "tipo_rejeicao_semantica", "codigo_antt")
 
     def values(df: DataFrame, column: str) -> DataFrame:
         chosen = df.where(F.col(column).isNotNull() & (F.col(column) != "" if column == "codigo_antt" else F.lit(True)))

@@ -17,7 +17,7 @@ MIN_HOURS = 3
 def client_rejection_matrix(model: LogModel, clients: int = 20, kinds: int = 15) -> DataFrame:
     """Business rejections of the leading clients by the leading types, in long form."""
     counts = (
-        model.rejections()
+        model.rejections("resultado_operacional", "tipo_rejeicao_semantica")
         .where((F.col("resultado_operacional") == "REJEICAO_NEGOCIO")
                & F.col("contratante").isNotNull() & F.col("tipo_rejeicao_semantica").isNotNull())
         .groupBy("contratante", "tipo_rejeicao_semantica").agg(F.count(F.lit(1)).alias("total"))
@@ -45,7 +45,7 @@ def client_rejection_crosstab(model: LogModel, clients: int = 20, kinds: int = 1
 def uncatalogued_codes(model: LogModel) -> DataFrame:
     """Codes of unclassified rejections per functionality, first and last time, an example."""
     return (
-        model.rejections()
+        model.rejections("tipo_rejeicao_semantica", "codigo_antt", "mensagem_original")
         .where((F.col("tipo_rejeicao_semantica") == rules.UNCATEGORISED) & (F.col("codigo_antt") != ""))
         .groupBy("codigo_antt", "funcionalidade")
         .agg(
@@ -61,7 +61,7 @@ def uncatalogued_codes(model: LogModel) -> DataFrame:
 def hourly_errors(model: LogModel) -> DataFrame:
     """Rejections per hour."""
     return (
-        model.rejections().groupBy(F.date_trunc("hour", "data_evento").alias("hora"))
+        model.rejections("severidade").groupBy(F.date_trunc("hour", "data_evento").alias("hora"))
         .agg(F.count(F.lit(1)).alias("total_erros")).orderBy("hora")
     )
 

@@ -50,7 +50,7 @@ def executive_counts(model: LogModel) -> DataFrame:
         .where(F.col("n") >= AFFECTED_FROM).agg(F.count(F.lit(1)))
     )
     logs = model.logs()
-    return model.logs_with_rejections().agg(
+    return model.logs_with_rejections("rejeicao_id", "severidade", "categoria_operacional").agg(
         F.count(F.lit(1)).alias("total_requests"),
         count_if(F.col("status_geral") == "SUCESSO").alias("count_sucesso"),
         count_if(_error()).alias("count_erro"),
@@ -79,13 +79,13 @@ def executive_kpis(model: LogModel) -> DataFrame:
 
 def top_category(model: LogModel) -> DataFrame:
     """Most frequent rejection category of failed logs and its share of their rejections."""
-    counts = model.rejections().where(_error()).groupBy("categoria_operacional").agg(F.count(F.lit(1)).alias("erros"))
+    counts = model.rejections("categoria_operacional").where(_error()).groupBy("categoria_operacional").agg(F.count(F.lit(1)).alias("erros"))
     return top(with_share(counts, "erros"), 1, "erros", "categoria_operacional")
 
 
 def _error_rows(model: LogModel) -> Column:
     """Failed rows of the joined view, the denominator of the error shares."""
-    return model.logs_with_rejections().agg(count_if(_error())).scalar()
+    return model.logs_with_rejections("severidade").agg(count_if(_error())).scalar()
 
 
 def top_functionality(model: LogModel) -> DataFrame:
@@ -131,11 +131,11 @@ def top_clients(model: LogModel, n: int = 10) -> DataFrame:
     leaders = F.broadcast(top(with_share(ranked, "total_rejeicoes"), n, "total_rejeicoes", "contratante"))
     names = leaders.select("contratante")
     score = (
-        model.logs_with_rejections().join(names, "contratante", "left_semi").groupBy("contratante")
+        model.logs_with_rejections("severidade").join(names, "contratante", "left_semi").groupBy("contratante")
         .agg(F.count(F.lit(1)).alias("linhas"), *severity_counts())
         .select("contratante", operational_score(F.col("linhas")).alias("score_operacional"))
     )
-    rejected = model.rejections().where(_error()).join(names, "contratante", "left_semi")
+    rejected = model.rejections("tipo_rejeicao_semantica").where(_error()).join(names, "contratante", "left_semi")
     rejection = leading_value(rejected, "contratante", "tipo_rejeicao_semantica", "principal_rejeicao")
     function = leading_value(rejected, "contratante", "funcionalidade", "principal_funcionalidade")
     return (
@@ -149,7 +149,8 @@ def top_clients(model: LogModel, n: int = 10) -> DataFrame:
 def top_rejections(model: LogModel, n: int = 10) -> DataFrame:
     """Most frequent rejection types of failed logs with their share; no type is a group too."""
     counts = (
-        model.rejections().where(_error()).groupBy("tipo_rejeicao_semantica").agg(F.count(F.lit(1)).alias("volume"))
+        model.rejections("tipo_rejeicao_semantica").where(_error())
+        .groupBy("tipo_rejeicao_semantica").agg(F.count(F.lit(1)).alias("volume"))
     )
     return top(with_share(counts, "volume"), n, "volume", "tipo_rejeicao_semantica")
 
@@ -159,7 +160,7 @@ def problem_functionalities(model: LogModel) -> DataFrame:
     calls = model.logs().groupBy("funcionalidade").agg(
         F.count(F.lit(1)).alias("chamadas"), count_if(_error()).alias("total_erros")
     ).where(F.col("total_erros") > 0)
-    rejected = model.rejections().where(_error())
+    rejected = model.rejections("tipo_rejeicao_semantica", "severidade").where(_error())
     rejection = leading_value(rejected, "funcionalidade", "tipo_rejeicao_semantica", "rejeicao")
     severity = leading_value(rejected, "funcionalidade", "severidade", "gravidade")
     return (
@@ -177,8 +178,8 @@ def problem_functionalities(model: LogModel) -> DataFrame:
 def severity_heatmap(model: LogModel, n: int = 10) -> DataFrame:
     """Rejections per severity of the functionalities with most of them."""
     counts = (
-        model.rejections().where(_error() & F.col("funcionalidade").isNotNull())
-        .groupBy("funcionalidade", "severidade").agg(F.count("rejeicao_id").alias("volume"))
+        model.rejections("severidade").where(_error() & F.col("funcionalidade").isNotNull())
+        .groupBy("funcionalidade", "severidade").agg(F.count(F.lit(1)).alias("volume"))
     )
     wide = counts.groupBy("funcionalidade").agg(
         *(F.coalesce(F.sum(F.when(F.col("severidade") == s, F.col("volume"))), F.lit(0)).alias(s)
@@ -190,7 +191,7 @@ def severity_heatmap(model: LogModel, n: int = 10) -> DataFrame:
 
 def evitability(model: LogModel) -> DataFrame:
     """Rejections per evitability class with share and explanation."""
-    rows = model.rejections().where(_error()).select(
+    rows = model.rejections("categoria_operacional").where(_error()).select(
         F.expr(evitability_class("categoria_operacional")).alias("classe_evitabilidade")
     )
     counts = rows.groupBy("classe_evitabilidade").agg(F.count(F.lit(1)).alias("total"))
@@ -202,7 +203,8 @@ def evitability(model: LogModel) -> DataFrame:
 def data_quality(model: LogModel) -> DataFrame:
     """Per domain: rejections that name such an entity, operations, and the quality rate."""
     kinds = F.transform(F.coalesce("entidades", F.array()), lambda e: e["entidade_tipo"])
-    rows = model.logs_with_rejections(with_entities=True).withColumn("tipos", kinds)
+    rows = model.logs_with_rejections("categoria_operacional", "tipo_rejeicao_semantica", "entidades").withColumn(
+        "tipos", kinds)
     measures = []
     for name, categories, types, entity_kinds, functions in QUALITY_DOMAINS:
         hit = F.col("categoria_operacional").isin(*categories)
@@ -224,7 +226,7 @@ def flow_triples(model: LogModel) -> DataFrame:
     kind = F.coalesce("tipo_rejeicao_semantica", "tipo_erro_tecnico", F.lit(rules.UNCATEGORISED))
     plain = ~F.coalesce("tipo_rejeicao_semantica", F.lit("")).isin(*SUCCESS_TYPES)
     return (
-        model.rejections().where(_error() & plain)
+        model.rejections("tipo_rejeicao_semantica", "tipo_erro_tecnico", "causa_raiz").where(_error() & plain)
         .groupBy("funcionalidade", kind.alias("tipo_rejeicao"), "causa_raiz")
         .agg(F.count(F.lit(1)).alias("volume"))
         .orderBy(F.desc("volume"), *tie_break("funcionalidade", "tipo_rejeicao", "causa_raiz"))
@@ -285,7 +287,7 @@ def error_timeseries(model: LogModel) -> DataFrame:
         F.date_format("data_evento", "yyyy-MM-dd")
     )
     return (
-        model.rejections().where(_error() & varies)
+        model.rejections("categoria_operacional").where(_error() & varies)
         .groupBy(period.alias("periodo"), F.col("categoria_operacional").alias("categoria"))
         .agg(F.count(F.lit(1)).alias("total"))
         .orderBy("periodo", *tie_break("categoria"))
