@@ -46,6 +46,14 @@ from returnlens.plans import client, consolidated, critical, detail, observabili
 from returnlens.plans.demo import raw_logs
 from returnlens.sources.silver import ingest
 
+try:  # the training-data operators, where they are installed
+    import corpus_pipeline
+    from returnlens.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if not str(missing.name).startswith(("corpus_pipeline", "returnlens.llm")):
+        raise
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -329,12 +337,14 @@ def queries() -> dict[str, Query]:
     semi_joins = {f"{name}_flat": filtered(LOG_FILTERS[name], flat=True)
                   for name in ("filter_cause", "filter_type", "filter_code", "filter_message", "filter_combined")}
     wide = {"client_rejection_crosstab": _report(observability.client_rejection_crosstab)}
-    return operators | reports | flat | under_filter | filters | semi_joins | wide
+    trained = {} if llm is None else llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return operators | reports | flat | under_filter | filters | semi_joins | wide | trained
 
 
 def oracle_sql() -> dict[str, str]:
     """The same queries for DuckDB. The crosstab has data-dependent columns and none."""
-    return (
+    pipeline = {} if llm is None or corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return ({} if llm is None else llm.ORACLE_SQL | pipeline) | (
         dict(OPERATORS)
         | {name: report_sql(name) for name in REPORTS}
         | {f"{name}_flat": report_sql(name) for name in FLAT_REPORTS}
