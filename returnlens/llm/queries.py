@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from returnlens.llm import mixing, packing
+from returnlens.llm import mixing, near, packing
 
 OP8_SQL = r"""
 WITH sized AS (
@@ -33,6 +33,7 @@ FROM placed
 """
 
 QUERIES = {
+    "op10_near_duplicates": near.op10_near_duplicates,
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
