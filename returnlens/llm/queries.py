@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from returnlens.llm import language, mixing, near, packing
+from returnlens.llm import language, mixing, near, packing, quality
 
 OP8_SQL = r"""
 WITH sized AS (
@@ -35,6 +35,7 @@ FROM placed
 QUERIES = {
     "op10_near_duplicates": near.op10_near_duplicates,
     "op2_pack_sequences": packing.op2_pack_sequences,
+    "op3_score_quality": quality.op3_score_quality,
     "op4_identify_language": language.op4_identify_language,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
