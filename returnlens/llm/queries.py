@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from returnlens.llm import language, mixing, near, packing, quality
+from returnlens.llm import fingerprints, language, mixing, near, packing, quality
 
 OP8_SQL = r"""
 WITH sized AS (
@@ -33,10 +33,11 @@ FROM placed
 """
 
 QUERIES = {
+    "op1_fingerprint_documents": fingerprints.op1_fingerprint_documents,
     "op10_near_duplicates": near.op10_near_duplicates,
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op3_score_quality": quality.op3_score_quality,
     "op4_identify_language": language.op4_identify_language,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
-ORACLE_SQL = {"op8_mix_sources": OP8_SQL}
+ORACLE_SQL = {"op1_fingerprint_documents": fingerprints.OP1_SQL, "op8_mix_sources": OP8_SQL}
