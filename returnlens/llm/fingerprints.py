@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.llm.shared import documents, ranked, stored
 
-SPAN_WORDS = 16
+SPAN_WORDS = 8
 SPAN = f"[ \\n]*+(?:[^ \\n]++ *+){{1,{SPAN_WORDS}}}+\\n*+|[ \\n]++"
 NULL_KEY = -(1 << 63)
 
@@ -15,7 +15,7 @@ NULL_KEY = -(1 << 63)
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add the fingerprint of a text column, a string ``root:sections:paragraphs:spans``.
 
-    The leaves are spans of up to sixteen words of one line; a line is a paragraph; a section ends
+    The leaves are spans of up to eight words of one line; a line is a paragraph; a section ends
     behind a blank line or a paragraph whose last digest starts with 0 to 3, so that an insertion
     moves no later boundary. Every node is the digest of its children's; the root keeps all its
     digits, other nodes eight, grouped by their parents with semicolons.
@@ -58,9 +58,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document (doc_id, text), of its text with the last half of the code
     points replaced by as many of the next document's first ones, and their likeness.
 
-    The next document is the one with the next smaller id; after the last comes the first. Texts
-    move once, by id, together with their fingerprint; ids alone are sorted, and each document then
-    sends its neighbour the part that it borrows. A null text is empty; a null id comes last; of
+    The next document is the one with the next smaller id; after the last comes the first. Ids
+    alone are sorted; texts move once, by id, and each document then sends its neighbour its
+    fingerprint and the part that it borrows. A null text is empty; a null id comes last; of
     rows that repeat an id the smallest text is what a neighbour borrows, and a repeated row is
     fingerprinted like any other. Other columns play no part; an empty table gives no rows.
     """
@@ -71,16 +71,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     before = order.select(F.col("key").alias("neighbour"), F.floor(F.col("n") / 2).cast("int").alias("need"),
                           F.when(F.col("rank") == last, 1).otherwise(F.col("rank") + 1).alias("rank"))
     lends = order.select("key", "rank").join(before, "rank").select("key", "neighbour", "need")
-    marked = with_fingerprint(own, "text", "fingerprint")
     first = F.row_number().over(Window.partitionBy("key").orderBy("text"))
-    lent = (marked.join(lends.hint("merge"), "key").withColumn("place", first).where("place = 1")
-            .select(F.col("neighbour").alias("key"), F.expr("left(text, need)").alias("borrowed"), F.col("fingerprint").alias("next")))
+    lender = own.join(lends.hint("merge"), "key").withColumn("place", first).where("place = 1")
+    lent = with_fingerprint(lender, "text", "next").select(
+        F.col("neighbour").alias("key"), F.expr("left(text, need)").alias("borrowed"), "next")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = (marked.join(lent.hint("merge"), "key")
+    edited = (own.join(lent.hint("merge"), "key")
               .withColumn("edited", F.concat(F.left("text", n - half), F.left("borrowed", half))).withColumn("n_chars", n.cast("long"))
-              .select("key", "n_chars", "edited", "fingerprint", "next"))
-    return with_fingerprint(edited, "edited", "edited_fingerprint").select(
+              .select("key", "n_chars", "text", "edited", "next"))
+    both = with_fingerprint(with_fingerprint(edited, "text", "fingerprint"), "edited", "edited_fingerprint")
+    return both.select(
         F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
         "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
