@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnlens.llm.shared import components, documents, stored
@@ -14,7 +14,8 @@ from returnlens.llm.words import BASE, blocks, mix, word_hashes
 
 HASHES_PER_BAND = 3
 MISS = 1e-4
-SALTS = 16
+PAIRS_PER_SALT = 500
+BITMAP = 1 << 25
 PROFILE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -83,12 +84,35 @@ def _profiles(words: int, sides: int, per_band: int):
     return run
 
 
-def _sets(words: int):
+def marked(ids: DataFrame) -> np.ndarray:
+    """Bitmap of hashed ids (column ``place``). Its size is fixed: the more ids, the more places
+    are shared, and the more rows pass that nobody asks for."""
+    one = F.col("place") + 1  # the bitmap functions count from 1
+    rows = (ids.select(F.bitmap_bucket_number(one).alias("bucket"), F.bitmap_bit_position(one).alias("bit"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for row in rows:  # at most BITMAP / 32768
+        out[(row.bucket - 1) * 4096:row.bucket * 4096] = np.frombuffer(row.bits, dtype=np.uint8)
+    return out
+
+
+def place_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITMAP))
+
+
+def _sets(words: int, wanted):
+    """Shingle sets of the rows (doc_id, text, place) whose place the bitmap holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in blocks(batches, "text"):
-            values, bounds = shingle_sets(batch.column(1), words)
+            place = batch.column(2).to_numpy(zero_copy_only=False)
+            own = batch.filter(pa.array((bits[place >> 3] >> (place & 7)) & 1 == 1))
+            values, bounds = shingle_sets(own.column(1), words)
             sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["rep", "shingles"])
+            total = np.concatenate([[0], np.cumsum(values, dtype=np.uint64)])
+            check = (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(check), sets], ["rep", "check", "shingles"])
 
     return run
 
@@ -100,11 +124,12 @@ def linked(left: Column, right: Column, percent: int) -> Column:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets link. ``a`` may be in any number of pairs: its set is laid out
-    once per salt, and its pairs spread over the salts."""
-    spread = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = (sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
-            .select(F.col("rep").alias("a"), F.col("shingles").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    """Pairs (a, b) whose full sets link. ``a`` may be in any number of pairs: they spread
+    over salts, one per 500 of them, and its set is laid out once per salt."""
+    often = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts"))
+    spread = pairs.join(often, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    left = (sets.withColumnRenamed("rep", "a").join(often, "a")
+            .select("a", F.col("shingles").alias("left"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
     return (spread.join(right, "b").join(left, ["a", "salt"])
             .where(linked(F.col("left"), F.col("right"), percent)).select("a", "b"))
@@ -133,16 +158,16 @@ def remaining_pairs(unresolved: DataFrame, percent: int) -> DataFrame:
     still share.
     """
     n = F.size("shingles")
-    rows = unresolved.select("rep", "component", n.alias("n"), F.explode("shingles").alias("s"))
+    rows = unresolved.select("rep", F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    own = rows.join(often, "s").select("rep", "component", "n", "s", "df")
+    own = rows.join(often, "s").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))
     # Shingles of one set alone precede all others; how many there are is the size less the rest.
-    place = (F.row_number().over(Window.partitionBy("rep").orderBy("df", "s"))
-             + F.col("n") - F.count("*").over(Window.partitionBy("rep")) - 1)
+    alone = F.col("n") - F.size("own")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = own.withColumn("place", place).where(F.col("place") < length).select("rep", "component", "n", "s", "place")
+    prefix = (unresolved.select("rep", "component", n.alias("n")).join(own, "rep").where(alone < length)
+              .select("rep", "component", "n", alone.alias("alone"), F.posexplode(F.slice("own", 1, (length - alone).cast("int"))))
+              .select("rep", "component", "n", F.col("col.s").alias("s"), (F.col("pos") + F.col("alone")).alias("place")))
     x, y = prefix.alias("x"), prefix.alias("y")
-    # At the first shingle the two share, this is all they can share; so a link passes there.
     rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     fits = ((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
             & (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n"))
@@ -156,8 +181,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     1. Equal sets fall together: one representative each, which stands for its copies from there on.
     2. Tensored banding puts representatives into tables. In a bucket all others are held against
        its smallest member, on full sets; so a bucket costs its length, not its square.
-    3. Buckets whose members then lie in more than one component go to ``remaining_pairs``, which
-       misses no pair, and what links there is joined on.
+    3. Buckets whose other members then lie in more than one component go to ``remaining_pairs``,
+       which misses no pair, and what links there is joined on.
 
     A null or empty text has no set and links with nothing; a short text is one shingle; rows that
     repeat an id count as one document each and share a component; a null id is no document and is
@@ -166,20 +191,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sides = bands_per_side(percent)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     profiles = stored(texts.mapInArrow(_profiles(words, sides, HASHES_PER_BAND), PROFILE), "profiles")
-    some = profiles.where("n_shingles > 0")
     same = ["h1", "h2", "n_shingles"]
-    groups = some.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    bands = some.select(F.col("doc_id").alias("rep"), *same, "bands").dropDuplicates(["rep", *same])
-    reps = groups.join(bands, ["rep", *same]).select("rep", "bands")
-    tables = stored(candidate_tables(reps, sides), "tables")
+    best = F.min(F.struct("doc_id", "bands"))
+    groups = stored(profiles.where("n_shingles > 0").groupBy(*same).agg(best.alias("best"))
+                    .select(*same, F.col("best.doc_id").alias("rep"), "best.bands"), "groups")
+    tables = stored(candidate_tables(groups, sides), "tables")
     centres = tables.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("key", "a")
-    stars = stored(tables.join(centres, "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "stars")
-    involved = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(texts.dropDuplicates(["doc_id", "text"]).join(involved, "doc_id", "left_semi")
-                  .mapInArrow(_sets(words), "rep long, shingles array<long>"), "sets")
+    met = stored(tables.join(centres, "key").where("a < rep"), "met")
+    stars = met.select("a", F.col("rep").alias("b")).distinct()
+    involved = docs.sparkSession.sparkContext.broadcast(marked(met.select(F.explode(F.array("a", "rep")).alias("id")).select(place_of("id").alias("place"))))
+    sets = stored(texts.withColumn("place", place_of("doc_id")).mapInArrow(_sets(words, involved), "rep long, check long, shingles array<long>"), "sets")
+    if profiles.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids that repeat
+        sets = sets.dropDuplicates(["rep", "check"])
     links = stored(confirm(stars, sets, percent), "links")
-    first = components(links)
-    labelled = tables.join(first, F.col("rep") == F.col("node"), "left").select(
+    labelled = met.join(components(links), F.col("rep") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = stored(labelled, "labelled")
     open_buckets = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
