@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnlens.llm.shared import documents, stored
-from returnlens.llm.words import BASE, IS_SPACE, LOWER, MIX_B, TABLE, blocks, mix, powers, run_hashes, runs, text_bytes
+from returnlens.llm.words import BASE, IS_SPACE, LOWER, MIX_B, TABLE, HashIndex, blocks, mix, powers, run_hashes, runs, text_bytes
 
 LONGEST_PIECE = 16
 LONGEST_WORD = 31
@@ -33,7 +33,7 @@ def read_pieces(path: str | None) -> list[bytes]:
 
 
 class Vocabulary:
-    """Piece numbers by substring hash: tables of one slot per hash, each for what did not fit before."""
+    """Piece numbers by substring hash."""
 
     def __init__(self, path: str | None):
         pieces = read_pieces(path)
@@ -42,15 +42,7 @@ class Vocabulary:
         ends = np.cumsum([len(p) for p in pieces])
         lengths = np.diff(np.concatenate([[0], ends]))
         sums = np.array([(TABLE[data[e - n:e]] * powers(n)).sum(dtype=np.uint64) for e, n in zip(ends, lengths)])
-        self.keys = self.key(sums, lengths)
-        self.levels: list[tuple[int, np.ndarray]] = []
-        left, bits = np.arange(self.size), 20
-        while len(left):
-            slots = (self.keys[left] >> np.uint64(len(self.levels) * 7)) & np.uint64((1 << bits) - 1)
-            table = np.full(1 << bits, -1, dtype=np.int32)
-            table[slots[::-1]] = left[::-1]
-            left, bits = left[table[slots] != left], 17
-            self.levels.append((len(self.levels) * 7, table))
+        self.find = HashIndex(self.key(sums, lengths)).find
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         down = np.full(LONGEST_WORD + 2, inverse, dtype=np.uint64)
         down[0] = 1
@@ -60,17 +52,6 @@ class Vocabulary:
     def key(sums: np.ndarray, lengths) -> np.ndarray:
         return mix(sums ^ (np.asarray(lengths, dtype=np.uint64) * MIX_B))
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece number of every key, -1 where there is none."""
-        out = np.full(len(keys), -1, dtype=np.int32)
-        open_ = np.arange(len(keys))
-        for shift, table in self.levels:
-            got = table[(keys[open_] >> np.uint64(shift)) & np.uint64(len(table) - 1)]
-            hit = (got >= 0) & (self.keys[got] == keys[open_])
-            out[open_[hit]] = got[hit]
-            open_ = open_[~hit & (got >= 0)]
-        return out
-
 
 _vocabularies: dict[str | None, Vocabulary] = {}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from returnlens.llm import fingerprints, language, mixing, near, packing, quality
+from returnlens.llm import fingerprints, language, mixing, near, packing, quality, recurrent
 
 OP8_SQL = r"""
 WITH sized AS (
@@ -34,6 +34,7 @@ FROM placed
 
 QUERIES = {
     "op1_fingerprint_documents": fingerprints.op1_fingerprint_documents,
+    "op9_score_language_model": recurrent.op9_score_language_model,
     "op10_near_duplicates": near.op10_near_duplicates,
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op3_score_quality": quality.op3_score_quality,

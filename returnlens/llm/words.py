@@ -120,3 +120,29 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+class HashIndex:
+    """Place of a 64-bit key in an array of distinct keys: tables of one slot per hash, each holding
+    what did not fit before."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.levels = keys, []
+        left, bits = np.arange(len(keys)), max(10, int(len(keys)).bit_length() + 3)
+        while len(left):
+            slots = (keys[left] >> np.uint64(len(self.levels) * 7 % 40)) & np.uint64((1 << bits) - 1)
+            table = np.full(1 << bits, -1, dtype=np.int32)
+            table[slots[::-1]] = left[::-1]
+            self.levels.append((len(self.levels) * 7 % 40, table))
+            left, bits = left[table[slots] != left], max(10, bits - 3)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of every key, -1 where there is none."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        rest = np.arange(len(keys))
+        for shift, table in self.levels:
+            got = table[(keys[rest] >> np.uint64(shift)) & np.uint64(len(table) - 1)]
+            hit = (got >= 0) & (self.keys[got] == keys[rest])
+            out[rest[hit]] = got[hit]
+            rest = rest[~hit & (got >= 0)]
+        return out
