@@ -20,6 +20,7 @@ SMOOTHING = 0.1
 MOST_LANGUAGES = 256
 WORDS_AT_ONCE = 16_384
 UNKNOWN = "und"
+BLOCK_BYTES = 8 << 20  # the larger a block, the more of its words repeat
 
 
 def read_pieces(path: str | None) -> list[bytes]:
@@ -126,7 +127,7 @@ def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chances:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their number per language, block by block."""
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", BLOCK_BYTES):
         langs = batch.column(0).cast(pa.string()).dictionary_encode()
         data, offsets = text_bytes(batch.column(1))
         starts, ends = segments(data, offsets)
@@ -208,7 +209,7 @@ def train(labelled: DataFrame, pieces_path: str | None = None, rounds: int = ROU
 def _predict(languages: list[str], chances, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             data, offsets = text_bytes(batch.column(1))
             data = LOWER[data]
             starts, ends = segments(data, offsets)

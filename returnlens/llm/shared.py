@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from returnlens.session import shared_dir
 
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once per application."""
+    """Send this package's modules to the executors, once per application, and bound the bytes of a
+    batch of rows on its way to Python, so that long texts do not pile up there."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
