@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from returnlens.llm import fingerprints, language, lines, mixing, near, packing, quality, recurrent
+from returnlens.llm import fingerprints, language, lines, mixing, near, neighbours, packing, quality, recurrent
 
 OP8_SQL = r"""
 WITH sized AS (
@@ -39,6 +39,7 @@ QUERIES = {
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op3_score_quality": quality.op3_score_quality,
     "op4_identify_language": language.op4_identify_language,
+    "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
     "op7_dedup_lines": lines.op7_dedup_lines,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
