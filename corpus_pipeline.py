@@ -3,14 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from returnlens.llm.packing import pack
+from returnlens.llm.lines import remove_repeated_lines
 from returnlens.llm.mixing import mixed_rows
+from returnlens.llm.near import near_duplicates
+from returnlens.llm.packing import pack
+from returnlens.llm.quality import keep_good
 from returnlens.llm.shared import documents, ship, stored
 
 ORACLE_SQL = None  # a trained classifier and tokenization are beyond SQL
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    ship(spark)
+    return keep_good(docs, documents(spark, sf_dir, "labels"))
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that earlier documents hold; those that were nothing else go."""
+    ship(spark)
+    cleaned = remove_repeated_lines(docs)
+    changed = F.col("_removed") > 0
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cleaned.where(~changed | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    A document without an id stays; rows that repeat an id are one document and all but one go.
+    """
+    ship(spark)
+    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     ship(spark)
@@ -23,7 +53,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("mix", mix_stage), ("pack", pack_stage)]
+STAGES = [("quality", quality_stage), ("lines", lines_stage), ("near duplicates", near_stage), ("mix", mix_stage), ("pack", pack_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for place, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
-            docs = stored(docs, name)
+            docs = stored(docs, name.replace(" ", "_"))
     return docs
