@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from returnlens.llm import fingerprints, language, lines, mixing, near, neighbours, packing, quality, recurrent
+from returnlens.llm import chat, fingerprints, language, lines, mixing, near, neighbours, packing, quality, recurrent
 
 OP8_SQL = r"""
 WITH sized AS (
@@ -39,8 +39,9 @@ QUERIES = {
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op3_score_quality": quality.op3_score_quality,
     "op4_identify_language": language.op4_identify_language,
+    "op5_rotate_perspectives": chat.op5_rotate_perspectives,
     "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
     "op7_dedup_lines": lines.op7_dedup_lines,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
-ORACLE_SQL = {"op1_fingerprint_documents": fingerprints.OP1_SQL, "op8_mix_sources": OP8_SQL}
+ORACLE_SQL = {"op5_rotate_perspectives": chat.OP5_SQL, "op1_fingerprint_documents": fingerprints.OP1_SQL, "op8_mix_sources": OP8_SQL}
