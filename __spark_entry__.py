@@ -188,7 +188,7 @@ def _lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _entities_of(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rejections = fact_rejections(silver_table(spark, sf_dir))
-        return rejections.selectExpr("rejeicao_id", f"explode(slice({entity_values('mensagem', kind)}, 1, 10)) AS entidade_valor")
+        return rejections.selectExpr("rejeicao_id", f"explode({entity_values('mensagem', kind)}) AS entidade_valor")
 
     return run
 
@@ -228,6 +228,11 @@ def _projection(rows: DataFrame) -> DataFrame:
     return detail.detail_projection(rows).drop("rejeicao_id")
 
 
+def _second_page(rows: DataFrame) -> DataFrame:
+    first = detail.detail_page_after(rows).tail(1)
+    return detail.detail_page_after(rows, first[0] if first else None).drop("rejeicao_id")
+
+
 LOG_FILTERS = {
     "filter_period": LogFilter(inicio=date(2024, 1, 5), fim=date(2024, 1, 9)),
     "filter_single_day": LogFilter(inicio=date(2024, 1, 5)),
@@ -269,6 +274,7 @@ REPORT_FUNCTIONS: dict[str, tuple] = {
     "critical_entities_doc": (critical.critical_entities, "DOC"),
     "critical_entities_cep_mun": (critical.critical_entities, "CEP_MUN"),
     "critical_entities_search": (critical.critical_entities, "PLACA", "C01"),
+    "critical_entities_page": (critical.critical_entities_page, "PLACA", "", 2),
     "top_entities": (critical.top_entities,),
     "entity_trend": (critical.entity_trend,),
     "client_rejection_matrix": (observability.client_rejection_matrix,),
@@ -277,6 +283,7 @@ REPORT_FUNCTIONS: dict[str, tuple] = {
     "traffic_anomalies": (observability.traffic_anomalies,),
     "detail_count": (_rows(detail.detail_count),),
     "detail_page": (_rows(lambda rows: detail.detail_page(rows, 2)),),
+    "detail_page_after": (_rows(_second_page),),
     "text_search": (_rows(_projection, search="1200004"),),
     "text_search_message": (_rows(_projection, search="PLACA abc-00"),),
     "detail_local_filters": (_rows(_projection, funcionalidade="Emitir CIOT", tipo="PLACA_SEM_VINCULO_RNTRC", contratante="CLI7"),),
@@ -284,6 +291,7 @@ REPORT_FUNCTIONS: dict[str, tuple] = {
     "filter_domain": (detail.filter_domain,),
     "consolidated_rejections": (consolidated.consolidated_rejections,),
     "consolidated_search": (consolidated.consolidated_rejections, "rntrc"),
+    "consolidated_page": (consolidated.consolidated_page, "", 2),
     "consolidated_totals": (consolidated.consolidated_totals,),
 }
 # Reports that also run on the three flat tables, through joins, and under a filter.
@@ -342,7 +350,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The same queries for DuckDB. The crosstab has data-dependent columns and none."""
+    """The same queries for DuckDB."""
     pipeline = {} if llm is None or corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     return ({} if llm is None else llm.ORACLE_SQL | pipeline) | (
         dict(OPERATORS)

@@ -170,8 +170,7 @@ dim_log AS (
       WHEN 2 THEN 'ALERTA_OPERACIONAL' WHEN 1 THEN 'SUCESSO_COM_ALERTA' ELSE 'SUCESSO' END AS resultado_operacional
   FROM raw r LEFT JOIN worst USING (log_id)),
 kept AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY pos) AS k FROM classified
-    WHERE resultado IN ('REJEICAO_NEGOCIO', 'ERRO_TECNICO', 'ERRO_INFRAESTRUTURA')) WHERE k <= 10),
+  SELECT * FROM classified WHERE resultado IN ('REJEICAO_NEGOCIO', 'ERRO_TECNICO', 'ERRO_INFRAESTRUTURA')),
 fact AS (
   SELECT log_id || '_rej_' || pos AS rejeicao_id, log_id, codigo AS codigo_antt,
     CASE WHEN tec THEN 'INTEGRAÇÃO' ELSE categoria END AS categoria_operacional,
@@ -185,7 +184,7 @@ fact AS (
     CASE WHEN tec THEN NULL ELSE template END AS template_oficial, resultado AS resultado_operacional, tipo_erro AS tipo_erro_tecnico
   FROM (SELECT *, resultado IN ('ERRO_TECNICO', 'ERRO_INFRAESTRUTURA') AND semantica >= 19 AS tec FROM kept))"""
 
-# Entity kinds: pattern, and what to do with the whole match.
+# Entity kinds, their pattern, and what to do with the whole match.
 _ENTITY = {
     "CEP": (r"\b\d{5}-\d{3}\b|\b\d{8}\b", "v"),
     "PLACA": (r"\b[A-Za-z]{3}[- ]?[0-9][A-Za-z0-9][0-9]{2}\b", "regexp_replace(upper(v), '[- ]', '', 'g')"),
@@ -206,7 +205,7 @@ ENTITIES = f"""found AS ({_FOUND}),
 firsts AS (SELECT rejeicao_id, entidade_tipo, entidade_valor, min(n) AS n FROM
   (SELECT *, {_CLEAN} AS entidade_valor FROM found) GROUP BY 1, 2, 3),
 ent AS (SELECT rejeicao_id || '_ent_' || entidade_tipo || '_' || (k - 1) AS entidade_id, rejeicao_id, entidade_tipo, entidade_valor
-  FROM (SELECT *, row_number() OVER (PARTITION BY rejeicao_id, entidade_tipo ORDER BY n) AS k FROM firsts) WHERE k <= 10)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY rejeicao_id, entidade_tipo ORDER BY n) AS k FROM firsts))"""
 
 UP_TO_RAW = f"WITH {RAW}\n"
 UP_TO_PARSED = f"WITH {RAW},\n{PARSED}\n"

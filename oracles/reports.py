@@ -189,10 +189,13 @@ REPORTS: dict[str, tuple[str, str]] = {
     "critical_entities_doc": ("", critical("'CPF', 'CNPJ', 'DOC'")),
     "critical_entities_cep_mun": ("", critical("'CEP', 'MUNICIPIO'")),
     "critical_entities_search": ("", critical("'PLACA'", "C01")),
+    "critical_entities_page": ("", "SELECT * FROM (" + critical("'PLACA'") + ") ORDER BY quantidade_rejeicoes DESC, entidade LIMIT 10 OFFSET 10"),
     "top_entities": ("", f"SELECT entidade_valor, count(*) AS total FROM pe WHERE {NEG} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
     "entity_trend": ("", f"""SELECT strftime(data_evento, '%Y-%m-%d') AS dia, entidade_valor AS entidade, count(*) AS total_falhas FROM pe WHERE {NEG} AND {GATE}
         AND entidade_valor IN (SELECT entidade_valor FROM pe WHERE {NEG} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) GROUP BY 1, 2"""),
     "client_rejection_matrix": (MATRIX.format(20, 15), "SELECT * FROM mm"),
+    "client_rejection_crosstab": (MATRIX.format(20, 15), """SELECT contratante, coalesce(COLUMNS(* EXCLUDE (contratante)), 0)::BIGINT
+        FROM (PIVOT mm ON tipo_rejeicao_semantica USING sum(total) GROUP BY contratante)"""),
     "uncatalogued_codes": ("", """SELECT codigo_antt, funcionalidade, max(mensagem_original) AS exemplo, count(*) AS quantidade, min(data_evento) AS primeira_ocorrencia,
         max(data_evento) AS ultima_ocorrencia FROM pr WHERE tipo_rejeicao_semantica = 'OUTROS_NAO_CATEGORIZADO' AND codigo_antt <> '' GROUP BY 1, 2"""),
     "hourly_errors": ("", "SELECT date_trunc('hour', data_evento) AS hora, count(*) AS total_erros FROM pr GROUP BY 1"),
@@ -200,6 +203,7 @@ REPORTS: dict[str, tuple[str, str]] = {
         f"SELECT * FROM h WHERE {GATE} AND (SELECT count(*) FROM h) > 2 AND total_erros > (SELECT avg(total_erros) + 2 * stddev_samp(total_erros) FROM h)"),
     "detail_count": ("", "SELECT count(*) AS total FROM pl"),
     "detail_page": ("", f"{DETAIL} ORDER BY data_evento DESC, log_id, rejeicao_id NULLS LAST LIMIT 50 OFFSET 50"),
+    "detail_page_after": ("", f"{DETAIL} ORDER BY data_evento DESC, log_id, rejeicao_id NULLS LAST LIMIT 50 OFFSET 50"),
     "text_search": ("", f"{DETAIL} WHERE {SEARCH.format('1200004')}"),
     "text_search_message": ("", f"{DETAIL} WHERE {SEARCH.format('PLACA abc-00')}"),
     "detail_local_filters": ("", f"{DETAIL} WHERE funcionalidade = 'Emitir CIOT' AND tipo_rejeicao_semantica = 'PLACA_SEM_VINCULO_RNTRC' AND contratante = 'CLI7'"),
@@ -217,6 +221,8 @@ REPORTS: dict[str, tuple[str, str]] = {
         UNION ALL SELECT DISTINCT 'codigo_antt', codigo_antt FROM fact WHERE codigo_antt <> ''"""),
     "consolidated_rejections": ("", f"SELECT * FROM {consolidated()}"),
     "consolidated_search": ("", f"SELECT * FROM {consolidated('rntrc')}"),
+    "consolidated_page": ("", f"""SELECT * FROM {consolidated()} ORDER BY strptime(data, '%d/%m/%Y') DESC, quantidade DESC, funcionalidade, mensagem_normalizada
+        LIMIT 15 OFFSET 15"""),
     "consolidated_totals": ("", f"SELECT sum(quantidade)::BIGINT AS total_quantidade, count(*) AS total_linhas FROM {consolidated()}"),
 }
 

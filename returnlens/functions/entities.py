@@ -34,11 +34,11 @@ def found_entities(message: str) -> str:
 
 
 def entity_rows(found: str, rejection_id: str) -> str:
-    """Entities to keep of one rejection, at most ten per kind, with deterministic ids."""
+    """Entities of one rejection, with deterministic ids."""
 
     def rows(kind: str, _: str) -> str:
         return each(
-            f"slice({kind}.valores, 1, {rules.MAX_ENTITIES_PER_KIND})",
+            f"{kind}.valores",
             lambda value, i: struct(
                 entidade_id=f"concat_ws('_', {rejection_id}, 'ent', {kind}.tipo, {i})",
                 entidade_tipo=f"{kind}.tipo",
@@ -47,9 +47,3 @@ def entity_rows(found: str, rejection_id: str) -> str:
         )
 
     return f"flatten({each(found, rows)})"
-
-
-def excess_entities(found: str) -> str:
-    """Number of distinct entities beyond the cap per kind."""
-    over = f"greatest(0, size(k.valores) - {rules.MAX_ENTITIES_PER_KIND})"
-    return f"aggregate({found}, 0, (acc, k) -> acc + {over})"

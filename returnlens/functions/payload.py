@@ -77,7 +77,8 @@ def parse_payload(code: str, response: str) -> str:
 
         string = f"CAST({raw}.{{}} AS STRING)"
         return struct(
-            codes=value("c", f"coalesce({_items(raw + '.c')}, {comma_list(string.format('c'))})"),
+            codes=value("c", f"coalesce({_items(raw + '.c')}, if(startswith(schema_of_variant({raw}.c), 'OBJECT'),"
+                             f" array({string.format('c')}), {comma_list(string.format('c'))}))"),
             messages=value("m", f"coalesce({_items(raw + '.m')}, array({strip(string.format('m'))}))"),
         )
 
@@ -112,8 +113,13 @@ def pair_messages(payload: str) -> str:
 def _protocol_in_json(value: str) -> str:
     def lookup(doc: str) -> str:
         entries = f"map_entries(from_json({doc}, 'map<string,variant>'))"
-        hits = keep(entries, lambda e: f"lower({e}.key) = 'protocolo' AND {_truthy(e + '.value')}")
-        return strip(f"CAST(get({hits}, 0).value AS STRING)")
+        return bind(entries, first_truthy)
+
+    def first_truthy(entries: str) -> str:
+        # Of a key that repeats the last value counts, of keys that differ in case the first.
+        names = f"filter(array_distinct(transform({entries}, x -> x.key)), k -> lower(k) = 'protocolo')"
+        values = f"transform({names}, k -> element_at(filter({entries}, x -> x.key = k), -1).value)"
+        return strip(f"CAST(get({keep(values, _truthy)}, 0) AS STRING)")
 
     return case([(f"contains(lower({value}), 'protocolo') AND {json_object(value)} IS NOT NULL", lookup(strip(value)))])
 

@@ -413,12 +413,6 @@ NO_PROTOCOL = "SEM_PROTOCOLO"
 # Separator between the messages of one quoted list.
 MESSAGE_SEPARATOR = r"""["']\s*,\s*["']"""
 
-# Caps of the fact tables.
-MAX_REJECTIONS_PER_LOG = 10
-MAX_ENTITIES_PER_KIND = 10
-MAX_MESSAGE_LENGTH = 5000
-TRUNCATION_MARK = "... [TRUNCADO]"
-
 # Entity patterns; ``strip`` is removed from the whole match.
 ENTITY_RULES = (
     EntityRule("CEP", r"\b\d{5}-\d{3}\b|\b\d{8}\b"),

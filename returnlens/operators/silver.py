@@ -1,10 +1,10 @@
 """Canonical logs to classified logs with their rejections and entities.
 
-The whole step is row-local: messages, their classification, the worst result, the caps and the
+The whole step is row-local: messages, their classification, the worst result and the
 entities stay with their log, so no row moves between partitions until a query asks for it.
 ``dim_log`` and the two fact tables are projections of this nested table.
 
-A log with one message of ordinary length, the common case, is classified as plain columns in
+A log with one message, the common case, is classified as plain columns in
 generated code. Only the others run the same stages over the elements of their message array.
 """
 
@@ -19,14 +19,12 @@ from returnlens.functions.classify import (
     classification_stages,
     description,
     general_status,
-    prepare_stages,
     semantic_labels,
-    semantic_stages,
     worst_result,
 )
-from returnlens.functions.entities import entity_rows, excess_entities, found_entities
+from returnlens.functions.entities import entity_rows, found_entities
 from returnlens.functions.payload import extract_protocol, pair_messages, parse_payload
-from returnlens.functions.sqltext import Ref, Stage, bind, keep, run_on_array, run_on_table, struct, text, text_list
+from returnlens.functions.sqltext import Ref, Stage, keep, run_on_array, run_on_table, struct, text, text_list
 
 DIM_COLUMNS = ("log_id", "protocolo", "data_evento", "contratante", "funcionalidade", "status_geral",
                "resultado_operacional")
@@ -38,7 +36,6 @@ ENTITY_COLUMNS = ("entidade_id", "rejeicao_id", "entidade_tipo", "entidade_valor
 
 
 PAIR_FIELDS = ("pos", "mensagem", "codigo")
-MARKED = f"concat(substring({{0}}, 1, {rules.MAX_MESSAGE_LENGTH}), {text(rules.TRUNCATION_MARK)})"
 
 
 def _rejection_stages(log_id: str = "log_id") -> list[Stage]:
@@ -81,7 +78,6 @@ def _rejection(r: Ref) -> str:
         resultado_operacional=r("resultado_operacional"),
         tipo_erro_tecnico=kind,
         entidades=entity_rows(r("achados"), r("rejeicao_id")),
-        entidades_excedentes=excess_entities(r("achados")),
     )
 
 
@@ -91,28 +87,12 @@ def classified_messages(pairs: str, functionality: str = "funcionalidade") -> st
 
 
 def _kept_rejections(classified: str) -> str:
-    """Rejections of a classified array, at most ten; an overlong message is cut, and its
-    semantic labels come from the cut text."""
+    """Rejections of a classified array."""
     fields = ("pos", "mensagem", "codigo", "limpa", "mascara", "semantica", "resultado_operacional",
               "tipo_erro_tecnico", "severidade")
     kept = keep(classified, lambda p: f"{p}.resultado_operacional IN ({text_list(rules.REJECTION_RESULTS)})")
-    slim = run_on_array(f"slice({kept}, 1, {rules.MAX_REJECTIONS_PER_LOG})", (),
-                        [lambda r: {f: r(f) for f in fields}])
-
-    def relabelled(p: str) -> str:
-        cut = struct(mensagem=MARKED.format(f"{p}.mensagem"), codigo=f"{p}.codigo")
-        stages = [*prepare_stages(), *semantic_stages()]
-        return f"get({run_on_array(f'array({cut})', ('mensagem', 'codigo'), stages)}, 0)"
-
-    def shorten(p: str) -> str:
-        same = {f: f"{p}.{f}" for f in fields}
-        cut = bind(relabelled(p), lambda c: struct(
-            **(same | {f: f"{c}.{f}" for f in ("mensagem", "limpa", "mascara", "semantica")})))
-        return f"if(length({p}.mensagem) > {rules.MAX_MESSAGE_LENGTH}, {cut}, {struct(**same)})"
-
-    item = "rejeitada"
-    short = f"transform({slim}, {item} -> {shorten(item)})"
-    labelled = run_on_array(short, fields, [lambda r: {"rotulo": semantic_labels(r("semantica"))}, *_rejection_stages()])
+    slim = run_on_array(kept, (), [lambda r: {f: r(f) for f in fields}])
+    labelled = run_on_array(slim, fields, [lambda r: {"rotulo": semantic_labels(r("semantica"))}, *_rejection_stages()])
     return f"transform({labelled}, p -> p.rejeicao)"
 
 
@@ -130,7 +110,7 @@ def classify_logs(canonical: DataFrame, keep_columns: tuple[str, ...] = ()) -> D
         *keep_columns,
     )
     df = df.selectExpr(*log, f"{pair_messages('payload')} AS pares")
-    single = f"size(pares) = 1 AND length(get(pares, 0).mensagem) <= {rules.MAX_MESSAGE_LENGTH}"
+    single = "size(pares) = 1"
     df = df.selectExpr(*log, f"{single} AS unica", f"if({single}, NULL, pares) AS pares", "0 AS pos",
                        f"if({single}, get(pares, 0).mensagem, '') AS mensagem",
                        f"if({single}, get(pares, 0).codigo, '') AS codigo")

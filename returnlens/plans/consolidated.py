@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.operators.filters import ilike_contains
 from returnlens.operators.model import LogModel
-from returnlens.operators.ranking import tie_break, with_share
+from returnlens.operators.ranking import page, tie_break, with_share
 
 NO_MESSAGE = "Erro de sistema ou resposta vazia"
 PAGE_SIZE = 15
@@ -36,6 +36,11 @@ def consolidated_rejections(model: LogModel, search: str = "") -> DataFrame:
     )
 
 
+def consolidated_page(model: LogModel, search: str = "", number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """One page of the consolidated table."""
+    return page(consolidated_rejections(model, search), number, size)
+
+
 def consolidated_totals(model: LogModel, search: str = "") -> DataFrame:
     """Occurrences and rows of the consolidated table."""
     return consolidated_rejections(model, search).agg(

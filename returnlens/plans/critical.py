@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.operators.filters import entity_predicate
 from returnlens.operators.model import LogModel
-from returnlens.operators.ranking import leading_value, tie_break, top
+from returnlens.operators.ranking import leading_value, page, tie_break, top
 from returnlens.plans.overview import temporal_variability
 
 PAGE_SIZE = 10
@@ -34,6 +34,11 @@ def critical_entities(model: LogModel, kind: str, value: str = "") -> DataFrame:
     )
 
 
+def critical_entities_page(model: LogModel, kind: str, value: str = "", number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """One page of the critical entities."""
+    return page(critical_entities(model, kind, value), number, size)
+
+
 def top_entities(model: LogModel, n: int = 5) -> DataFrame:
     """Entity values with most business rejections."""
     counts = _business_entities(model).groupBy("entidade_valor").agg(F.count(F.lit(1)).alias("total"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from returnlens.functions import rules
@@ -74,6 +74,21 @@ def detail_page(rows: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> Data
     return page(ordered, number, size).drop("rejeicao_id")
 
 
+def detail_page_after(rows: DataFrame, after: Row | None = None, size: int = PAGE_SIZE) -> DataFrame:
+    """The page behind a row of an earlier one, newest first, with its cursor column ``rejeicao_id``.
+
+    However far the page lies, no earlier rows are sorted or sent along.
+    """
+    found = detail_projection(rows)
+    if after is not None:
+        same = (F.col("data") == F.lit(after["data"])) & (F.col("hash_evento") == after["hash_evento"])
+        later = F.lit(False) if after["rejeicao_id"] is None else (
+            F.col("rejeicao_id").isNull() | (F.col("rejeicao_id") > after["rejeicao_id"]))
+        found = found.where((F.col("data") < F.lit(after["data"])) | (
+            (F.col("data") == F.lit(after["data"])) & (F.col("hash_evento") > after["hash_evento"])) | (same & later))
+    return found.orderBy(F.desc("data"), "hash_evento", F.asc_nulls_last("rejeicao_id")).limit(size)
+
+
 def export_rows(model: LogModel) -> DataFrame:
     """The 22 columns of the denormalised export. Sort it only where the order matters."""
     success = F.col(LOG_RESULT).isin(*rules.SUCCESS_RESULTS)

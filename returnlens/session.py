@@ -35,12 +35,14 @@ def configure_session(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only where the cluster names none (local runs, tests) a temporary folder is made, and it
-    is remembered in the session so that later calls agree on it.
+    Without one, a cluster gets an error. A local run gets a temporary folder, which is
+    remembered in the session so that later calls agree on it.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors reach")
     local = tempfile.mkdtemp(prefix="returnlens-")
     spark.conf.set(CHECKPOINT_KEY, local)
     return local

@@ -16,7 +16,6 @@ from returnlens.sources.rawlogs import fingerprint_files, read_raw_logs
 TABLES = {"dim_log": dim_log, "fact_rejeicoes_semanticas": fact_rejections, "fact_entidades_extraidas": fact_entities}
 NESTED = "logs_aninhados"
 LEDGER = "arquivos_ingeridos"
-EXPORT_ROW_CAP = 1_000_000
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -94,9 +93,8 @@ def ingest(spark: SparkSession, paths: str | list[str], root: str, ingest_ts: Co
     chosen = F.col("file_hash").isin(*hashes)
     nested = spark.read.parquet(f"{root}/{NESTED}").where(chosen)
     rejections = nested.select(F.explode("rejeicoes").alias("r")).select(
-        F.size("r.entidades").alias("n"), F.col("r.entidades_excedentes").alias("x")
-    ).agg(F.count(F.lit(1)).alias("total_rejeicoes"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_entidades"),
-          F.coalesce(F.sum("x"), F.lit(0)).alias("entidades_excedentes"))
+        F.size("r.entidades").alias("n")
+    ).agg(F.count(F.lit(1)).alias("total_rejeicoes"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_entidades"))
     return _counts(spark, root, hashes).select(
         F.lit("processed").alias("status"), "*",
         *(rejections.select(c).scalar().alias(c) for c in rejections.columns),

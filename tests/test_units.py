@@ -44,7 +44,7 @@ def test_payload(spark):
         ("9", '{"Mensagem":"m"} rest', ["9"], ['{"Mensagem":"m"} rest']),
         ("9", '{"Mensagem":"a"} {"Mensagem":"b"}', ["9"], ['{"Mensagem":"a"} {"Mensagem":"b"}']),
         ("9", '{"Mensagem":"a","Mensagem":"b"}', [""], ["b"]),
-        ("None", "nan", [""], [""]),
+        ("None", "nan", [""], [""]), ("9", '{"Codigo":{"a":1,"b":2},"Mensagem":"m"}', ['{"a":1,"b":2}'], ["m"]),
     ]
     df = spark.createDataFrame([r[:2] for r in rows], "c string, d string")
     got = [tuple(r[0]) for r in df.selectExpr(f"{parse_payload('c', 'd')} AS p").collect()]
@@ -54,7 +54,7 @@ def test_payload(spark):
 def test_protocol(spark):
     rows = [
         ("", '{"a":1,"PROTOCOLO":" X1 "}', "P", "X1"), ("", '{"Protocolo":0,"protocolo":"0"}', "P", "0"),
-        ("", '["Protocolo"]', " P ", "P"), ("", "Protocolo: ABC-9 e protocolo ZZZ9", "SEM_PROTOCOLO", "ABC-9"),
+        ("", '["Protocolo"]', " P ", "P"), ("", '{"protocolo":"A","Protocolo":"X","protocolo":"B"}', "", "B"), ("", "Protocolo: ABC-9 e protocolo ZZZ9", "SEM_PROTOCOLO", "ABC-9"),
         ("protocolo 777", "protocolo 12", "", "777"), ("", "nada", "nan", "SEM_PROTOCOLO"),
     ]
     df = spark.createDataFrame([r[:3] for r in rows], "c string, d string, k string")
@@ -112,24 +112,19 @@ def canonical(spark, rows):
         "*", "'C' AS contratante", "'P' AS cod_protocolo", "timestamp'2024-01-01 00:00:00' AS data")
 
 
-def test_caps_and_truncation(spark):
-    many = "[" + ",".join(f'"CEP {i:05d}-000 nao cadastrado"' for i in range(12)) + "]"
-    ceps = " ".join(f"{i:05d}-111" for i in range(12))
-    long = "x" * 4995 + " placa não pertence ao rntrc"
+def test_nothing_is_cut(spark):
+    many = "[" + ",".join(f'"CEP {i:05d}-000 nao cadastrado"' for i in range(30)) + "]"
+    ceps = " ".join(f"{i:05d}-111" for i in range(25))
+    long = "x" * 6000 + " cep 01234-567 nao cadastrado"
     silver = classify_logs(canonical(spark, [("a", "209", many, "F"), ("b", "1", f"CEP {ceps}", "F"), ("c", "1", long, "F"),
                                              ("d", "1", '""', "F")]))
     rejected = {}
     for r in fact_rejections(silver).collect():
         rejected.setdefault(r["log_id"], []).append(r)
-    assert len(rejected["a"]) == rules.MAX_REJECTIONS_PER_LOG
-    assert len(rejected["c"][0]["mensagem"]) == rules.MAX_MESSAGE_LENGTH + len(rules.TRUNCATION_MARK)
-    # The result saw the whole message, the labels the cut one.
-    assert (rejected["c"][0]["severidade"], rejected["c"][0]["tipo_rejeicao_semantica"]) == ("ALTO", rules.UNCATEGORISED)
-    assert "d" not in rejected
-    kept = [r["entidade_valor"] for r in fact_entities(silver).where("rejeicao_id LIKE 'b%'").orderBy("entidade_valor").collect()]
-    assert kept == [f"{i:05d}-111" for i in range(10)]
-    excess = silver.where("log_id = 'b'").selectExpr("rejeicoes[0].entidades_excedentes").first()[0]
-    assert excess == 2
+    assert len(rejected["a"]) == 30 and rejected["c"][0]["mensagem"] == long and "d" not in rejected
+    found = {k: [r["entidade_valor"] for r in fact_entities(silver).where(f"rejeicao_id LIKE '{k}%'").orderBy("entidade_valor").collect()]
+             for k in "bc"}
+    assert found == {"b": [f"{i:05d}-111" for i in range(25)], "c": ["01234-567"]}
 
 
 def test_array_and_column_paths_agree(spark):
