@@ -21,6 +21,7 @@ RECALL = 0.97
 DEGREE = 16
 LIST_BLOCK = 2_000
 QUERY_BLOCK = 500
+SEARCH_BLOCK = 512
 
 
 def usable(vector: Column) -> Column:
@@ -71,9 +72,14 @@ class Lists:
     def search(self, x: np.ndarray, ratio: float) -> np.ndarray:
         """Distances of the centroids within (1 + ratio) of the nearest found, infinite elsewhere.
 
-        Best-first over the graph for many vectors at once: what lies within the bound is expanded
-        until nothing new does.
+        Vectors go through in blocks, which bounds the memory whatever their number.
         """
+        parts = [self._search(x[at:at + SEARCH_BLOCK], ratio) for at in range(0, len(x), SEARCH_BLOCK)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.centroids)))
+
+    def _search(self, x: np.ndarray, ratio: float) -> np.ndarray:
+        """Best-first over the graph for a block of vectors at once: what lies within the bound is
+        expanded until nothing new does."""
         found = np.full((len(x), len(self.centroids)), np.inf)
         fresh = np.zeros(found.shape, dtype=bool)
         fresh[:, self.entries] = True
