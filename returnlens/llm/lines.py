@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from returnlens.llm.near import BITMAP, marked
+from returnlens.llm.near import marked, place_of
 from returnlens.llm.shared import documents, stored
 
 LINES_PER_CHUNK = 4
@@ -44,13 +44,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "check", "start", "size"])
 
 
-def _holding(bits):
-    """Rows whose place (the last column) the bitmap holds."""
+def _holding(bits, held: bool = True):
+    """Rows whose place (the last column) the bitmap holds, or does not hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((bits.value[place >> 3] >> (place & 7)) & 1 == 1))
+            yield batch.filter(pa.array((bits.value[place >> 3] >> (place & 7)) & 1 == int(held)))
 
     return run
 
@@ -61,7 +61,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     Line pairs and long lines are counted by hash over all documents; only those that two documents
     share go on, and with them the texts of their documents. What a chunk's bytes are grouped by is
-    the text itself.
+    the text itself. Both sides of every join grow with the documents, so none is broadcast.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("check"))
     hashed = texts.select("doc_id", "check", F.expr("transform(split(text, '\\n', -1), l -> struct(xxhash64(l) AS h, regexp_count(l, r'[^ \\t\\n\\x0B\\f\\r]+') AS w))").alias("lines"))
@@ -70,15 +70,14 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         filter(transform(lines, (l, i) -> IF(l.w > {LONG_LINE_WORDS}, struct(i AS at, xxhash64(l.h, 1) AS item, true AS alone), NULL)), x -> x IS NOT NULL))""")).alias("i")).select("doc_id", "check", "i.*")
     items = stored(items, "lines")
     shared = items.groupBy("item").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("item")
-    found = items.join(shared, "item").groupBy("doc_id", "check").agg(F.collect_set(F.struct("at", "item", "alone")).alias("items"))
+    found = items.join(shared.hint("merge"), "item").groupBy("doc_id", "check").agg(F.collect_set(F.struct("at", "item", "alone")).alias("items"))
     chunks = stored(found.mapInArrow(_chunks, "doc_id long, check long, start int, size int"), "chunks")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    bits = docs.sparkSession.sparkContext.broadcast(marked(chunks.select(place.alias("place"))))
-    wanted = texts.withColumn("place", place).mapInArrow(_holding(bits), "doc_id long, text string, check long, place long")
-    held = stored(chunks.join(wanted.dropDuplicates(["doc_id", "check"]), ["doc_id", "check"]).select(
+    bits = docs.sparkSession.sparkContext.broadcast(marked(chunks.select(place_of("doc_id").alias("place"))))
+    wanted = texts.withColumn("place", place_of("doc_id")).mapInArrow(_holding(bits), "doc_id long, text string, check long, place long")
+    held = stored(chunks.hint("merge").join(wanted.dropDuplicates(["doc_id", "check"]), ["doc_id", "check"]).select(
         "doc_id", "check", "start", "size", F.expr("array_join(slice(split(text, '\\n', -1), start + 1, size), '\\n')").alias("chunk")), "held")
     first = held.groupBy("chunk").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return held.join(first.drop("last"), "chunk").where("first < doc_id").select(
+    return held.join(first.drop("last").hint("merge"), "chunk").where("first < doc_id").select(
         "doc_id", "check", "start", "size", F.regexp_count("chunk", F.lit(WORD)).alias("words"))
 
 
@@ -105,16 +104,21 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
 
     A passage is two lines or more in a row, or a line of over 50 words; it stays in the document of
     the smallest id that has it. Shorter single lines stay everywhere, and so do repetitions within
-    one document. Null ids and null texts pass unchanged; rows that repeat an id never take from
-    each other; an empty table gives no rows.
+    one document. Only texts that may lose lines move; all others pass by them. Null ids and null
+    texts pass unchanged; rows that repeat an id never take from each other; an empty table gives no
+    rows.
     """
     chunks = repeated_chunks(docs).groupBy("doc_id", "check").agg(F.collect_set(F.struct("start", "size", "words")).alias("chunks"))
     cuts = stored(chunks.mapInArrow(_cuts, "_d long, _c long, _cuts array<struct<start: int, stop: int>>").where("size(_cuts) > 0"), "cuts")
-    joined = docs.withColumn("_h", F.xxhash64("text")).join(cuts, (F.col("doc_id") == F.col("_d")) & (F.col("_h") == F.col("_c")), "left")
+    bits = docs.sparkSession.sparkContext.broadcast(marked(cuts.select(place_of("_d").alias("place"))))
+    placed = docs.withColumn("_place", place_of("doc_id"))
+    touched = placed.mapInArrow(_holding(bits), placed.schema).withColumn("_h", F.xxhash64("text"))
+    joined = touched.join(cuts.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("_h") == F.col("_c")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> NOT exists(_cuts, c -> i >= c.start AND i < c.stop)), '\\n')")
     removed = F.expr("coalesce(aggregate(_cuts, 0, (n, c) -> n + c.stop - c.start), 0)")
-    return joined.withColumn("_removed", removed).withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept)).select(
-        *docs.columns, "_removed")
+    cleaned = joined.withColumn("_removed", removed).withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept))
+    others = placed.mapInArrow(_holding(bits, False), placed.schema).withColumn("_removed", F.lit(0))
+    return cleaned.select(*docs.columns, "_removed").union(others.select(*docs.columns, "_removed"))
 
 
 def op7_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
