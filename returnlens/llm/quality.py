@@ -242,16 +242,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainde
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_FIT_ROWS) -> DataFrame:
     """The documents the classifier accepts, with all their columns.
 
-    The score of a row depends on its text alone, so texts are scored once more on the way through.
+    It learns from the documents of at most ``most_rows`` labelled ids, those with the smallest hash;
+    that bounds what is broadcast to find their texts. The score of a row depends on its text
+    alone, so texts are scored once more on the way through.
     """
+    learned = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
+    chosen = learned.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     columns = docs.select("text", "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
-    features = stored(columns.where("doc_id IS NOT NULL AND NOT held_out")
-                      .join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("text", "doc_id", "held_out")
+    features = stored(columns.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "doc_id", "held_out")
                       .mapInArrow(_features, "features array<float>, doc_id long, held_out boolean"), "features")
-    model = train(features, labels)
+    model = train(features, labels, most_rows)
     names, schema = docs.columns, docs.schema
     at = names.index("text")
 
