@@ -136,9 +136,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def candidate_tables(reps: DataFrame, sides: int) -> DataFrame:
-    """(rep, key): tables in which a representative may meet another.
+    """(rep, x, key): tables in which a representative may meet another.
 
-    A table's key combines a sub-band of the first collection with one of the second. Keys are
+    A table's key combines a sub-band x of the first collection with one of the second. Keys are
     formed only of sub-bands that two representatives at least share.
     """
     rows = reps.select("rep", F.posexplode("bands").alias("band", "sub"))
@@ -147,7 +147,7 @@ def candidate_tables(reps: DataFrame, sides: int) -> DataFrame:
              .agg(F.collect_list(F.when(F.col("band") < sides, F.col("sub"))).alias("first"),
                   F.collect_list(F.when(F.col("band") >= sides, F.col("sub"))).alias("second")))
     return (alive.where("size(first) > 0 AND size(second) > 0").select("rep", F.explode("first").alias("x"), "second")
-            .select("rep", "x", F.explode("second").alias("y")).select("rep", F.xxhash64("x", "y").alias("key")))
+            .select("rep", "x", F.explode("second").alias("y")).select("rep", "x", F.xxhash64("x", "y").alias("key")))
 
 
 def remaining_pairs(unresolved: DataFrame, percent: int) -> DataFrame:
@@ -181,8 +181,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     1. Equal sets fall together: one representative each, which stands for its copies from there on.
     2. Tensored banding puts representatives into tables. In a bucket all others are held against
        its smallest member, on full sets; so a bucket costs its length, not its square.
-    3. Buckets whose other members then lie in more than one component go to ``remaining_pairs``,
-       which misses no pair, and what links there is joined on.
+    3. Where a bucket's other members then lie in more than one component, they and the members of
+       the other buckets of its first sub-band go to ``remaining_pairs``, which misses no pair, and
+       what links there is joined on.
 
     A null or empty text has no set and links with nothing; a short text is one shingle; rows that
     repeat an id count as one document each and share a component; a null id is no document and is
@@ -205,10 +206,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         sets = sets.dropDuplicates(["rep", "check"])
     links = stored(confirm(stars, sets, percent), "links")
     labelled = met.join(components(links), F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
+        "key", "x", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = stored(labelled, "labelled")
-    open_buckets = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    unresolved = labelled.join(open_buckets.select("key"), "key", "left_semi").select("rep", "component").distinct()
+    open_buckets = labelled.groupBy("x", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    members = labelled.select("x", "rep", "component").distinct()
+    unresolved = members.join(open_buckets.select("x").distinct(), "x", "left_semi").select("rep", "component").distinct()
     pairs = stored(remaining_pairs(unresolved.join(sets, "rep"), percent), "pairs")
     joined = components(links.union(confirm(pairs, sets, percent)))
     final = groups.join(joined, F.col("rep") == F.col("node"), "left").select(
