@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from returnlens.operators.silver import FACT_COLUMNS
 from returnlens.sources.silver import TABLES, ingest, open_silver, register_views
 
+# The expected inputs.
 OBJECT = "br.com.acme.frete.model.EncerramentoOperacaoTransporte@"
 SCENARIOS = [
     ("PROT001", "26/05/2026 10:00:00", "12.345.678/0001-00", "Emitir CIOT", '{"Codigo":"217"}',

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from returnlens.functions.sqltext import run_on_table
 from returnlens.functions.text import mask_stages, split_message, strip
 from returnlens.operators.canonical import canonicalize, check_columns, normalize_columns, with_dense_key
 from returnlens.operators.silver import classify_logs, fact_entities, fact_rejections
+from returnlens.session import CHECKPOINT_KEY, shared_dir
 from returnlens.sources.rawlogs import fingerprint_files, read_raw_logs
 from returnlens.sources.silver import export_csv
 from tests.test_scenarios import write_csv
@@ -181,3 +183,20 @@ def test_export(spark, tmp_path):
     assert text.splitlines()[:2] == ['"t";"n"', '"a ""q""; b";"1"']
     export_csv(rows, str(tmp_path / "capped"), quote_all=False, cap=2)
     assert len(next((tmp_path / "capped").glob("*.csv")).read_text().splitlines()) == 3
+
+
+@pytest.mark.parametrize("master, folder, answer", [
+    ("spark://host:7077", "/shared/", "/shared"), ("spark://host:7077", None, ValueError), ("local-cluster[2,1,1024]", None, ValueError),
+    ("local[8]", "/shared", "/shared"), ("local[8]", None, "returnlens-"),
+])
+def test_shared_folder(master, folder, answer):
+    settings = {CHECKPOINT_KEY: folder} if folder else {}
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=settings.get, set=settings.__setitem__),
+        sparkContext=SimpleNamespace(master=master, getConf=lambda: {}),
+    )
+    if answer is ValueError:
+        with pytest.raises(ValueError):
+            shared_dir(session)
+    else:
+        assert answer in shared_dir(session) and shared_dir(session) == shared_dir(session)
