@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from returnlens.llm import chat, fingerprints, language, lines, mixing, near, neighbours, packing, quality, recurrent
+from returnlens.llm import (
+    chat,
+    fingerprints,
+    language,
+    lines,
+    mixing,
+    near,
+    neighbours,
+    packing,
+    quality,
+    recurrent,
+    variants,
+    whitening,
+    wrappers,
+)
 
 OP8_SQL = r"""
 WITH sized AS (
@@ -43,5 +57,8 @@ QUERIES = {
     "op6_nearest_neighbours": neighbours.op6_nearest_neighbours,
     "op7_dedup_lines": lines.op7_dedup_lines,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op11_whiten_embeddings": whitening.op11_whiten_embeddings,
+    "op12_extract_pages": wrappers.op12_extract_pages,
+    "op13_group_spellings": variants.op13_group_spellings,
 }
 ORACLE_SQL = {"op5_rotate_perspectives": chat.OP5_SQL, "op1_fingerprint_documents": fingerprints.OP1_SQL, "op8_mix_sources": OP8_SQL}
