@@ -16,9 +16,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oracles.cases import CASES
 from oracles.operators import OPERATORS
 from oracles.reports import FILTERS, REPORTS, filter_sql, report_sql
 from returnlens import LogFilter, LogModel, classify_logs, configure_session, shared_dir
@@ -43,8 +44,10 @@ from returnlens.functions.text import mask_stages, strip
 from returnlens.operators.canonical import canonicalize, spread
 from returnlens.operators.silver import dim_log, fact_entities, fact_rejections
 from returnlens.plans import client, consolidated, critical, detail, observability, overview
+from returnlens.plans.cases import rule_logs, wide_logs, write_raw_files
 from returnlens.plans.demo import raw_logs
-from returnlens.sources.silver import ingest
+from returnlens.sources.rawlogs import describe_files, describe_splits, read_lines
+from returnlens.sources.silver import export_csv, ingest, ledger, open_silver, register_views, rejected_lines
 
 try:  # the training-data operators, where they are installed
     import corpus_pipeline
@@ -108,7 +111,10 @@ def _report(function: Callable[..., DataFrame], *args, flat: bool = False, where
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per single message of every log."""
-    canonical = _canonical(configure_session(spark), sf_dir)
+    return _pairs_of(_canonical(configure_session(spark), sf_dir))
+
+
+def _pairs_of(canonical: DataFrame) -> DataFrame:
     payload = canonical.selectExpr("log_id", "funcionalidade", f"{parse_payload('cod_mensagem', 'des_resposta')} AS payload")
     pairs = payload.selectExpr("log_id", "funcionalidade", f"{pair_messages('payload')} AS pares")
     # The outer form, with its empty rows dropped, spares the size test the optimizer would put
@@ -194,13 +200,11 @@ def _entities_of(kind: str) -> Query:
 
 
 def _raw_files(spark: SparkSession, sf_dir: str) -> str:
-    """The derived logs as raw CSV files."""
+    """The derived logs as raw files."""
     configure_session(spark)
     path = _folder(spark, sf_dir, "raw")
     if path not in _written:
-        (spread(raw_logs(spark, sf_dir), "log_id").drop("log_id")
-         .withColumn("dhr_registro", F.date_format("dhr_registro", "dd/MM/yyyy HH:mm:ss"))
-         .write.mode("overwrite").option("header", True).option("sep", ";").option("escape", '"').csv(path))
+        write_raw_files(spark, sf_dir, path)
         _written.add(path)
     return path
 
@@ -212,12 +216,82 @@ def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(spark, files, root)
 
 
+def _lake(spark: SparkSession, sf_dir: str) -> str:
+    """The raw files as a lake, ingested once per session and data folder."""
+    files, root = _raw_files(spark, sf_dir), _folder(spark, sf_dir, "lake")
+    if root not in _written:
+        ingest(spark, files, root)
+        _written.add(root)
+    return root
+
+
 def _ingest_again(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _raw_files(spark, sf_dir)
-    root = _folder(spark, sf_dir, f"lake{len(_written)}")
-    _written.add(root)
-    ingest(spark, files, root)
-    return ingest(spark, files, root)
+    return ingest(spark, _raw_files(spark, sf_dir), _lake(spark, sf_dir))
+
+
+def _ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return open_silver(spark, _lake(spark, sf_dir)).logs().drop("log_id")
+
+
+def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejected_lines(spark, _lake(spark, sf_dir)).select("linha", "texto")
+
+
+def _row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in its file each log stands, as its key says."""
+    return open_silver(spark, _lake(spark, sf_dir)).logs().select(
+        "protocolo", F.substring_index("log_id", "_", -1).cast("long").alias("linha"))
+
+
+def _file_number(path: str) -> Column:
+    return F.regexp_extract(path, "arquivo=(-?[0-9]+)", 1).cast("long")
+
+
+def _file_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = describe_files(describe_splits(read_lines(spark, _raw_files(spark, sf_dir))))
+    return files.select(_file_number("path").alias("arquivo"), F.col("separator").alias("separador"), F.col("encoding").alias("codificacao"),
+                        F.col("multiline").alias("aspas_abertas"), F.col("problema").isNotNull().alias("recusado"))
+
+
+def _file_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views of one file, the first."""
+    root = _lake(spark, sf_dir)
+    register_views(spark, root, ledger(spark, root).where(_file_number("path") == 0).first().file_hash)
+    return spark.sql("""SELECT protocolo, status_geral, count(rejeicao_id) AS rejeicoes FROM dim_log
+        LEFT JOIN fact_rejeicoes_semanticas USING (log_id) GROUP BY dim_log.log_id, protocolo, status_geral""")
+
+
+def _lake_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return open_silver(spark, _lake(spark, sf_dir)).where(LOG_FILTERS["filter_period"]).logs().select("protocolo", "status_geral")
+
+
+def _exported(quote_all: bool) -> Query:
+    """The export written as files and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark, sf_dir, f"export{int(quote_all)}")
+        rows = detail.export_rows(_model(spark, sf_dir))
+        export_csv(rows.withColumn("data", F.date_format("data", "yyyy-MM-dd HH:mm:ss")), path, quote_all)
+        names = ("protocolo", "data", "contratante", "tipo_rejeicao_semantica", "mensagem_original", "mensagem_normalizada", "severidade_operacional",
+                 "codigo_antt", "entidades_extraidas")
+        back = spark.read.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+        return back.select(*(F.coalesce(n, F.lit("")).alias(n) for n in names))
+
+    return run
+
+
+def _rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_on_table(_pairs_of(rule_logs(configure_session(spark), sf_dir)), [*classification_stages(), _label_stage])
+    return rows.selectExpr("log_id", "resultado_operacional AS resultado", "tipo_erro_tecnico AS tipo_erro", "rotulo.template AS tipo", "severidade")
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_logs(wide_logs(configure_session(spark), sf_dir))
+
+
+def _wide_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fact_rejections(_wide(spark, sf_dir)).select(
+        "rejeicao_id", "codigo_antt", "tipo_rejeicao_semantica", F.char_length("mensagem").cast("long").alias("tamanho"), F.md5("mensagem").alias("resumo"))
 
 
 def _rows(function: Callable[..., DataFrame], **arguments) -> Callable[[LogModel], DataFrame]:
@@ -334,8 +408,19 @@ def queries() -> dict[str, Query]:
         "entities_all": lambda s, d: fact_entities(_classified(s, d)),
         **{name: _entities_of(name.removeprefix("entities_").upper()) for name in OPERATORS
            if name.startswith("entities_") and name != "entities_all"},
+        "rule_labels": _rule_labels,
+        "wide_rejections": _wide_rejections,
+        "wide_entities": lambda s, d: fact_entities(_wide(s, d)).drop("entidade_id"),
         "ingest_summary": _ingest,
         "ingest_again": _ingest_again,
+        "ingest_rows": _ingest_rows,
+        "ingest_rejects": _ingest_rejects,
+        "row_keys": _row_keys,
+        "file_dialects": _file_dialects,
+        "file_views": _file_views,
+        "lake_period": _lake_period,
+        "export_quoted": _exported(True),
+        "export_plain": _exported(False),
     }
     reports = {name: _report(*spec) for name, spec in REPORT_FUNCTIONS.items()}
     flat = {f"{name}_flat": _report(*REPORT_FUNCTIONS[name], flat=True) for name in FLAT_REPORTS}
@@ -354,6 +439,7 @@ def oracle_sql() -> dict[str, str]:
     pipeline = {} if llm is None or corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     return ({} if llm is None else llm.ORACLE_SQL | pipeline) | (
         dict(OPERATORS)
+        | CASES
         | {name: report_sql(name) for name in REPORTS}
         | {f"{name}_flat": report_sql(name) for name in FLAT_REPORTS}
         | {f"{name}_filtered": report_sql(name, FILTERS["filter_combined"]) for name in FILTERED_REPORTS}

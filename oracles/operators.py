@@ -65,7 +65,4 @@ OPERATORS = {
     "rejections": UP_TO_FACT + f"SELECT {FACT} FROM fact",
     "entities_all": UP_TO_ENTITIES + "SELECT entidade_id, rejeicao_id, entidade_tipo, entidade_valor FROM ent",
     **{f"entities_{e.kind.lower()}": UP_TO_ENTITIES + f"SELECT rejeicao_id, entidade_valor FROM ent WHERE entidade_tipo = '{e.kind}'" for e in rules.ENTITY_RULES},
-    "ingest_summary": UP_TO_ENTITIES + """SELECT 'processed' AS status, (SELECT count(*) FROM dim_log) AS total_logs, (SELECT count(DISTINCT protocolo) FROM dim_log) AS unique_protocols,
-        (SELECT count(*) FROM fact) AS total_rejeicoes, (SELECT count(*) FROM ent) AS total_entidades""",
-    "ingest_again": UP_TO_RAW + "SELECT 'cached' AS status, count(*) AS total_logs, count(DISTINCT cod_protocolo) AS unique_protocols FROM raw",
 }

@@ -27,8 +27,7 @@ def words(column: str, items) -> str:
 
 
 def mask(column: str) -> str:
-    steps = [*rules.MASK_OBJECTS, *rules.MASK_PREFIX, *rules.MASK_NUMBERS, *rules.MASK_PROTOCOL, *rules.MASK_AMOUNTS]
-    steps += [(rf"\{{{k}\}}(?:\s*(?:,|\be\b|/)\s*\{{{k}\}})+", f"{{{k}}}") for k in ("PLACA", "DOC", "RNTRC", "CEP")]
+    steps = [*rules.MASK_OBJECTS, *rules.MASK_PREFIX, *rules.MASK_NUMBERS, *rules.MASK_PROTOCOL, *rules.MASK_AMOUNTS, *rules.MASK_LISTS]
     for pattern, replacement in steps:
         column = f"regexp_replace({column}, {lit(pattern)}, {lit(replacement)}, 'g')"
     return f"trim(regexp_replace({column}, '\\s+', ' ', 'g'))"

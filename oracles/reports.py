@@ -194,8 +194,10 @@ REPORTS: dict[str, tuple[str, str]] = {
     "entity_trend": ("", f"""SELECT strftime(data_evento, '%Y-%m-%d') AS dia, entidade_valor AS entidade, count(*) AS total_falhas FROM pe WHERE {NEG} AND {GATE}
         AND entidade_valor IN (SELECT entidade_valor FROM pe WHERE {NEG} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) GROUP BY 1, 2"""),
     "client_rejection_matrix": (MATRIX.format(20, 15), "SELECT * FROM mm"),
+    # A view needs the names of its columns: the business types that the derived logs bring about.
     "client_rejection_crosstab": (MATRIX.format(20, 15), """SELECT contratante, coalesce(COLUMNS(* EXCLUDE (contratante)), 0)::BIGINT
-        FROM (PIVOT mm ON tipo_rejeicao_semantica USING sum(total) GROUP BY contratante)"""),
+        FROM (PIVOT mm ON tipo_rejeicao_semantica IN ('LOCALIZACAO_ORIGEM_INVALIDA', 'MUNICIPIO_DESTINO_INVALIDO', 'OPERACAO_JA_CANCELADA', 'OUTROS_NAO_CATEGORIZADO',
+        'PAGAMENTO_TAC_NAO_PERMITIDO', 'PLACA_SEM_VINCULO_RNTRC', 'QUANTIDADE_EIXOS_INVALIDA', 'TRANSPORTADOR_NAO_ENCONTRADO') USING sum(total) GROUP BY contratante)"""),
     "uncatalogued_codes": ("", """SELECT codigo_antt, funcionalidade, max(mensagem_original) AS exemplo, count(*) AS quantidade, min(data_evento) AS primeira_ocorrencia,
         max(data_evento) AS ultima_ocorrencia FROM pr WHERE tipo_rejeicao_semantica = 'OUTROS_NAO_CATEGORIZADO' AND codigo_antt <> '' GROUP BY 1, 2"""),
     "hourly_errors": ("", "SELECT date_trunc('hour', data_evento) AS hora, count(*) AS total_erros FROM pr GROUP BY 1"),

@@ -384,26 +384,43 @@ MASK_PREFIX = (
     (r"(?i)^rejei[cç][aã]o\b\s*[-:]?\s*", "Rejeição: "),
     (r"(?i)\brejei[cç][aã]o\s*[-:]\s*", "Rejeição: "),
 )
-MASK_NUMBERS = (
+MASK_DATES = (
     (r"\b\d{2}/\d{2}/\d{4}(?:\s+\d{2}:\d{2}(?::\d{2})?)?\b", "{DATA}"),
     (r"\b\d{4}-\d{2}-\d{2}(?:[\sT]\d{2}:\d{2}(?::\d{2})?)?\b", "{DATA}"),
+)
+MASK_PLATE = (
     (r"\b(?:[A-Za-z]{3}[- ]?[0-9][A-Za-z0-9]{3}|[A-Za-z]{2}[- ]?[0-9][A-Za-z0-9]{3,4})\b", "{PLACA}"),
+)
+MASK_FORMATTED = (
     (r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b", "{DOC}"),
     (r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", "{DOC}"),
+)
+MASK_LONG_NUMBERS = (
     (r"\b\d{14}\b", "{DOC}"),
     (r"\b\d{11}\b", "{DOC}"),
+)
+MASK_LABELLED = (
     (r"(?i)\brntrc\s*:?\s*\b\d+\b", "RNTRC {RNTRC}"),
+)
+MASK_BARE = (
     (r"\b\d{8,12}\b", "{RNTRC}"),
+)
+MASK_POSTCODES = (
     (r"\b\d{5}-\d{3}\b", "{CEP}"),
     (r"\b\d{8}\b", "{CEP}"),
 )
+MASK_NUMBERS = (*MASK_DATES, *MASK_PLATE, *MASK_FORMATTED, *MASK_LONG_NUMBERS, *MASK_LABELLED, *MASK_BARE, *MASK_POSTCODES)
 MASK_PROTOCOL = ((r"(?i)protocolo\s*:?\s*\b[a-zA-Z0-9_-]+\b", "protocolo {PROTOCOLO}"),)
 MASK_AMOUNTS = (
     (r"\b\d+,\d{2}\b", "{VALOR}"),
     (r"\b\d+\.\d{2}\b", "{VALOR}"),
 )
-MASK_COLLAPSED = ("PLACA", "DOC", "RNTRC", "CEP")
-MASK_LIST_JOIN = r"(?:\s*(?:,|\be\b|/)\s*"
+MASK_LISTS = (
+    (r"\{PLACA\}(?:\s*(?:,|\be\b|/)\s*\{PLACA\})+", "{PLACA}"),
+    (r"\{DOC\}(?:\s*(?:,|\be\b|/)\s*\{DOC\})+", "{DOC}"),
+    (r"\{RNTRC\}(?:\s*(?:,|\be\b|/)\s*\{RNTRC\})+", "{RNTRC}"),
+    (r"\{CEP\}(?:\s*(?:,|\be\b|/)\s*\{CEP\})+", "{CEP}"),
+)
 
 # Protocol number written out in a message.
 PROTOCOL_IN_TEXT = r"(?i)protocolo\s*:?\s*\b([a-zA-Z0-9_-]+)\b"

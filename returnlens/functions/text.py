@@ -105,28 +105,22 @@ def mask_stages(source: str, target: str) -> list[Stage]:
     The substitutions keep their order; they are grouped only under conditions that all members
     of a group need.
     """
-    dates, (plate, *_), formatted = rules.MASK_NUMBERS[:2], rules.MASK_NUMBERS[2:3], rules.MASK_NUMBERS[3:5]
-    long_numbers, label, rest, cep = (rules.MASK_NUMBERS[5:7], rules.MASK_NUMBERS[7:8], rules.MASK_NUMBERS[8:9],
-                                      rules.MASK_NUMBERS[9:])
     digit = text(java_regex(r"\d"))
     eight = text(java_regex(r"\d{8}"))
-    lists = tuple(
-        (rf"\{{{kind}\}}{rules.MASK_LIST_JOIN}\{{{kind}\}})+", f"{{{kind}}}") for kind in rules.MASK_COLLAPSED
-    )
     return [
         lambda r: {target: r(source)},
         _substitution(target, rules.MASK_OBJECTS, "contains({0}, '@')"),
         _substitution(target, rules.MASK_PREFIX, f"contains({fold('{0}')}, 'rejei')"),
-        _substitution(target, dates, "(contains({0}, '/') OR contains({0}, '-'))"),
-        _substitution(target, (plate,), "{0} RLIKE " + digit.replace("{", "{{").replace("}", "}}")),
-        _substitution(target, formatted, "contains({0}, '-')"),
-        _substitution(target, long_numbers, "{0} RLIKE " + eight.replace("{", "{{").replace("}", "}}")),
-        _substitution(target, label),
-        _substitution(target, rest, "{0} RLIKE " + eight.replace("{", "{{").replace("}", "}}")),
-        _substitution(target, cep, "{0} RLIKE " + text(java_regex(r"\d-\d|\d{8}")).replace("{", "{{").replace("}", "}}")),
+        _substitution(target, rules.MASK_DATES, "(contains({0}, '/') OR contains({0}, '-'))"),
+        _substitution(target, rules.MASK_PLATE, "{0} RLIKE " + digit.replace("{", "{{").replace("}", "}}")),
+        _substitution(target, rules.MASK_FORMATTED, "contains({0}, '-')"),
+        _substitution(target, rules.MASK_LONG_NUMBERS, "{0} RLIKE " + eight.replace("{", "{{").replace("}", "}}")),
+        _substitution(target, rules.MASK_LABELLED),
+        _substitution(target, rules.MASK_BARE, "{0} RLIKE " + eight.replace("{", "{{").replace("}", "}}")),
+        _substitution(target, rules.MASK_POSTCODES, "{0} RLIKE " + text(java_regex(r"\d-\d|\d{8}")).replace("{", "{{").replace("}", "}}")),
         _substitution(target, rules.MASK_PROTOCOL),
         _substitution(target, rules.MASK_AMOUNTS, "(contains({0}, ',') OR contains({0}, '.'))"),
-        _substitution(target, lists, "contains({0}, '}}')"),
+        _substitution(target, rules.MASK_LISTS, "contains({0}, '}}')"),
         lambda r: {target: f"trim(regexp_replace({r(target)}, {text(java_regex(ANY_SPACE + '+'))}, ' '))"},
     ]
 

@@ -57,10 +57,18 @@ class LogFilter:
     codigos: tuple[str, ...] = ()
     mensagem: str = ""
 
+    def _period(self) -> tuple[date | None, date | None]:
+        return self.inicio or self.fim, self.fim or self.inicio
+
+    def day_predicate(self, day: Column) -> Column:
+        """The period as a condition on the event day, for tables partitioned by it."""
+        first, last = self._period()
+        return F.lit(True) if first is None else day.between(F.lit(first), F.lit(last))
+
     def log_predicate(self) -> Column:
         """Condition over the columns of the log itself."""
         conditions = []
-        first, last = self.inicio or self.fim, self.fim or self.inicio
+        first, last = self._period()
         if first is not None:
             lower = F.lit(f"{first:%Y-%m-%d} 00:00:00").cast("timestamp")
             upper = F.lit(f"{last:%Y-%m-%d} 23:59:59").cast("timestamp")

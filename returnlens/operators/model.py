@@ -22,6 +22,8 @@ from returnlens.operators.silver import (
 
 # The log's own result is renamed where both results stand in one row.
 LOG_RESULT = "resultado_log"
+# Partition column of tables laid out by event day.
+DAY = "dia"
 LOG_COLUMNS = DIM_COLUMNS[:-1]
 REJECTION_ONLY = tuple(c for c in FACT_COLUMNS if c != "log_id")
 ENTITY_ONLY = tuple(c for c in ENTITY_COLUMNS if c != "rejeicao_id")
@@ -78,6 +80,8 @@ class NestedLogModel(LogModel):
 
     def where(self, log_filter: LogFilter) -> LogModel:
         df = self.silver.where(log_filter.log_predicate())
+        if DAY in df.columns:
+            df = df.where(log_filter.day_predicate(F.col(DAY)))
         for name, predicate in log_filter.rejection_predicates():
             df = df.where(F.exists(F.col(f"rejeicoes.{name}"), predicate))
         return NestedLogModel(df)
@@ -109,12 +113,14 @@ class NestedLogModel(LogModel):
 
 class FlatLogModel(LogModel):
     def __init__(self, dim: DataFrame, rejections: DataFrame, entities: DataFrame):
-        self.dim = dim.select(*DIM_COLUMNS)
+        self.dim = dim.select(*DIM_COLUMNS, *(c for c in dim.columns if c == DAY))
         self.fact = rejections.select(*FACT_COLUMNS)
         self.entity = entities.select(*ENTITY_COLUMNS)
 
     def where(self, log_filter: LogFilter) -> LogModel:
         dim = self.dim.where(log_filter.log_predicate())
+        if DAY in dim.columns:
+            dim = dim.where(log_filter.day_predicate(F.col(DAY)))
         for name, predicate in log_filter.rejection_predicates():
             chosen = self.fact.where(predicate(F.col(name))).select("log_id")
             dim = dim.join(chosen, "log_id", "left_semi")
@@ -124,7 +130,7 @@ class FlatLogModel(LogModel):
         return self.dim.select(*_log_columns()).join(self.fact, "log_id", how)
 
     def logs(self) -> DataFrame:
-        return self.dim
+        return self.dim.select(*DIM_COLUMNS)
 
     def rejections(self, *columns: str) -> DataFrame:
         return self._joined("inner").select(*LOG_COLUMNS, LOG_RESULT, *(columns or REJECTION_ONLY))

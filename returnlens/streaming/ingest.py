@@ -18,26 +18,31 @@ from returnlens.sources.rawlogs import DEFAULT_DELIMITER, UTF8
 def stream_raw_logs(
     spark: SparkSession, folder: str, columns: list[str], separator: str = DEFAULT_DELIMITER, encoding: str = UTF8
 ) -> DataFrame:
-    """Raw logs of the files that arrive in a folder. A stream needs its columns named."""
-    schema = ", ".join(f"`{c}` STRING" for c in columns)
+    """Raw logs of the files that arrive in a folder. A stream needs its columns named. A row that does
+    not fit them comes with its text in ``rejeitada``."""
+    schema = ", ".join(f"`{c}` STRING" for c in (*columns, "rejeitada"))
     raw = (
         spark.readStream.schema(schema).option("header", True).option("sep", separator).option("encoding", encoding)
-        .option("quote", '"').option("escape", '"').option("mode", "DROPMALFORMED").option("columnPruning", False)
+        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "rejeitada").option("columnPruning", False)
         .csv(folder)
     )
     return raw.select("*", F.col("_metadata.file_name").alias("arquivo"))
 
 
 def stream_silver(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the classified logs of the stream to the nested table at ``path``, exactly once."""
+    """Append the classified logs of the stream to the nested table at ``path``, exactly once, and the
+    rows that do not fit to ``path`` with ``_rejeitadas`` behind it."""
+
+    def replace(rows: DataFrame, batch_id: int, target: str) -> None:
+        # A batch that is repeated after a failure replaces its own partition.
+        (rows.withColumn("lote", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("lote").parquet(target))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn(
+        replace(batch.where("rejeitada IS NOT NULL").select("arquivo", "rejeitada"), batch_id, f"{path}_rejeitadas")
+        keyed = batch.where("rejeitada IS NULL").drop("rejeitada").withColumn(
             "log_id", F.concat_ws("_", F.lit("log"), F.lit(batch_id), F.monotonically_increasing_id())
         )
-        silver = classify_logs(canonicalize(keyed, keep=("log_id", "arquivo")), keep_columns=("arquivo",))
-        # A batch that is repeated after a failure replaces its own partition.
-        (silver.withColumn("lote", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("lote").parquet(path))
+        replace(classify_logs(canonicalize(keyed, keep=("log_id", "arquivo")), keep_columns=("arquivo",)), batch_id, path)
 
     return raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()

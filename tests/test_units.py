@@ -17,10 +17,7 @@ from returnlens.functions.text import mask_stages, split_message, strip
 from returnlens.operators.canonical import canonicalize, check_columns, normalize_columns, with_dense_key
 from returnlens.operators.silver import classify_logs, fact_entities, fact_rejections
 from returnlens.session import CHECKPOINT_KEY, shared_dir
-from returnlens.sources.rawlogs import fingerprint_files, read_raw_logs
 from returnlens.sources.silver import export_csv
-from tests.test_scenarios import write_csv
-
 
 def column(spark, values, expression, name="s"):
     df = spark.createDataFrame([(v,) for v in values], f"{name} string")
@@ -158,24 +155,6 @@ def test_dense_key(spark):
     assert ids == [f"log_{i}" for i in range(1000)]
 
 
-def test_files(spark, tmp_path):
-    header = (" Protocolo ", "Contratante", "cod_mensagem", "des_resposta")
-    write_csv(tmp_path / "a.csv", [("P1", "000123", "1", "não")], ",", "latin-1", header)
-    write_csv(tmp_path / "b.csv", [("P2", "C", "2", 'duas\nlinhas; "x"')], ";", "utf-8", header)
-    (tmp_path / "c.csv").write_text("protocolo;contratante\nP3;C\nP4;C;a;b\nP5;C\n", encoding="utf-8")
-    files = fingerprint_files(spark, str(tmp_path))
-    dialects = {r["path"][-5:]: (r["separator"], r["encoding"], r["multiline"]) for r in files.collect()}
-    assert dialects == {"a.csv": (",", "ISO-8859-1", False), "b.csv": (";", "UTF-8", True), "c.csv": (";", "UTF-8", False)}
-    rows = {}
-    for table in read_raw_logs(spark, files):
-        for r in table.collect():
-            rows[r["protocolo"]] = r.asDict()
-    assert set(rows) == {"P1", "P2", "P3", "P5"}
-    assert rows["P1"]["contratante"] == "000123" and rows["P1"]["des_resposta"] == "não"
-    assert rows["P2"]["des_resposta"] == 'duas\nlinhas; "x"'
-    assert len({r["log_id"] for r in rows.values()}) == 4
-
-
 def test_export(spark, tmp_path):
     rows = spark.createDataFrame([('a "q"; b', 1), (None, 2), ("c", 3)], "t string, n int").coalesce(1)
     export_csv(rows, str(tmp_path / "quoted"))
