@@ -52,16 +52,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return table.select("source", "source_size", target.alias("target"))
 
 
-def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """(key, size, source_size, target, copies, taken) for rows (key, size, source) and their targets.
+def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: str = "mix", ties: tuple[str, ...] = ()) -> DataFrame:
+    """(key, size, source_size, target, copies, taken) for rows (key, size, source, ties) and their targets.
 
     A document's expected copies are its source's target over its size. Documents of a source stand
     in descending size, so that neighbours, of which one stands for the other, are alike; the prefix
     sum of expected copies plus the source's offset gives a copy per integer boundary crossed.
     Ranks come from ``ranked``; a source may hold any share of all rows.
     """
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col(key).asc_nulls_last()]
-    rows = ranked(sized.select(key, "size", "source"), ["source"], order)
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), *(F.col(c).asc_nulls_last() for c in (*ties, key))]
+    rows = ranked(sized.select(key, "size", "source", *ties), ["source"], order)
     t = targets.select(F.col("source").alias("_s"), "source_size", "target", random_offset(F.col("source"), seed).alias("_u"))
     joined = rows.join(t, F.col("source").eqNullSafe(F.col("_s")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -84,15 +84,14 @@ def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
 def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The documents of the mix, each as often as it is taken, with all their columns.
 
-    Copies join back by id and source; rows that repeat an id share out that id's copies: the first
-    of them, in text order, takes the larger part.
+    Every row has a key of its own and comes out by its own copies, whatever ids and sources repeat;
+    of rows of one size the smaller id, then the hash of the text, decides.
     """
-    copies = mix_documents(docs, seed).groupBy(F.col("doc_id").alias("_d")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source"))
-    numbered = docs.withColumn("_i", place - 1)
-    joined = numbered.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
-    times = F.floor((F.col("_c") + F.col("_n") - 1 - F.col("_i")) / F.col("_n")).cast("int")
-    return joined.withColumn("_k", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    sized = rows.select("key", word_count(F.col("row.text")).alias("size"), "row.source", "row.doc_id", F.xxhash64("row.text").alias("check"))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    copies = mix(sized, source_targets(sizes), "key", seed, ("doc_id", "check")).where("copies > 0").select("key", "copies")
+    return rows.join(copies, "key").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
