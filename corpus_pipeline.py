@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.llm.lines import remove_repeated_lines
 from returnlens.llm.mixing import mixed_rows
-from returnlens.llm.near import near_duplicates
+from returnlens.llm.near import kept_rows
 from returnlens.llm.packing import pack
 from returnlens.llm.quality import keep_good
 from returnlens.llm.shared import documents, ship, stored
@@ -25,20 +25,17 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that earlier documents hold; those that were nothing else go."""
     ship(spark)
     cleaned = remove_repeated_lines(docs)
-    changed = F.col("_removed") > 0
+    changed = F.col(cleaned.columns[-1]) > 0
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.where(~changed | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
-
-    A document without an id stays; rows that repeat an id are one document and all but one go.
-    """
+    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id, or
+    with one that repeats, are documents of their own."""
     ship(spark)
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept_rows(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

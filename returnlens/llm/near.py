@@ -16,7 +16,7 @@ HASHES_PER_BAND = 3
 MISS = 1e-4
 PAIRS_PER_SALT = 500
 BITMAP = 1 << 25
-PROFILE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+PROFILE = "doc_id long, check long, key long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
 def bands_per_side(percent: int, per_band: int = HASHES_PER_BAND, miss: float = MISS) -> int:
@@ -59,7 +59,7 @@ def _profiles(words: int, sides: int, per_band: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            values, bounds = shingle_sets(batch.column(1), words)
+            values, bounds = shingle_sets(batch.column(3), words)
             sizes = np.diff(bounds)
             some = np.flatnonzero(sizes)
             starts = bounds[:-1][some]
@@ -78,8 +78,8 @@ def _profiles(words: int, sides: int, per_band: int):
             offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, 2 * sides, 0))]).astype(np.int32)
             flat = pa.array(keys[some].ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "check", "key", "n_shingles", "h1", "h2", "bands"])
 
     return run
 
@@ -96,23 +96,21 @@ def marked(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def place_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITMAP))
+def place_of(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BITMAP))
 
 
 def _sets(words: int, wanted):
-    """Shingle sets of the rows (doc_id, text, place) whose place the bitmap holds."""
+    """Shingle sets of the rows (doc_id, check, text, place) whose place the bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in blocks(batches, "text"):
-            place = batch.column(2).to_numpy(zero_copy_only=False)
+            place = batch.column(3).to_numpy(zero_copy_only=False)
             own = batch.filter(pa.array((bits[place >> 3] >> (place & 7)) & 1 == 1))
-            values, bounds = shingle_sets(own.column(1), words)
+            values, bounds = shingle_sets(own.column(2), words)
             sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
-            total = np.concatenate([[0], np.cumsum(values, dtype=np.uint64)])
-            check = (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(check), sets], ["rep", "check", "shingles"])
+            yield pa.RecordBatch.from_arrays([*own.columns[:2], sets], ["doc_id", "check", "shingles"])
 
     return run
 
@@ -175,8 +173,9 @@ def remaining_pairs(unresolved: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of documents (doc_id, text), and its ``key`` if
+    the rows have a unique one (long) of that name.
 
     1. Equal sets fall together: one representative each, which stands for its copies from there on.
     2. Tensored banding puts representatives into tables. In a bucket all others are held against
@@ -185,25 +184,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
        the other buckets of its first sub-band go to ``remaining_pairs``, which misses no pair, and
        what links there is joined on.
 
-    A null or empty text has no set and links with nothing; a short text is one shingle; rows that
-    repeat an id count as one document each and share a component; a null id is no document and is
-    left out. Other columns play no part; an empty table gives no rows.
+    ``component_id`` is the smallest id of the rows that links reach (null if none of them has one).
+    Of every component one row is ``kept``: of that id, and if several have it, or none, the first. Rows
+    with a null id or an id that repeats are documents of their own. A null or empty text has no set
+    and links with nothing; a short text is one shingle; other columns play no part; an empty table
+    gives no rows.
     """
     sides = bands_per_side(percent)
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    profiles = stored(texts.mapInArrow(_profiles(words, sides, HASHES_PER_BAND), PROFILE), "profiles")
+    own = F.lit(None).cast("long") if key is None else F.col(key)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("check"), own.alias("key"), "text")
+    profiles = texts.mapInArrow(_profiles(words, sides, HASHES_PER_BAND), PROFILE)
+    profiles = stored(profiles.withColumn("key", F.coalesce("key", F.monotonically_increasing_id())), "profiles")
     same = ["h1", "h2", "n_shingles"]
-    best = F.min(F.struct("doc_id", "bands"))
-    groups = stored(profiles.where("n_shingles > 0").groupBy(*same).agg(best.alias("best"))
-                    .select(*same, F.col("best.doc_id").alias("rep"), "best.bands"), "groups")
+    # The first row of a group: smallest id, null last, then smallest key.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    groups = (profiles.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "check", "bands")).alias("best"), first)
+              .select(*same, F.monotonically_increasing_id().alias("rep"), F.col("best.doc_id").alias("doc_id"), F.col("best.check").alias("check"), "best.bands", "first"))
+    groups = stored(groups, "groups")
     tables = stored(candidate_tables(groups, sides), "tables")
     centres = tables.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("key", "a")
     met = stored(tables.join(centres, "key").where("a < rep"), "met")
     stars = met.select("a", F.col("rep").alias("b")).distinct()
-    involved = docs.sparkSession.sparkContext.broadcast(marked(met.select(F.explode(F.array("a", "rep")).alias("id")).select(place_of("id").alias("place"))))
-    sets = stored(texts.withColumn("place", place_of("doc_id")).mapInArrow(_sets(words, involved), "rep long, check long, shingles array<long>"), "sets")
-    if profiles.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids that repeat
-        sets = sets.dropDuplicates(["rep", "check"])
+    involved = groups.join(met.select(F.explode(F.array("a", "rep")).alias("rep")).distinct(), "rep", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(marked(involved.select(place_of("doc_id", "check").alias("place"))))
+    marks = texts.select("doc_id", "check", "text", place_of("doc_id", "check").alias("place"))
+    found = stored(marks.mapInArrow(_sets(words, bits), "doc_id long, check long, shingles array<long>"), "found")
+    named = involved.select("rep", F.col("doc_id").alias("_d"), F.col("check").alias("_c"))
+    matched = found.join(named, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("check") == F.col("_c")))
+    sets = stored(matched.select("rep", "shingles").dropDuplicates(["rep"]), "sets")
     links = stored(confirm(stars, sets, percent), "links")
     labelled = met.join(components(links), F.col("rep") == F.col("node"), "left").select(
         "key", "x", "rep", F.coalesce("component", "rep").alias("component"))
@@ -213,11 +221,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     unresolved = members.join(open_buckets.select("x").distinct(), "x", "left_semi").select("rep", "component").distinct()
     pairs = stored(remaining_pairs(unresolved.join(sets, "rep"), percent), "pairs")
     joined = components(links.union(confirm(pairs, sets, percent)))
-    final = groups.join(joined, F.col("rep") == F.col("node"), "left").select(
-        *same, F.coalesce("component", "rep").alias("component_id"))
-    return (profiles.join(final, same, "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-            .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    placed = stored(groups.join(joined, F.col("rep") == F.col("node"), "left").select(*same, "first", F.coalesce("component", "rep").alias("component")), "placed")
+    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
+    final = placed.join(heads, "component").select(*same, "head")
+    chosen = F.coalesce(F.col("head.key") == F.col("key"), F.lit(True))
+    component = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    rows = profiles.join(final, same, "left").select("doc_id", "n_shingles", component.alias("component_id"), chosen.alias("kept"), "key")
+    return rows.drop("key") if key is None else rows.withColumnRenamed("key", key)
+
+
+def kept_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of every component of documents (doc_id, text), with all its columns."""
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    gone = near_duplicates(rows.select("row.doc_id", "row.text", "key"), words, percent, "key").where("NOT kept").select("key")
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
-from returnlens.llm.near import bands_per_side, near_duplicates, remaining_pairs
+from returnlens.llm.near import bands_per_side, kept_rows, near_duplicates, remaining_pairs
 
 
 def shingles(text: str | None, words: int) -> set:
@@ -19,21 +20,36 @@ def shingles(text: str | None, words: int) -> set:
     return {tuple(tokens[i:i + words]) for i in range(len(tokens) - words + 1)}
 
 
-def brute_force(rows, words, percent):
-    sets = [(d, shingles(t, words)) for d, t in rows]
-    parent = {d: d for d, _ in sets}
+def brute_rows(rows, words, percent):
+    """(doc_id, shingles, component, kept) of every row, a document of its own whatever its id."""
+    sets = [shingles(t, words) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = find(a), find(b)
-                parent[max(p, q)] = min(p, q)
-    return {(d, len(s), find(d), find(d) == d) for d, s in sets}
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                parent[find(i)] = find(j)
+    members: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        members.setdefault(find(i), []).append(i)
+    out = []
+    for group in members.values():
+        ids = sorted(rows[i][0] for i in group if rows[i][0] is not None)
+        least, left = (ids[0] if ids else None), True
+        for i in sorted(group):
+            keep = left and rows[i][0] == least
+            left = left and not keep
+            out.append((rows[i][0], len(sets[i]), least, keep))
+    return out
+
+
+def brute_force(rows, words, percent):
+    return set(brute_rows(rows, words, percent))
 
 
 def corpus(seed: int, groups: int = 12, members: int = 12):
@@ -61,11 +77,25 @@ def test_same_as_all_pairs(spark, words, percent):
     assert got == brute_force(rows, words, percent)
 
 
-def test_empty_table_and_repeated_rows(spark):
+def some(rows):
+    return sorted(map(tuple, rows), key=lambda r: tuple((v is None, v) for v in r))
+
+
+def test_repeated_and_null_ids(spark):
+    pick = random.Random(5)
+    rows = [(pick.choice([None, None, d, d % 7]), t) for d, t in corpus(4, 6, 8)]
+    rows += [(7, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, "x"), (None, "x"), (None, "y y y y y y"), (None, None), (None, None), (3, None), (3, "")]
+    rows += [(None, " ".join(f"n{i}" for i in range(40)))] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS row", "'x' AS check")
+    assert some(near_duplicates(df, 5, 80).collect()) == some(brute_rows(rows, 5, 80))
+    kept = kept_rows(df)
+    want = Counter(r[2] for r in brute_rows(rows, 5, 80) if r[3])
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == want
+
+
+def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert near_duplicates(empty).collect() == []
-    twice = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "x")], "doc_id long, text string")
-    assert [tuple(r) for r in near_duplicates(twice).collect()] == [(7, 2, 7, True)] * 2
+    assert near_duplicates(empty).collect() == [] and kept_rows(empty).collect() == []
 
 
 def test_remaining_pairs_miss_no_link(spark):
