@@ -9,39 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnlens.llm.near import marked, place_of
-from returnlens.llm.shared import documents, stored
+from returnlens.llm.shared import documents, free_name, joined_spread, stored
 
 LINES_PER_CHUNK = 4
 LONG_LINE_WORDS = 50
+PASSAGE_WORDS = 20
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of every document from the line pairs and long lines that other documents share.
+    """Units of every document from the line pairs and long lines that other documents share.
 
-    Lines in a row whose neighbouring pairs are all shared are a run; within it a chunk ends where
-    the hash of the two lines at hand is divisible. A shared long line alone is a chunk, too.
+    A chunk ends where the hash of the two lines at hand is divisible, whatever stands around it.
+    Between two such ends the lines whose pairs are all shared are one unit, two lines at least; what
+    lies before a run's first end or behind its last, or has one line, gives its pairs, one by one.
     """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     for batch in batches:
         out = []
         for doc_id, check, items in zip(*(batch.column(i).to_pylist() for i in range(3))):
             pairs = {i["at"]: i["item"] for i in items if not i["alone"]}
-            covered = set()
+            out += [(doc_id, check, i["at"], 1, False) for i in items if i["alone"]]
             for at in sorted(pairs):
-                covered.update((at, at + 1))
                 if at - 1 in pairs:
                     continue
-                start = at
-                while at in pairs:
-                    if pairs[at] % LINES_PER_CHUNK == 0:
-                        out.append((doc_id, check, start, at + 1 - start))
-                        start = at + 1
-                    at += 1
-                out.append((doc_id, check, start, at + 1 - start))
-            out += [(doc_id, check, i["at"], 1) for i in items if i["alone"] and i["at"] not in covered]
-        columns = zip(*out) if out else ([], [], [], [])
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "check", "start", "size"])
+                stop = at
+                while stop in pairs:
+                    stop += 1
+                ends = [i for i in range(at, stop) if pairs[i] % LINES_PER_CHUNK == 0]
+                whole = [(a + 1, b + 1) for a, b in zip(ends, ends[1:]) if b - a > 1]
+                out += [(doc_id, check, a, b - a, True) for a, b in whole]
+                inside = {i for a, b in whole for i in range(a, b - 1)}
+                out += [(doc_id, check, i, 2, False) for i in range(at, stop) if i not in inside]
+        columns = zip(*out) if out else ([],) * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "check", "start", "size", "chunk"])
 
 
 def _holding(bits, held: bool = True):
@@ -55,13 +56,30 @@ def _holding(bits, held: bool = True):
     return run
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, check, start, size, words) of every chunk of a document (doc_id, text) that a document
-    of a smaller id holds byte for byte; ``check`` is the text's hash.
+def earlier_units(units: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """Those of the units (doc_id, check, start, size) that a document of a smaller id holds byte for byte.
 
-    Line pairs and long lines are counted by hash over all documents; only those that two documents
-    share go on, and with them the texts of their documents. What a chunk's bytes are grouped by is
-    the text itself. Both sides of every join grow with the documents, so none is broadcast.
+    Texts (doc_id, check, text) are cut once per document. A unit that a large part of the documents
+    holds spreads over many tasks.
+    """
+    key = ["doc_id", "check"]
+    grouped = units.groupBy(*key).agg(F.collect_set(F.struct("start", "size")).alias("units"))
+    cut = F.expr("""transform(array(split(text, '\\n', -1)), l -> transform(units, u -> struct(
+        u.start AS start, u.size AS size, array_join(slice(l, u.start + 1, u.size), '\\n') AS lines)))[0]""")
+    held = stored(grouped.hint("merge").join(wanted, key).select(*key, F.inline(cut)), f"{name}_held")
+    first = held.groupBy("lines", "size").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
+    first = stored(first.where("first < last").select(F.xxhash64("lines").alias("hash"), F.col("lines").alias("bytes"), F.col("size").alias("many"), "first", "rows"), f"{name}_first")
+    same = (F.col("bytes") == F.col("lines")) & (F.col("many") == F.col("size")) & (F.col("first") < F.col("doc_id"))
+    return joined_spread(held.withColumn("hash", F.xxhash64("lines")), first, "hash", "rows", ("doc_id", "start"), same).select(*key, "start", "size")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, check, start, size) of lines of a document (doc_id, text) that, two or more in a row or one
+    long one, a document of a smaller id holds byte for byte; ``check`` is the text's hash.
+
+    Line pairs and long lines are counted by hash over all documents; those that two documents share
+    go on. Chunks are compared first. The pairs of chunks that nobody holds whole, and the pairs
+    outside of chunks, are compared exactly, so no repeated pair is missed wherever it stands.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("check"))
     hashed = texts.select("doc_id", "check", F.expr("transform(split(text, '\\n', -1), l -> struct(xxhash64(l) AS h, regexp_count(l, r'[^ \\t\\n\\x0B\\f\\r]+') AS w))").alias("lines"))
@@ -71,54 +89,61 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     items = stored(items, "lines")
     shared = items.groupBy("item").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("item")
     found = items.join(shared.hint("merge"), "item").groupBy("doc_id", "check").agg(F.collect_set(F.struct("at", "item", "alone")).alias("items"))
-    chunks = stored(found.mapInArrow(_chunks, "doc_id long, check long, start int, size int"), "chunks")
-    bits = docs.sparkSession.sparkContext.broadcast(marked(chunks.select(place_of("doc_id").alias("place"))))
+    units = stored(found.mapInArrow(_chunks, "doc_id long, check long, start int, size int, chunk boolean"), "chunks")
+    bits = docs.sparkSession.sparkContext.broadcast(marked(units.select(place_of("doc_id").alias("place"))))
     wanted = texts.withColumn("place", place_of("doc_id")).mapInArrow(_holding(bits), "doc_id long, text string, check long, place long")
-    held = stored(chunks.hint("merge").join(wanted.dropDuplicates(["doc_id", "check"]), ["doc_id", "check"]).select(
-        "doc_id", "check", "start", "size", F.expr("array_join(slice(split(text, '\\n', -1), start + 1, size), '\\n')").alias("chunk")), "held")
-    first = held.groupBy("chunk").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return held.join(first.drop("last").hint("merge"), "chunk").where("first < doc_id").select(
-        "doc_id", "check", "start", "size", F.regexp_count("chunk", F.lit(WORD)).alias("words"))
-
-
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line ranges to take out of a document: repeated chunks in a row with two lines or a long one."""
+    wanted = stored(wanted.drop("place").dropDuplicates(["doc_id", "check"]), "texts")
+    unit = ["doc_id", "check", "start", "size"]
+    chunks = stored(earlier_units(units.where("chunk").select(*unit), wanted, "chunks"), "repeated")
+    # The pairs of all other chunks, those of first holders too: an earlier document may have them elsewhere.
+    rest = units.where("chunk").join(chunks.hint("merge"), unit, "left_anti")
+    inner = rest.select("doc_id", "check", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 2)).alias("start"), F.lit(2).alias("size"))
+    pairs = earlier_units(units.where("NOT chunk").select(*unit).union(inner), wanted, "pairs")
+    return chunks.union(pairs)
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line ranges of a document that its repeated units cover together."""
     for batch in batches:
         rows = []
-        for chunks in batch.column(2).to_pylist():
+        for units in batch.column(2).to_pylist():
             joined: list[list[int]] = []
-            for start, size, words in sorted((c["start"], c["size"], c["words"]) for c in chunks):
-                if joined and joined[-1][1] == start:
-                    joined[-1][1] += size
-                    joined[-1][2] += words
+            for start, size in sorted((u["start"], u["size"]) for u in units):
+                if joined and joined[-1][1] >= start:
+                    joined[-1][1] = max(joined[-1][1], start + size)
                 else:
-                    joined.append([start, start + size, words])
-            rows.append([{"start": a, "stop": b} for a, b, words in joined if b - a > 1 or words > LONG_LINE_WORDS])
+                    joined.append([start, start + size])
+            rows.append([{"start": a, "stop": b} for a, b in joined])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, kind)], ["_d", "_c", "_cuts"])
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
-    """All documents with their columns, ``text`` without repeated passages, and ``_removed``, the
-    number of lines taken out.
-
-    A passage is two lines or more in a row, or a line of over 50 words; it stays in the document of
-    the smallest id that has it. Shorter single lines stay everywhere, and so do repetitions within
-    one document. Only texts that may lose lines move; all others pass by them. Null ids and null
-    texts pass unchanged; rows that repeat an id never take from each other; an empty table gives no
-    rows.
+    """All documents with their columns, ``text`` without repeated passages, and the number of lines taken
+    out, in a last column ``_removed`` (with more underscores in front if the documents have that).
+
+    A passage is two lines or more in a row, together of at least ``PASSAGE_WORDS`` words, or a line of
+    over ``LONG_LINE_WORDS``; it stays in the document of the smallest id that has it. Shorter ones,
+    such as blank lines and closing brackets, stay everywhere, and so do repetitions within one
+    document. Only texts that may lose lines move; all others pass by them. Null ids and null texts
+    pass unchanged; rows that repeat an id never take from each other; an empty table gives no rows.
     """
-    chunks = repeated_chunks(docs).groupBy("doc_id", "check").agg(F.collect_set(F.struct("start", "size", "words")).alias("chunks"))
-    cuts = stored(chunks.mapInArrow(_cuts, "_d long, _c long, _cuts array<struct<start: int, stop: int>>").where("size(_cuts) > 0"), "cuts")
+    count = free_name(docs.columns, "_removed")
+    units = repeated_lines(docs.select("doc_id", "text")).groupBy("doc_id", "check").agg(F.collect_set(F.struct("start", "size")).alias("units"))
+    cuts = stored(units.mapInArrow(_ranges, "_d long, _c long, _cuts array<struct<start: int, stop: int>>"), "cuts")
     bits = docs.sparkSession.sparkContext.broadcast(marked(cuts.select(place_of("_d").alias("place"))))
-    placed = docs.withColumn("_place", place_of("doc_id"))
-    touched = placed.mapInArrow(_holding(bits), placed.schema).withColumn("_h", F.xxhash64("text"))
-    joined = touched.join(cuts.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("_h") == F.col("_c")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> NOT exists(_cuts, c -> i >= c.start AND i < c.stop)), '\\n')")
+    placed = docs.select(F.struct(*docs.columns).alias("_row"), place_of("doc_id").alias("_place"))
+    touched = placed.mapInArrow(_holding(bits), placed.schema).withColumn("_h", F.xxhash64("_row.text"))
+    joined = touched.join(cuts.hint("merge"), (F.col("_row.doc_id") == F.col("_d")) & (F.col("_h") == F.col("_c")), "left")
+    # One element, so that a text is split once and not for every cut.
+    split = joined.withColumn("_cuts", F.expr(f"""transform(array(split(_row.text, '\\n', -1)), l -> filter(_cuts, c ->
+        regexp_count(array_join(slice(l, c.start + 1, c.stop - c.start), '\\n'), r'{WORD}') >= IF(c.stop - c.start > 1, {PASSAGE_WORDS}, {LONG_LINE_WORDS + 1})))[0]"""))
+    kept = F.expr("array_join(filter(split(_row.text, '\\n', -1), (l, i) -> NOT exists(_cuts, c -> i >= c.start AND i < c.stop)), '\\n')")
     removed = F.expr("coalesce(aggregate(_cuts, 0, (n, c) -> n + c.stop - c.start), 0)")
-    cleaned = joined.withColumn("_removed", removed).withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept))
-    others = placed.mapInArrow(_holding(bits, False), placed.schema).withColumn("_removed", F.lit(0))
-    return cleaned.select(*docs.columns, "_removed").union(others.select(*docs.columns, "_removed"))
+    text = F.when(F.coalesce(F.size("_cuts"), F.lit(0)) > 0, kept).otherwise(F.col("_row.text"))
+    cleaned = split.select(F.col("_row").withField("text", text).alias("_row"), removed.alias("_n"))
+    others = placed.mapInArrow(_holding(bits, False), placed.schema).select("_row", F.lit(0).alias("_n"))
+    return cleaned.union(others).select("_row.*", F.col("_n").alias(count))
 
 
 def op7_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from returnlens.session import shared_dir
 
 BATCH_BYTES = 8 << 20
+HOT_SHARE = 1000
+HOT_PARTS = 64
 _shipped: set[str] = set()
 
 
@@ -49,6 +51,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """The name, with underscores in front until no column has it."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
+def joined_spread(rows: DataFrame, unique: DataFrame, key: str, count: str, spots: Sequence[str], same: Column) -> DataFrame:
+    """Rows joined to a stored table of few rows per ``key``, whose column ``count`` says how many rows it meets.
+
+    A key with more than a thousandth of all rows, of which there are fewer than a thousand, is spread
+    over several tasks, by the columns ``spots``; ``same`` is what must hold besides equal keys.
+    """
+    total = unique.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(unique.where(F.col(count) * HOT_SHARE > total).select(F.col(key).alias("_hot")).distinct())
+    spot = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*spots), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_spot", spot).drop("_hot")
+    right = unique.withColumnRenamed(key, "_key").join(hot, F.col("_key") == F.col("_hot"), "left").withColumn("_to", F.explode(every)).drop("_hot")
+    return left.join(right.hint("merge"), (F.col(key) == F.col("_key")) & (F.col("_spot") == F.col("_to")) & same)
+
+
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Rank of every row (from 1) within its group, for groups of any size.
 

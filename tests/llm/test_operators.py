@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from returnlens.llm import chat, fingerprints, language, lines, mixing, neighbours, packing, quality, recurrent, shared, words
+from tests.llm.test_pipeline import lines_left
 
 LONG = "uma palavra longa " * 3000
 TEXTS = [(1, "The cat sat on the mat.\nIt was warm."), (2, None), (3, ""), (4, " \n\t"), (5, LONG), (6, "x" * 5000), (7, "um"), (7, "um"),
@@ -231,6 +232,51 @@ def test_lines(spark, docs, empty):
     assert [t[2] for t in texts] == [rows[0][1], "own two", "own two", rows[2][1], "z", "short\nq", "short\nr", rows[6][1], None, "", passage]
 
 
+def test_clean_texts_keep_short_lines(spark):
+    """Blank lines, brackets and short answers repeat everywhere and say nothing."""
+    code = [f"def f{i}(x):\n    return x + {i}\n}}\n\n}}\n}}\n\n\n" for i in range(4)]
+    talk = [f"Question number {i}?\n\nYes.\n\nAnd then {i * i}?\n\nYes." for i in range(4)]
+    rows = list(enumerate(code + talk + ["a\n\n\n\nb", "c\n\n\n\nd"]))
+    got = lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == dict(rows) and not any(r["_removed"] for r in got)
+
+
+def test_passages_in_any_surroundings(spark):
+    """A passage between lines of its own is found whatever near copies share around its other places."""
+    pick = random.Random(40)
+    line = lambda n: " ".join(f"w{pick.randrange(9000)}" for _ in range(n))
+    rows, want, at = [], {}, 0
+    for _ in range(40):
+        before, after = [line(9) for _ in range(6)], [line(9) for _ in range(6)]
+        passage = [line(18) for _ in range(3)]
+        copy = [*before, *passage, *after]
+        rows += [(at, "\n".join(copy)), (at + 1, "\n".join([line(5), *copy[1:]])), (at + 2, "\n".join([line(5), line(6), *passage, line(5), line(7)]))]
+        want[at + 2] = "\n".join(s for s in rows[-1][1].split("\n") if s not in passage)
+        at += 3
+    got = {r.doc_id: r.text for r in lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[d] == t for d, t in want.items()) == 40
+    assert got == lines_left(dict(rows))
+
+
+def test_lines_like_brute_force(spark):
+    pick = random.Random(7)
+    stock = [" ".join(f"v{pick.randrange(50)}" for _ in range(pick.choice([0, 1, 3, 12, 55]))) for _ in range(60)]
+    rows = []
+    for i in range(150):
+        text = []
+        while len(text) < pick.randint(0, 40):
+            start = pick.randrange(60)
+            text += stock[start:start + pick.randint(1, 12)]
+        rows.append((i, "\n".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'7' AS _h", "77 AS _place", "1 AS _removed", "2 AS _cuts", "'r' AS _row", "3 AS start")
+    out = lines.remove_repeated_lines(df)
+    assert out.columns == [*df.columns, "__removed"]
+    got = out.collect()
+    want = lines_left(dict(rows))
+    assert {r.doc_id: r.text for r in got} == {d: want.get(d, "") for d, _ in rows}
+    assert {(r["_h"], r["_place"], r["_removed"], r["_cuts"], r["_row"], r["start"]) for r in got} == {("7", 77, 1, 2, "r", 3)}
+
+
 def test_mixing(spark, docs, empty):
     assert mixing.mix_documents(empty).collect() == []
     odd = mixing.mix_documents(docs).collect()
@@ -250,6 +296,24 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed_rows(df).count() == sum(r.copies for r in got)
 
 
+def test_mixed_rows_with_ids_that_repeat(spark):
+    """Copies follow the row, not its id."""
+    rows = [(None if i % 2 else i % 5, "w " * 10 + str(i % 3), "a" if i < 1000 else "b") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "77 AS _i", "5 AS _k", "'x' AS key", "9 AS copies", "1 AS row")
+    got = mixing.mixed_rows(df).collect()
+    copies = Counter(r.source for r in got)
+    assert copies["a"] == 2000 and abs(copies["b"] - 1000) <= 1  # weights 3 and 1; a stops at twice its size
+    assert mixing.mixed_rows(df).columns == df.columns and {(r["_i"], r["_k"], r["key"], r["copies"], r["row"]) for r in got} == {(77, 5, "x", 9, 1)}
+
+
+def test_frequent_words_of_equal_counts(spark):
+    counts = spark.range(5000).selectExpr("id AS h", "IF(id < 10, 9L, 3L) AS c")
+    got = [r.h for r in recurrent.most_frequent(counts, 2048).collect()]
+    assert sorted(got) == list(range(2048)) and recurrent.most_frequent(counts, 9000).count() == 5000
+    assert sorted(r.h for r in recurrent.most_frequent(counts, 10).collect()) == list(range(10))
+    assert recurrent.most_frequent(counts.where("false"), 5).count() == 0
+
+
 def test_recurrent(spark, docs, empty):
     assert recurrent.score_documents(empty).collect() == []
     rows = recurrent.score_documents(docs).collect()

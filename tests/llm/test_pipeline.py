@@ -49,7 +49,8 @@ def folder(spark, tmp_path_factory):
 
 
 def lines_left(rows: dict[int, str | None]) -> dict[int, str | None]:
-    """A line goes if it and a neighbour, or it alone with over 50 words, stand in an earlier text."""
+    """A line is repeated if it and a neighbour, or it alone with over 50 words, stand in an earlier text;
+    repeated lines in a row go if they are two with 20 words or more, or a long one."""
     pairs, longs, out = set(), set(), {}
     for doc_id in sorted(rows):
         if rows[doc_id] is None:
@@ -57,10 +58,19 @@ def lines_left(rows: dict[int, str | None]) -> dict[int, str | None]:
             continue
         lines = rows[doc_id].split("\n")
         own = list(zip(lines, lines[1:]))
-        gone = {i + k for i, p in enumerate(own) if p in pairs for k in (0, 1)}
-        gone |= {i for i, s in enumerate(lines) if s in longs}
+        known = {i for i, p in enumerate(own) if p in pairs}
+        alone = {i for i, s in enumerate(lines) if s in longs}
         pairs |= set(own)
         longs |= {s for s in lines if len(s.split()) > 50}
+        gone, at = set(), 0
+        while at < len(lines):
+            stop = at + 1 if at in alone or at in known else at
+            while stop < len(lines) and stop > at and (stop - 1 in known or stop in known or stop in alone):
+                stop += 1
+            size = sum(len(s.split()) for s in lines[at:stop])
+            if size > 50 or (stop - at > 1 and size >= 20):
+                gone |= set(range(at, stop))
+            at = max(stop, at + 1)
         left = "\n".join(s for i, s in enumerate(lines) if i not in gone)
         if not gone or left.strip():
             out[doc_id] = left
