@@ -23,7 +23,6 @@ SCORE_LANES = 1024
 MODEL_WORDS = 1024
 WORD_CLASSES = 16
 SHAPES = 51
-GRADIENT_EVERY = 4
 RATE = 0.01
 KNOWN_WORDS = 1 << 18
 TOKENS_AT_ONCE = 2_500_000
@@ -168,27 +167,22 @@ def windows(starts: np.ndarray, lengths: np.ndarray, lanes: int, width: int):
 
 
 def train_on(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds: np.ndarray, memory: dict) -> None:
-    """One pass of truncated backpropagation. State runs through every window of every text; one
-    window in ``GRADIENT_EVERY`` gives a gradient, a different one in each group."""
+    """One pass of truncated backpropagation: every window of every text gives a gradient, and state runs
+    on from window to window."""
     starts, lengths = bounds[:-1], np.diff(bounds)
-    turn = 0
     for fresh, group, begin, live in windows(starts, lengths, LANES, WINDOW):
         if fresh:
             h = np.zeros((len(group), HIDDEN), dtype=np.float32)
-            turn += 1
-        learn = (begin // WINDOW + turn) % GRADIENT_EVERY == 0
-        keep: list | None = [] if learn else None
+        keep: list = []
         states, targets = [], []
         for j, n in enumerate(live):
             place = starts[group[:n]] + begin + j
             before = inputs[place - 1] if begin + j else np.full(n, net.end_input, dtype=np.int32)
             new = net.step(before, h[:n], keep)
             h = new if n == len(h) else np.concatenate([new, h[n:]])
-            if learn:
-                states.append(new)
-                targets.append(place)
-        if learn:
-            _learn(net, keep, states, np.concatenate(targets), inputs, classes, memory)
+            states.append(new)
+            targets.append(place)
+        _learn(net, keep, states, np.concatenate(targets), inputs, classes, memory)
 
 
 def _learn(net, keep, states, targets, inputs, classes, memory) -> None:
@@ -310,16 +304,17 @@ SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Words above the count at which at most ``most`` remain, found in a histogram of bounded length."""
+    """The ``most`` words of the largest counts (ties: the smaller hash). A histogram of bounded length
+    finds the band of counts in which the limit lies; only that band is put in order."""
     step = F.floor(F.log2("c") * 8).cast("int")
     rows = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step)
-    total, lowest = 0, None
+    total = 0
     for r in rows:
+        if total + r.n > most:
+            band = counts.where(step == r.step).orderBy(F.col("c").desc(), "h").limit(most - total)
+            return counts.where(step > r.step).union(band)
         total += r.n
-        if total > most:
-            break
-        lowest = r.step
-    return counts.where(F.lit(False) if lowest is None else step >= lowest)
+    return counts
 
 
 def train(training: DataFrame, counts: DataFrame) -> tuple[Network, int, int]:
@@ -332,7 +327,7 @@ def train(training: DataFrame, counts: DataFrame) -> tuple[Network, int, int]:
                                         F.sum(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))).alias("ends")).collect()
     total, distinct = sum(r.c for r in whole), sum(r.v for r in whole)
     ends = sum(r.ends or 0 for r in whole)
-    words = (most_frequent(counts, MODEL_WORDS * 2).where(F.col("h") != int(END.view(np.int64)))
+    words = (most_frequent(counts, MODEL_WORDS + 1).where(F.col("h") != int(END.view(np.int64)))
              .orderBy(F.col("c").desc(), "h").limit(MODEL_WORDS).toPandas())
     rest, kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in whole:
