@@ -20,6 +20,7 @@ FACTOR = 10
 DROP_EVERY = 31
 BLOCK_CODE_POINTS = 1 << 15
 TILE_ROWS = 256
+PAIRS_PER_TASK = 20_000_000
 FOUND = "word string, near long, n long, form string"
 
 
@@ -156,6 +157,9 @@ def near_words(words: DataFrame) -> DataFrame:
     crossed = left.select(*key, F.col("rows").alias("one")).join(right.select(*key, F.col("rows").alias("other")), key)
     tiles = blocks.select("size", "front", F.col("rows").alias("one"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("other")).union(
         crossed.select("size", "front", "one", "other"))
+    # The work is in the pairs, not in the bytes: as many tasks as the pairs need, tiles dealt out evenly.
+    pairs = blocks.groupBy("size", "front", "bucket").agg(F.sum(F.size("rows")).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0.0
+    tiles = tiles.repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS_PER_TASK)))
     return tiles.mapInArrow(_tiles, FOUND).groupBy("word").agg(
         F.sum("near").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "form")).alias("lead"))
 
