@@ -8,11 +8,13 @@ size. From three flat tables they are equi-joins on ``log_id`` and ``rejeicao_id
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.operators.filters import LogFilter
+from returnlens.operators.ranking import count_if
 from returnlens.operators.silver import (
     DIM_COLUMNS,
     ENTITY_COLUMNS,
@@ -22,6 +24,8 @@ from returnlens.operators.silver import (
 
 # The log's own result is renamed where both results stand in one row.
 LOG_RESULT = "resultado_log"
+# A rejection column and a test on it.
+RejectionTest = tuple[str, Callable[[Column], Column]]
 # Partition column of tables laid out by event day.
 DAY = "dia"
 LOG_COLUMNS = DIM_COLUMNS[:-1]
@@ -53,6 +57,11 @@ class LogModel(ABC):
     def logs(self) -> DataFrame:
         """One row per log."""
 
+    @abstractmethod
+    def log_counts(self, **tests: RejectionTest) -> DataFrame:
+        """One row per log with its number of rejections, ``n_rejeicoes``, and by name how many of
+        them pass a test. Log and rejection figures then come from one pass over the logs."""
+
     @abstractmethod
     def rejections(self, *columns: str) -> DataFrame:
         """Log INNER JOIN rejection, with the given rejection columns or all."""
@@ -89,6 +98,15 @@ class NestedLogModel(LogModel):
     def logs(self) -> DataFrame:
         return dim_log(self.silver)
 
+    def log_counts(self, **tests: RejectionTest) -> DataFrame:
+        def size(array: Column) -> Column:
+            return F.coalesce(F.array_size(array), F.lit(0)).cast("long")
+
+        # The severity takes the least room of a rejection's fields.
+        return self.silver.select(
+            *DIM_COLUMNS, size(F.col("rejeicoes.severidade")).alias("n_rejeicoes"),
+            *(size(F.filter(F.col(f"rejeicoes.{column}"), test)).alias(name) for name, (column, test) in tests.items()))
+
     def _zipped(self, columns: tuple[str, ...], outer: bool) -> DataFrame:
         zipped = F.arrays_zip(*(F.col(f"rejeicoes.{c}") for c in columns))
         rows = self.silver.select(*_log_columns(), (F.inline_outer if outer else F.inline)(zipped))
@@ -132,6 +150,12 @@ class FlatLogModel(LogModel):
     def logs(self) -> DataFrame:
         return self.dim.select(*DIM_COLUMNS)
 
+    def log_counts(self, **tests: RejectionTest) -> DataFrame:
+        counts = self.fact.groupBy("log_id").agg(
+            F.count(F.lit(1)).alias("n_rejeicoes"), *(count_if(test(F.col(column))).alias(name) for name, (column, test) in tests.items()))
+        joined = self.dim.select(*DIM_COLUMNS).join(counts, "log_id", "left")
+        return joined.select(*DIM_COLUMNS, *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n_rejeicoes", *tests)))
+
     def rejections(self, *columns: str) -> DataFrame:
         return self._joined("inner").select(*LOG_COLUMNS, LOG_RESULT, *(columns or REJECTION_ONLY))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from returnlens.functions import rules
 
+SEVERITY_COUNTS = ("criticos", "altos", "medios", "baixos")
+
 
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
@@ -37,28 +38,27 @@ def top(grouped: DataFrame, n: int, amount: str, *ties: str) -> DataFrame:
     return grouped.orderBy(F.desc(amount), *tie_break(*ties)).limit(n)
 
 
-def leading_value(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Most frequent value per key, ties to the smallest; one row per key.
-
-    Counts come first, so the window sees one row per distinct pair, and its limit is applied
-    before the shuffle.
-    """
-    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), *tie_break(value))
-    ranked = counts.withColumn("rn", F.row_number().over(order)).where("rn = 1")
-    return ranked.select(key, F.col(value).alias(name))
+def leading(value: str, n: str, among: Column) -> Column:
+    """Aggregate: of pre-counted rows that ``among`` picks, the value with the highest count, ties
+    to the smallest. It needs no window, so several levels of one table can be ranked in one pass."""
+    order = F.struct((-F.col(n)).alias("n"), F.col(value).isNull().alias("nulo"), F.col(value).alias("valor"))
+    return F.min(F.when(among, order))["valor"]
 
 
 def severity_counts(only_errors: bool = True) -> list[Column]:
     """Rejections per severity as ``criticos``, ``altos``, ``medios``, ``baixos``."""
     error = F.col("status_geral") == "ERRO" if only_errors else F.lit(True)
-    names = ("criticos", "altos", "medios", "baixos")
-    return [count_if((F.col("severidade") == s) & error).alias(n) for s, n in zip(rules.SEVERITY_PENALTY, names)]
+    return [count_if((F.col("severidade") == s) & error).alias(n) for s, n in zip(rules.SEVERITY_PENALTY, SEVERITY_COUNTS)]
+
+
+def severity_tests() -> dict[str, tuple]:
+    """The same counts as tests on a rejection column, for ``LogModel.log_counts``."""
+    return {n: ("severidade", F.lit(s).__eq__) for s, n in zip(rules.SEVERITY_PENALTY, SEVERITY_COUNTS)}
 
 
 def operational_score(total: Column) -> Column:
     """100 minus the weighted severity counts per request, not below zero."""
-    weights = zip(("criticos", "altos", "medios", "baixos"), rules.SEVERITY_PENALTY.values())
+    weights = zip(SEVERITY_COUNTS, rules.SEVERITY_PENALTY.values())
     penalty = sum((F.col(n) * F.lit(w) for n, w in weights), F.lit(0.0))
     return F.when(total > 0, F.greatest(F.lit(0.0), F.lit(100.0) - penalty / total * 100.0)).otherwise(100.0)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.operators.filters import entity_predicate
 from returnlens.operators.model import LogModel
-from returnlens.operators.ranking import leading_value, page, tie_break, top
+from returnlens.operators.ranking import count_if, leading, page, tie_break, top
 from returnlens.plans.overview import temporal_variability
 
 PAGE_SIZE = 10
@@ -22,16 +22,20 @@ def critical_entities(model: LogModel, kind: str, value: str = "") -> DataFrame:
     functionality."""
     rows = _business_entities(model, "tipo_rejeicao_semantica").where(entity_predicate(kind, value))
     rows = rows.withColumnRenamed("entidade_valor", "entidade")
-    base = rows.groupBy("entidade").agg(
-        F.countDistinct("protocolo").alias("quantidade_rejeicoes"),
-        F.countDistinct("contratante").alias("quantidade_clientes"),
-    )
-    rejection = leading_value(rows, "entidade", "tipo_rejeicao_semantica", "principal_rejeicao")
-    function = leading_value(rows, "entidade", "funcionalidade", "principal_funcionalidade")
-    return (
-        base.join(rejection, "entidade", "left").join(function, "entidade", "left")
-        .orderBy(F.desc("quantidade_rejeicoes"), *tie_break("entidade"))
-    )
+    # One pass: a set per figure, then the sets of an entity meet in few rows.
+    figures = ("protocolo", "contratante", "tipo_rejeicao_semantica", "funcionalidade")
+    sets = rows.groupingSets([["entidade", c] for c in figures], "entidade", *figures).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(*(F.when(F.grouping(c) == 0, c) for c in figures)).alias("nivel"))
+
+    def among(column: str) -> Column:
+        return F.col("nivel") == column
+
+    return sets.groupBy("entidade").agg(
+        count_if(among("protocolo") & F.col("protocolo").isNotNull()).alias("quantidade_rejeicoes"),
+        count_if(among("contratante") & F.col("contratante").isNotNull()).alias("quantidade_clientes"),
+        leading("tipo_rejeicao_semantica", "n", among("tipo_rejeicao_semantica")).alias("principal_rejeicao"),
+        leading("funcionalidade", "n", among("funcionalidade")).alias("principal_funcionalidade"),
+    ).orderBy(F.desc("quantidade_rejeicoes"), *tie_break("entidade"))
 
 
 def critical_entities_page(model: LogModel, kind: str, value: str = "", number: int = 1, size: int = PAGE_SIZE) -> DataFrame:

@@ -111,18 +111,22 @@ def export_rows(model: LogModel) -> DataFrame:
 
 def filter_domain(model: LogModel) -> DataFrame:
     """Values to choose from, as (campo, valor): date range, clients, functionalities, causes,
-    types and codes."""
-    logs, rejections = model.logs(), model.rejections("causa_raiz", "tipo_rejeicao_semantica", "codigo_antt")
-
-    def values(df: DataFrame, column: str) -> DataFrame:
-        chosen = df.where(F.col(column).isNotNull() & (F.col(column) != "" if column == "codigo_antt" else F.lit(True)))
-        return chosen.select(F.lit(column).alias("campo"), F.col(column).alias("valor")).distinct()
-
-    day = F.date_format("d", "yyyy-MM-dd")
-    bounds = logs.agg(F.min("data_evento").alias("a"), F.max("data_evento").alias("b")).selectExpr(
-        "stack(2, 'data_min', a, 'data_max', b) AS (campo, d)").select("campo", day.alias("valor"))
-    domain = bounds
-    for df, column in ((logs, "contratante"), (logs, "funcionalidade"), (rejections, "causa_raiz"),
-                       (rejections, "tipo_rejeicao_semantica"), (rejections, "codigo_antt")):
-        domain = domain.unionByName(values(df, column))
-    return domain.orderBy("campo", "valor")
+    types and codes. One pass over the logs and one over the rejections; no logs, no rows."""
+
+    def named(*columns: str) -> list[Column]:
+        return [F.coalesce(*(F.when(F.grouping(c) == 0, c) for c in columns)).alias("campo"),
+                F.coalesce(*(F.when(F.grouping(c) == 0, F.col(c)) for c in columns)).alias("valor")]
+
+    def pair(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("campo"), value.alias("valor"))
+
+    logs, names = model.logs(), ("contratante", "funcionalidade")
+    sets = logs.groupingSets([["contratante"], ["funcionalidade"], []], *names).agg(
+        *named(*names), F.min("data_evento").alias("a"), F.max("data_evento").alias("b"))
+    bounds = F.array(*(pair(n, F.date_format(c, "yyyy-MM-dd")) for n, c in (("data_min", "a"), ("data_max", "b"))))
+    values = F.filter(F.array(F.struct("campo", "valor")), lambda p: p["valor"].isNotNull())
+    of_logs = sets.select(F.inline(F.when(F.col("campo").isNull(), bounds).otherwise(values)))
+    names = ("causa_raiz", "tipo_rejeicao_semantica", "codigo_antt")
+    of_rejections = model.rejections(*names).groupingSets([[n] for n in names], *names).agg(*named(*names)).select("campo", "valor").where(
+        "valor IS NOT NULL AND (campo <> 'codigo_antt' OR valor <> '')")
+    return of_logs.unionByName(of_rejections).orderBy("campo", "valor")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from returnlens.functions import rules
 from returnlens.operators.model import LogModel
 from returnlens.operators.ranking import tie_break, top
-from returnlens.plans.overview import temporal_variability
+from returnlens.plans.overview import hourly_spans, variability_of
 
 DEVIATIONS = 2
 MIN_HOURS = 3
@@ -69,9 +69,9 @@ def hourly_errors(model: LogModel) -> DataFrame:
 def traffic_anomalies(model: LogModel) -> DataFrame:
     """Hours with rejections over mean plus two sample deviations, from three hours on; empty
     when the logs hardly vary in time."""
-    hours = hourly_errors(model)
-    varies = temporal_variability(model).select("variavel").scalar()
-    threshold = hours.agg(
-        F.when(F.count(F.lit(1)) >= MIN_HOURS, F.avg("total_erros") + DEVIATIONS * F.stddev_samp("total_erros"))
-    ).scalar()
-    return hours.where((F.col("total_erros") > threshold) & varies).orderBy("hora")
+    hours = hourly_spans(model.log_counts(), F.sum("n_rejeicoes").alias("total_erros"))
+    errors = F.when(F.col("total_erros") > 0, F.col("total_erros"))
+    limit = F.when(F.count(errors) >= MIN_HOURS, F.avg(errors) + DEVIATIONS * F.stddev_samp(errors))
+    # NULL where the logs hardly vary: no hour is over it.
+    threshold = variability_of(hours, limit.alias("limite")).select(F.when(F.col("variavel"), F.col("limite"))).scalar()
+    return hours.where(F.col("total_erros") > threshold).select("hora", "total_erros").orderBy("hora")
