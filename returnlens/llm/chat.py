@@ -13,9 +13,14 @@ END = "<|end|>\n"
 BLOCK = 1024
 
 
+def named(role: Column) -> Column:
+    """A role that neither ends its marker nor opens one."""
+    return F.replace(plain(role), F.lit("|>"), F.lit("| >"))
+
+
 def header(role: Column, perspective: Column) -> Column:
     """Opening marker of a turn: the system's, the assistant's for the own speaker, else a named user's."""
-    name = F.when(role == SYSTEM, SYSTEM).when(role == perspective, "assistant").otherwise(F.concat(F.lit("user name="), role))
+    name = F.when(role == SYSTEM, SYSTEM).when(role == perspective, "assistant").otherwise(F.concat(F.lit("user name="), named(role)))
     return F.concat(F.lit("<|"), name, F.lit("|>\n"))
 
 
@@ -35,7 +40,9 @@ def rotate(conversations: DataFrame) -> DataFrame:
     are sums within blocks of a conversation's turns and of its earlier blocks, so that one
     conversation may hold any share of all rows.
 
-    A null role is the speaker ``unknown``, a null text is empty, null turns come last, a null
+    Markers cannot be forged: in texts and names ``<|`` becomes ``< |``, in names ``|>`` becomes
+    ``| >`` as well (the columns keep the role as it is; different roles may be shown by one name).
+    A null role is the speaker ``unknown``, together with anyone of that very name, a null text is empty, null turns come last, a null
     conversation is one of its own; equal turns stand in order of role and text; rows that repeat
     are turns of their own; a conversation of system turns alone gives no rows, as does an empty
     table; other columns play no part.
@@ -82,7 +89,7 @@ WITH turns AS (
   FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
 opened AS (
-  SELECT t.*, perspective, '<|' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || '|>' || chr(10) AS opening
+  SELECT t.*, perspective, '<|' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || replace(replace(role, '<|', '< |'), '|>', '| >') END || '|>' || chr(10) AS opening
   FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 rendered AS (SELECT *, opening || text || '<|end|>' || chr(10) AS segment FROM opened),
 placed AS (

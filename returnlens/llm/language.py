@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from returnlens.llm.shared import documents, stored
 from returnlens.llm.words import BASE, IS_SPACE, LOWER, MIX_B, TABLE, HashIndex, blocks, mix, powers, run_hashes, runs, text_bytes
 
-LONGEST_PIECE = 16
-LONGEST_WORD = 31
+SHORT_WORD = 31  # bytes; longer words take the same sums in logarithms
+TILT = 2.0 ** 10  # per byte, keeps products over a short word in range
 ROUNDS = 3
 SMOOTHING = 0.1
-MOST_LANGUAGES = 256
+LANGUAGES_AT_ONCE = 32
 WORDS_AT_ONCE = 16_384
+CELLS_AT_ONCE = 1 << 16
 UNKNOWN = "und"
 BLOCK_BYTES = 8 << 20  # the larger a block, the more of its words repeat
 
@@ -30,7 +31,7 @@ def read_pieces(path: str | None) -> list[bytes]:
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         tokens = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
     upper, spaces = frozenset(range(65, 91)), frozenset((9, 10, 11, 12, 13, 32))
-    return [t for t in tokens if len(t) <= LONGEST_PIECE and not upper & set(t) and not spaces & set(t[1:])]
+    return [t for t in tokens if not upper & set(t) and not spaces & set(t[1:])]
 
 
 class Vocabulary:
@@ -44,10 +45,18 @@ class Vocabulary:
         lengths = np.diff(np.concatenate([[0], ends]))
         sums = np.array([(TABLE[data[e - n:e]] * powers(n)).sum(dtype=np.uint64) for e, n in zip(ends, lengths)])
         self.find = HashIndex(self.key(sums, lengths)).find
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        down = np.full(LONGEST_WORD + 2, inverse, dtype=np.uint64)
-        down[0] = 1
-        self.down = np.multiply.accumulate(down)
+        self.lengths = np.unique(lengths).tolist()
+        # A piece longer than a short word and its space has no place in one.
+        self.tilt = np.where(lengths > SHORT_WORD + 1, 0.0, TILT ** np.minimum(lengths, SHORT_WORD + 1))
+        self._down = np.ones(1, dtype=np.uint64)
+
+    def down(self, n: int) -> np.ndarray:
+        """Inverses of the first n powers."""
+        if len(self._down) < n:
+            grown = np.full(max(n, 2 * len(self._down)), pow(int(BASE), -1, 1 << 64), dtype=np.uint64)
+            grown[0] = 1
+            self._down = np.multiply.accumulate(grown)
+        return self._down[:n]
 
     @staticmethod
     def key(sums: np.ndarray, lengths) -> np.ndarray:
@@ -63,22 +72,8 @@ def vocabulary(path: str | None) -> Vocabulary:
     return _vocabularies[path]
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word; a longer run of letters counts as several words in a row."""
-    starts, ends = runs(data, offsets, IS_SPACE)
-    times = -(-(ends - starts) // LONGEST_WORD)
-    if len(times) and times.max() > 1:
-        first = np.cumsum(times) - times
-        step = np.arange(int(times.sum())) - np.repeat(first, times)
-        last = np.repeat(ends, times)
-        starts = np.repeat(starts, times) + step * LONGEST_WORD
-        ends = np.minimum(starts + LONGEST_WORD, last)
-    return starts, ends
-
-
-def arcs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: Vocabulary):
-    """Arcs of the segmentation lattices of words in descending length, each behind one space:
-    for every end position t, a list of (from, rows, pieces)."""
+def prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash sums of all prefixes of words in descending length, each behind one space, and the lengths."""
     lengths = ends - starts + 1
     widest = int(lengths[0])
     letters = np.full((len(starts), widest), 32, dtype=np.uint8)
@@ -86,14 +81,23 @@ def arcs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: Vocabula
     letters[:, 1:] = data[np.minimum(inside, len(data) - 1)]
     prefix = np.zeros((len(starts), widest + 1), dtype=np.uint64)
     prefix[:, 1:] = np.cumsum(TABLE[letters] * powers(widest), axis=1, dtype=np.uint64)
+    return prefix, lengths
+
+
+def arcs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: Vocabulary):
+    """Arcs of the segmentation lattices of short words in descending length, each behind one space:
+    for every end position t, a list of (from, rows, pieces)."""
+    prefix, lengths = prefixes(data, starts, ends)
+    down = words.down(prefix.shape[1])
     lattice = []
-    for t in range(1, widest + 1):
+    for t in range(1, prefix.shape[1]):
         live = int(np.searchsorted(-lengths, -t, side="right"))
         steps = []
-        for s in range(max(0, t - LONGEST_PIECE), t):
-            found = words.find(words.key((prefix[:live, t] - prefix[:live, s]) * words.down[s], t - s))
-            rows = np.flatnonzero(found >= 0)
-            steps.append((s, rows, found[rows]))
+        for n in words.lengths:
+            if n <= t:
+                found = words.find(words.key((prefix[:live, t] - prefix[:live, t - n]) * down[t - n], n))
+                rows = np.flatnonzero(found >= 0)
+                steps.append((t - n, rows, found[rows]))
         lattice.append(steps)
     return lattice, lengths
 
@@ -110,18 +114,121 @@ def forward(lattice, lengths: np.ndarray, chance) -> np.ndarray:
     return alpha
 
 
+def log_sum(terms: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the first axis; no term at all gives minus infinity."""
+    top = terms.max(axis=0)
+    safe = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(terms - safe).sum(axis=0)) + safe
+
+
+class LongWords:
+    """Words of any length, in descending length, each behind one space. Pieces are looked up block by
+    block, so memory follows the number of positions times a small constant."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: Vocabulary):
+        self.prefix, self.lengths = prefixes(data, starts, ends)
+        self.words, self.width = words, self.prefix.shape[1] - 1
+        self.reach = max(words.lengths)
+        self.step = max(1, CELLS_AT_ONCE // len(starts))
+
+    def pieces(self, first: int, last: int) -> np.ndarray:
+        """Numbers of the pieces that start at positions first to last - 1, as (position, length,
+        word); -1 where there is none."""
+        down = self.words.down(self.width + 1)
+        out = np.full((last - first, len(self.words.lengths), len(self.lengths)), -1, dtype=np.int64)
+        for k, n in enumerate(self.words.lengths):
+            end = min(last, self.width - n + 1)
+            if end > first:
+                sums = (self.prefix[:, first + n:end + n] - self.prefix[:, first:end]) * down[first:end]
+                found = self.words.find(self.words.key(sums.ravel(), n)).reshape(sums.shape)
+                inside = np.arange(first + n, end + n) <= self.lengths[:, None]
+                out[:end - first, k] = np.where(inside, found, -1).T
+        return out
+
+    def forward(self, logs: np.ndarray, own: np.ndarray | None = None, keep: bool = False):
+        """Log-probability of every whole word in the languages of the columns of ``logs`` (its last
+        row is minus infinity), or in each word's own; with ``keep`` those of all prefixes too."""
+        shape = (len(self.lengths),) if own is not None else (len(self.lengths), logs.shape[1])
+        size, reach = self.reach + 1, np.array(self.words.lengths)
+        ring = np.full((size, *shape), -np.inf)
+        ring[0] = 0.0
+        total = np.empty(shape)
+        every = np.full((self.width + 1, *shape), -np.inf) if keep else None
+        for first in range(0, self.width + 1, self.step):
+            last = min(self.width, first + self.step)
+            found = self.pieces(first, last) if last > first else ()
+            for s in range(first, min(self.width, first + self.step - 1) + 1):
+                here = ring[s % size].copy()
+                done = self.lengths == s
+                total[done] = here[done]
+                if keep:
+                    every[s] = here
+                ring[s % size] = -np.inf
+                if s < self.width:
+                    piece = found[s - first]
+                    some = np.flatnonzero((piece >= 0).any(axis=1))
+                    step = logs[piece[some], own] if own is not None else logs[piece[some]]
+                    to = (s + reach[some]) % size
+                    ring[to] = np.logaddexp(ring[to], here + step)
+        return (total, every) if keep else total
+
+    def expected(self, logs: np.ndarray, own: np.ndarray, weights: np.ndarray):
+        """Blocks of (pieces, words, expected uses) under each word's own language."""
+        total, alpha = self.forward(logs, own, keep=True)
+        size, reach = self.reach + 1, np.array(self.words.lengths)
+        ring = np.full((size, len(self.lengths)), -np.inf)
+        for last in range(self.width, -1, -self.step):
+            first = max(0, last - self.step + 1)
+            found = self.pieces(first, min(last + 1, self.width))
+            for s in range(last, first - 1, -1):
+                if s == self.width:
+                    ring[s % size] = np.where(self.lengths == s, 0.0, -np.inf)
+                    continue
+                piece = found[s - first]
+                some = np.flatnonzero((piece >= 0).any(axis=1))
+                onward = logs[piece[some], own] + ring[(s + reach[some]) % size]
+                if len(some):
+                    amounts = np.exp(alpha[s] + onward - total) * weights
+                    k, row = np.nonzero(amounts)
+                    yield piece[some][k, row], row, amounts[k, row]
+                rest = log_sum(onward) if len(some) else np.full(len(self.lengths), -np.inf)
+                ring[s % size] = np.where(self.lengths == s, 0.0, rest)
+
+
+def batches_of(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """Words in descending length, in groups of bounded memory, and whether they are long ones."""
+    order = np.argsort(-lengths, kind="stable")
+    long = int(np.searchsorted(-lengths[order], -SHORT_WORD, side="left"))
+    at = 0
+    while at < long:
+        to = min(long, at + max(1, CELLS_AT_ONCE // int(lengths[order[at]])))
+        yield order[at:to], True
+        at = to
+    for at in range(long, len(order), WORDS_AT_ONCE):
+        yield order[at:at + WORDS_AT_ONCE], False
+
+
+def logarithms(chances: np.ndarray) -> np.ndarray:
+    """Logarithms with a last row for no piece."""
+    return np.vstack([np.log(chances), np.full((1, chances.shape[1]), -np.inf)])
+
+
 def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chances: np.ndarray, words: Vocabulary) -> np.ndarray:
-    """Log-probability of every word in every language."""
+    """Log-probability of every word in every language, summed over all its segmentations."""
     out = np.empty((len(starts), chances.shape[1]))
-    order = np.argsort(starts - ends, kind="stable")
-    for at in range(0, len(order), WORDS_AT_ONCE):
-        rows = order[at:at + WORDS_AT_ONCE]
+    tilted, logs = chances * words.tilt[:, None], None
+    for rows, long in batches_of(ends - starts):
+        if long:
+            logs = logarithms(chances) if logs is None else logs
+            out[rows] = LongWords(data, starts[rows], ends[rows], words).forward(logs)
+            continue
         lattice, lengths = arcs(data, starts[rows], ends[rows], words)
-        alpha = forward(lattice, lengths, lambda _, pieces: chances[pieces])
+        alpha = forward(lattice, lengths, lambda _, pieces: tilted[pieces])
         total = np.empty((len(rows), chances.shape[1]))
         for t in range(1, len(alpha)):
             total[lengths == t] = alpha[t][lengths == t]
-        out[rows] = np.log(np.maximum(total, 1e-300))
+        out[rows] = np.log(total) - lengths[:, None] * np.log(TILT)
     return out
 
 
@@ -130,7 +237,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches, "text", BLOCK_BYTES):
         langs = batch.column(0).cast(pa.string()).dictionary_encode()
         data, offsets = text_bytes(batch.column(1))
-        starts, ends = segments(data, offsets)
+        starts, ends = runs(data, offsets, IS_SPACE)
         if not len(starts):
             continue
         counts = np.diff(np.searchsorted(starts, offsets))
@@ -148,7 +255,8 @@ def _expected(chances, languages: list[str], path: str | None):
     """Expected piece counts of a partition's words under the given probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = vocabulary(path), chances.value
+        words, logs = vocabulary(path), logarithms(chances.value)
+        known = chances.value * words.tilt[:, None]
         place = {lang: i for i, lang in enumerate(languages)}
         total = np.zeros((words.size, len(languages)))
         for batch in batches:
@@ -156,9 +264,11 @@ def _expected(chances, languages: list[str], path: str | None):
             data, offsets = text_bytes(batch.column(1).cast(pa.large_binary()).view(pa.large_string()))
             weights = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
             starts, ends = offsets[:-1], offsets[1:]
-            order = np.argsort(starts - ends, kind="stable")
-            for at in range(0, len(order), WORDS_AT_ONCE):
-                rows = order[at:at + WORDS_AT_ONCE]
+            for rows, long in batches_of(ends - starts):
+                if long:
+                    for pieces, row, amounts in LongWords(data, starts[rows], ends[rows], words).expected(logs, lang[rows], weights[rows]):
+                        np.add.at(total, (pieces, lang[rows][row]), amounts)
+                    continue
                 lattice, lengths = arcs(data, starts[rows], ends[rows], words)
                 own = lang[rows]
                 chance = lambda r, p, own=own: known[p, own[r]]
@@ -167,7 +277,7 @@ def _expected(chances, languages: list[str], path: str | None):
                 found, amounts = [], []
                 for t in range(len(lattice), 0, -1):
                     ending = np.flatnonzero(lengths == t)
-                    beta[t][ending] = weights[rows][ending] / np.maximum(alpha[t][ending], 1e-300)
+                    beta[t][ending] = weights[rows][ending] / alpha[t][ending]
                     for s, r, pieces in lattice[t - 1]:
                         flow = chance(r, pieces) * beta[t][r]
                         beta[s][r] += flow
@@ -181,45 +291,55 @@ def _expected(chances, languages: list[str], path: str | None):
     return run
 
 
-def train(labelled: DataFrame, pieces_path: str | None = None, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities, from all rows (lang, text) with both.
+def train(labelled: DataFrame, pieces_path: str | None = None, rounds: int = ROUNDS) -> list[tuple[list[str], np.ndarray]]:
+    """Languages and their piece probabilities, from all rows (lang, text) with both, in groups of
+    LANGUAGES_AT_ONCE languages in code point order.
 
     Expectation maximisation over the distinct words of each language, counted once. What returns
-    to the driver is a number per piece and language.
+    to the driver is a number per piece and language, a group at a time; the model holds as many.
     """
     spark = labelled.sparkSession
     counted = stored(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
                      .mapInArrow(_word_counts, "lang string, word binary, n long")
                      .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    languages = [r.lang for r in counted.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    size = vocabulary(pieces_path).size
-    chances = np.full((size, max(1, len(languages))), 1.0 / size)
-    for _ in range(rounds if languages else 0):
-        shared = spark.sparkContext.broadcast(chances)
-        sums = (counted.mapInArrow(_expected(shared, languages, pieces_path), "piece int, lang int, n double")
-                .groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas())
-        total = np.zeros_like(chances)
-        total[sums["piece"], sums["lang"]] = sums["n"]
-        chances = (total + SMOOTHING) / (total.sum(axis=0) + SMOOTHING * size)
-    return languages, chances
-
-
-def _predict(languages: list[str], chances, path: str | None):
+    names = [r.lang for r in counted.select("lang").distinct().orderBy("lang").collect()]
+    size, groups = vocabulary(pieces_path).size, []
+    for at in range(0, len(names), LANGUAGES_AT_ONCE):
+        languages = names[at:at + LANGUAGES_AT_ONCE]
+        own = counted if len(names) == len(languages) else counted.where(F.col("lang").isin(*languages))
+        chances = np.full((size, len(languages)), 1.0 / size)
+        for _ in range(rounds):
+            shared = spark.sparkContext.broadcast(chances)
+            sums = (own.mapInArrow(_expected(shared, languages, pieces_path), "piece int, lang int, n double")
+                    .groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas())
+            total = np.zeros_like(chances)
+            total[sums["piece"], sums["lang"]] = sums["n"]
+            chances = (total + SMOOTHING) / (total.sum(axis=0) + SMOOTHING * size)
+        groups.append((languages, chances))
+    return groups
+
+
+def _predict(groups: list, path: str | None):
+    """``groups`` holds names and broadcast probabilities; a text's scores are kept for all languages,
+    those of its words for one group at a time."""
+    languages = [name for names, _ in groups for name in names]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in blocks(batches, "text", BLOCK_BYTES):
             data, offsets = text_bytes(batch.column(1))
             data = LOWER[data]
-            starts, ends = segments(data, offsets)
+            starts, ends = runs(data, offsets, IS_SPACE)
             total = np.zeros((batch.num_rows, max(1, len(languages))))
-            if len(starts) and languages:
+            if len(starts):
                 _, first, which = np.unique(run_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
-                scores = word_scores(data, starts[first], ends[first], chances.value, words)
                 bounds = np.searchsorted(starts, offsets)
                 some = np.flatnonzero(np.diff(bounds))
-                total[some] = np.add.reduceat(scores[which], bounds[:-1][some], axis=0)
+                at = 0
+                for names, chances in groups:
+                    scores = word_scores(data, starts[first], ends[first], chances.value, words)
+                    total[some, at:at + len(names)] = np.add.reduceat(scores[which], bounds[:-1][some], axis=0)
+                    at += len(names)
             best = total.argmax(axis=1)
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & bool(languages)
@@ -240,16 +360,15 @@ def identify_languages(docs: DataFrame, pieces_path: str | None = None, modulus:
     """(doc_id, held_out, lang_pred, score) of every document (doc_id, text, lang).
 
     ``und`` with score 0 stands for a null or empty text, one without a letter, and for every text
-    when nothing could be learned. Long texts count whole; words of more than 31 bytes count as
-    several. Equal likelihoods go to the language first in code point order. A null id learns;
+    when nothing could be learned. Long texts and words of any length count whole. Equal likelihoods go to the language first in code point order. A null id learns;
     rows that repeat are scored each; other columns play no part; an empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
-    languages, chances = train(rows.where("NOT held_out"), pieces_path)
-    shared = docs.sparkSession.sparkContext.broadcast(chances)
+    context = docs.sparkSession.sparkContext
+    groups = [(names, context.broadcast(chances)) for names, chances in train(rows.where("NOT held_out"), pieces_path)]
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     return rows.select("doc_id", "text", letters.alias("letters"), "held_out").mapInArrow(
-        _predict(languages, shared, pieces_path), "doc_id long, held_out boolean, lang_pred string, score double")
+        _predict(groups, pieces_path), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op4_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
