@@ -11,6 +11,7 @@ import hashlib
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -47,7 +48,9 @@ from returnlens.plans import client, consolidated, critical, detail, observabili
 from returnlens.plans.cases import rule_logs, wide_logs, write_raw_files
 from returnlens.plans.demo import raw_logs
 from returnlens.sources.rawlogs import describe_files, describe_splits, read_lines
+from returnlens.sources.pages import page_at, page_count, write_pages
 from returnlens.sources.silver import export_csv, ingest, ledger, open_silver, register_views, rejected_lines
+from returnlens.sources.textindex import index_texts, open_indexed
 
 try:  # the training-data operators, where they are installed
     import corpus_pipeline
@@ -265,6 +268,28 @@ def _lake_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_silver(spark, _lake(spark, sf_dir)).where(LOG_FILTERS["filter_period"]).logs().select("protocolo", "status_geral")
 
 
+def _indexed(search: str = "", where: LogFilter | None = None) -> Query:
+    """Detail rows found through the postings of the lake, without the keys that come from its files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = _lake(spark, sf_dir)
+        index_texts(spark, root)
+        return _projection(detail.detail_rows(open_indexed(spark, root, search, where), search)).drop("hash_evento")
+
+    return run
+
+
+def _pages_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first, a middle and the last page of the stored detail rows."""
+    path = _folder(spark, sf_dir, "pages")
+    if path not in _written:
+        write_pages(detail.detail_rows(_model(spark, sf_dir)), path)
+        _written.add(path)
+    last = page_count(spark, path)
+    pages = [page_at(spark, path, n).withColumn("pagina", F.lit(n).cast("long")) for n in sorted({1, (last + 1) // 2, max(last, 1)})]
+    return reduce(DataFrame.unionByName, pages)
+
+
 def _exported(quote_all: bool) -> Query:
     """The export written as files and read back."""
 
@@ -419,6 +444,10 @@ def queries() -> dict[str, Query]:
         "file_dialects": _file_dialects,
         "file_views": _file_views,
         "lake_period": _lake_period,
+        "text_search_indexed": _indexed("1200004"),
+        "text_search_message_indexed": _indexed("PLACA abc-00"),
+        "filter_combined_indexed": _indexed("ABC-0", LogFilter(protocolo="0_12", status="ERRO", mensagem="placa%RNTRC")),
+        "detail_page_at": _pages_at,
         "export_quoted": _exported(True),
         "export_plain": _exported(False),
     }

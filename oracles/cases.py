@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles.prelude import UP_TO_ENTITIES, UP_TO_RAW, lit
-from oracles.reports import report_sql
+from oracles.reports import DETAIL, SEARCH, VIEWS, report_sql
 
 # Expected (result, technical type, rejection type, severity) of each case.
 EXPECTED = (
@@ -52,6 +52,12 @@ _WIDE = """(SELECT 'log_' || event_id || '_rej_' || (i - 1) AS rejeicao_id, '209
 EXPORT = """SELECT protocolo, strftime(data, '%Y-%m-%d %H:%M:%S') AS data, contratante, coalesce(tipo_rejeicao_semantica, '') AS tipo_rejeicao_semantica,
     mensagem_original, mensagem_normalizada, severidade_operacional, codigo_antt, coalesce(entidades_extraidas, '') AS entidades_extraidas FROM ({rows})"""
 
+# Keys come from the files, whose dates hold seconds.
+INDEXED = "SELECT * EXCLUDE (hash_evento) REPLACE (date_trunc('second', data) AS data) FROM ({rows})"
+NUMBERED = """(SELECT *, n // 50 + 1 AS pagina, (total + 49) // 50 AS paginas FROM
+    (SELECT *, row_number() OVER (ORDER BY data_evento DESC, log_id, rejeicao_id NULLS LAST) - 1 AS n, count(*) OVER () AS total FROM pl))"""
+UNDER_TEXTS = "status_geral = 'ERRO' AND protocolo LIKE '%0_12%' AND log_id IN (SELECT log_id FROM fact WHERE mensagem ILIKE '%placa%RNTRC%')"
+
 CASES = {
     "rule_labels": f"""SELECT 'log_' || event_id AS log_id, resultado, tipo_erro, tipo, severidade
         FROM events JOIN (VALUES {_LABELS}) v(k, resultado, tipo_erro, tipo, severidade) ON event_id % {len(EXPECTED)} = k""",
@@ -74,6 +80,12 @@ CASES = {
         FROM dim_log d WHERE substr(log_id, 5)::BIGINT < 4000""",
     "lake_period": UP_TO_ENTITIES.rstrip() + """ SELECT protocolo, status_geral FROM dim_log
         WHERE date_trunc('second', data_evento) BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-09 23:59:59'""",
+    "text_search_indexed": INDEXED.format(rows=report_sql("text_search")),
+    "text_search_message_indexed": INDEXED.format(rows=report_sql("text_search_message")),
+    "filter_combined_indexed": INDEXED.format(
+        rows=VIEWS.replace("{where}", UNDER_TEXTS).rstrip() + f" {DETAIL} WHERE {SEARCH.format('ABC-0')}"),
+    "detail_page_at": VIEWS.replace("{where}", "1 = 1").rstrip()
+        + f" {DETAIL.removesuffix('FROM pl')}, pagina FROM {NUMBERED} pl WHERE pagina IN (1, (paginas + 1) // 2, paginas)",
     "export_quoted": EXPORT.format(rows=report_sql("export_rows")),
     "export_plain": EXPORT.format(rows=report_sql("export_rows")),
 }
