@@ -48,6 +48,7 @@ from returnlens.plans import client, consolidated, critical, detail, observabili
 from returnlens.plans.cases import rule_logs, wide_logs, write_raw_files
 from returnlens.plans.demo import raw_logs
 from returnlens.sources.rawlogs import describe_files, describe_splits, read_lines
+from returnlens.sources.buckets import open_buckets, write_buckets
 from returnlens.sources.pages import page_at, page_count, write_pages
 from returnlens.sources.silver import export_csv, ingest, ledger, open_silver, register_views, rejected_lines
 from returnlens.sources.textindex import index_texts, open_indexed
@@ -99,14 +100,23 @@ def _flat_model(spark: SparkSession, sf_dir: str) -> LogModel:
     return LogModel.from_tables(dim_log(silver), fact_rejections(silver), fact_entities(silver))
 
 
+def _bucketed_model(spark: SparkSession, sf_dir: str) -> LogModel:
+    nested, path = silver_table(spark, sf_dir).withColumn("lote", F.lit("1")), _folder(spark, sf_dir, "buckets")
+    if path not in _written:
+        write_buckets(nested, path, buckets=8)
+        _written.add(path)
+    return open_buckets(spark, path, nested)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to six digits, the precision both engines are compared at."""
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _report(function: Callable[..., DataFrame], *args, flat: bool = False, where: LogFilter | None = None) -> Query:
+def _report(function: Callable[..., DataFrame], *args, source: Callable[[SparkSession, str], LogModel] = _model,
+            where: LogFilter | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model = (_flat_model if flat else _model)(spark, sf_dir)
+        model = source(spark, sf_dir)
         return _rounded(function(model if where is None else model.where(where), *args))
 
     return run
@@ -406,8 +416,8 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     """Every implemented operator and report."""
 
-    def filtered(log_filter: LogFilter, flat: bool = False) -> Query:
-        return _report(lambda m: m.where(log_filter).logs().select("log_id", "protocolo", "status_geral"), flat=flat)
+    def filtered(log_filter: LogFilter, source: Callable[[SparkSession, str], LogModel] = _model) -> Query:
+        return _report(lambda m: m.where(log_filter).logs().select("log_id", "protocolo", "status_geral"), source=source)
 
     operators: dict[str, Query] = {
         "canonical_columns": lambda s, d: _canonical(configure_session(s), d).drop("log_id").withColumn(
@@ -452,15 +462,17 @@ def queries() -> dict[str, Query]:
         "export_plain": _exported(False),
     }
     reports = {name: _report(*spec) for name, spec in REPORT_FUNCTIONS.items()}
-    flat = {f"{name}_flat": _report(*REPORT_FUNCTIONS[name], flat=True) for name in FLAT_REPORTS}
+    flat = {f"{name}_flat": _report(*REPORT_FUNCTIONS[name], source=_flat_model) for name in FLAT_REPORTS}
+    bucketed = {f"{name}_bucketed": _report(*REPORT_FUNCTIONS[name], source=_bucketed_model) for name in FLAT_REPORTS}
     under_filter = {f"{name}_filtered": _report(*REPORT_FUNCTIONS[name], where=LOG_FILTERS["filter_combined"])
                     for name in FILTERED_REPORTS}
     filters = {name: filtered(f) for name, f in LOG_FILTERS.items()}
-    semi_joins = {f"{name}_flat": filtered(LOG_FILTERS[name], flat=True)
+    semi_joins = {f"{name}_flat": filtered(LOG_FILTERS[name], source=_flat_model)
                   for name in ("filter_cause", "filter_type", "filter_code", "filter_message", "filter_combined")}
+    bucketed["filter_combined_bucketed"] = filtered(LOG_FILTERS["filter_combined"], source=_bucketed_model)
     wide = {"client_rejection_crosstab": _report(observability.client_rejection_crosstab)}
     trained = {} if llm is None else llm.QUERIES | {"pipeline": corpus_pipeline.run}
-    return operators | reports | flat | under_filter | filters | semi_joins | wide | trained
+    return operators | reports | flat | bucketed | under_filter | filters | semi_joins | wide | trained
 
 
 def oracle_sql() -> dict[str, str]:
@@ -471,6 +483,7 @@ def oracle_sql() -> dict[str, str]:
         | CASES
         | {name: report_sql(name) for name in REPORTS}
         | {f"{name}_flat": report_sql(name) for name in FLAT_REPORTS}
+        | {f"{name}_bucketed": report_sql(name) for name in FLAT_REPORTS} | {"filter_combined_bucketed": filter_sql("filter_combined")}
         | {f"{name}_filtered": report_sql(name, FILTERS["filter_combined"]) for name in FILTERED_REPORTS}
         | {name: filter_sql(name) for name in FILTERS}
         | {f"{name}_flat": filter_sql(name)

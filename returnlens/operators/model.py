@@ -135,6 +135,9 @@ class FlatLogModel(LogModel):
         self.fact = rejections.select(*FACT_COLUMNS)
         self.entity = entities.select(*ENTITY_COLUMNS)
 
+    def _over(self, dim: DataFrame) -> LogModel:
+        return FlatLogModel(dim, self.fact, self.entity)
+
     def where(self, log_filter: LogFilter) -> LogModel:
         dim = self.dim.where(log_filter.log_predicate())
         if DAY in dim.columns:
@@ -142,7 +145,7 @@ class FlatLogModel(LogModel):
         for name, predicate in log_filter.rejection_predicates():
             chosen = self.fact.where(predicate(F.col(name))).select("log_id")
             dim = dim.join(chosen, "log_id", "left_semi")
-        return FlatLogModel(dim, self.fact, self.entity)
+        return self._over(dim)
 
     def _joined(self, how: str) -> DataFrame:
         return self.dim.select(*_log_columns()).join(self.fact, "log_id", how)
@@ -174,3 +177,36 @@ class FlatLogModel(LogModel):
 
     def all_rejections(self) -> DataFrame:
         return self.fact
+
+
+class BucketedLogModel(FlatLogModel):
+    """Over flat tables that share buckets on ``log_id``, the entities with that column too.
+
+    A join on ``rejeicao_id`` would deal rows out anew, also where both sides hold whole logs. So the
+    entities of a log come together first, as they do in the nested table, and every join is on the log.
+    """
+
+    def __init__(self, dim: DataFrame, rejections: DataFrame, entities: DataFrame):
+        super().__init__(dim, rejections, entities)
+        self.entity = entities.select("log_id", *ENTITY_COLUMNS)
+
+    def _over(self, dim: DataFrame) -> LogModel:
+        return BucketedLogModel(dim, self.fact, self.entity)
+
+    def _with_entities(self, how: str) -> DataFrame:
+        """Log, rejection and the rejection's ``entidades``."""
+        item = F.struct("rejeicao_id", *(c for c in ENTITY_ONLY))
+        of_log = self.entity.groupBy("log_id").agg(F.collect_list(item).alias("_do_log"))
+        own = F.filter("_do_log", lambda e: e["rejeicao_id"] == F.col("rejeicao_id"))
+        slim = F.transform(own, lambda e: F.struct(*(e[c].alias(c) for c in ENTITY_ONLY)))
+        return self._joined(how).join(of_log, "log_id", how).withColumn("entidades", slim)
+
+    def logs_with_rejections(self, *columns: str) -> DataFrame:
+        if "entidades" not in columns:
+            return super().logs_with_rejections(*columns)
+        return self._with_entities("left").select(*LOG_COLUMNS, LOG_RESULT, *columns)
+
+    def entities(self, *columns: str) -> DataFrame:
+        columns = columns or REJECTION_ONLY
+        rows = self._with_entities("inner").select(*LOG_COLUMNS, LOG_RESULT, *columns, F.inline("entidades"))
+        return rows.select(*LOG_COLUMNS, LOG_RESULT, *columns, *ENTITY_ONLY)
