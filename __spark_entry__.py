@@ -66,7 +66,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonicalize(spread(raw_logs(spark, sf_dir), "log_id"), keep=("log_id",))
+    return canonicalize(spread(raw_logs(spark, sf_dir)), keep=("log_id",))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +194,7 @@ def _protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mask_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spread(raw_logs(configure_session(spark), sf_dir), "log_id").selectExpr("log_id", f"{strip('des_resposta')} AS limpa")
+    raw = spread(raw_logs(configure_session(spark), sf_dir)).selectExpr("log_id", f"{strip('des_resposta')} AS limpa")
     return run_on_table(raw, mask_stages("limpa", "mascara")).select("log_id", "mascara")
 
 

@@ -88,8 +88,16 @@ def with_dense_key(df: DataFrame) -> DataFrame:
     return tagged.withColumn("log_id", F.concat(F.lit("log_"), index)).drop("_position")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core for a scan that has fewer splits than there are cores. A large scan stays
-    as it is and is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+# Partitions per split of a scan, and the number of splits from which a scan stays as it is.
+SPREAD, MOST_SPLITS = 16, 2000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out evenly before costly steps.
+
+    Splits are cut by bytes, but a Parquet row group is read whole by one of them, so a file with few
+    row groups leaves most splits empty however large it is. Rows are dealt in turn, not by a key, which
+    may repeat. A very large scan has row groups enough; it stays as it is and is not shuffled.
+    """
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df if splits >= MOST_SPLITS else df.repartition(max(cores, min(splits * SPREAD, MOST_SPLITS)))
