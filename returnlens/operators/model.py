@@ -130,6 +130,9 @@ class NestedLogModel(LogModel):
 
 
 class FlatLogModel(LogModel):
+    """Both sides of every join here have rows in proportion to the logs, so all of them are merged: by the
+    size of its compressed file a table of some million logs would pass for small and be broadcast."""
+
     def __init__(self, dim: DataFrame, rejections: DataFrame, entities: DataFrame):
         self.dim = dim.select(*DIM_COLUMNS, *(c for c in dim.columns if c == DAY))
         self.fact = rejections.select(*FACT_COLUMNS)
@@ -144,11 +147,11 @@ class FlatLogModel(LogModel):
             dim = dim.where(log_filter.day_predicate(F.col(DAY)))
         for name, predicate in log_filter.rejection_predicates():
             chosen = self.fact.where(predicate(F.col(name))).select("log_id")
-            dim = dim.join(chosen, "log_id", "left_semi")
+            dim = dim.join(chosen.hint("merge"), "log_id", "left_semi")
         return self._over(dim)
 
     def _joined(self, how: str) -> DataFrame:
-        return self.dim.select(*_log_columns()).join(self.fact, "log_id", how)
+        return self.dim.select(*_log_columns()).join(self.fact.hint("merge"), "log_id", how)
 
     def logs(self) -> DataFrame:
         return self.dim.select(*DIM_COLUMNS)
@@ -156,7 +159,7 @@ class FlatLogModel(LogModel):
     def log_counts(self, **tests: RejectionTest) -> DataFrame:
         counts = self.fact.groupBy("log_id").agg(
             F.count(F.lit(1)).alias("n_rejeicoes"), *(count_if(test(F.col(column))).alias(name) for name, (column, test) in tests.items()))
-        joined = self.dim.select(*DIM_COLUMNS).join(counts, "log_id", "left")
+        joined = self.dim.select(*DIM_COLUMNS).join(counts.hint("merge"), "log_id", "left")
         return joined.select(*DIM_COLUMNS, *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n_rejeicoes", *tests)))
 
     def rejections(self, *columns: str) -> DataFrame:
@@ -167,11 +170,11 @@ class FlatLogModel(LogModel):
         if "entidades" in columns:
             item = F.struct(*(F.col(c) for c in ENTITY_ONLY))
             grouped = self.entity.groupBy("rejeicao_id").agg(F.collect_list(item).alias("entidades"))
-            joined = joined.join(grouped, "rejeicao_id", "left")
+            joined = joined.join(grouped.hint("merge"), "rejeicao_id", "left")
         return joined.select(*LOG_COLUMNS, LOG_RESULT, *(columns or REJECTION_ONLY))
 
     def entities(self, *columns: str) -> DataFrame:
-        return self._joined("inner").join(self.entity, "rejeicao_id", "inner").select(
+        return self._joined("inner").join(self.entity.hint("merge"), "rejeicao_id", "inner").select(
             *LOG_COLUMNS, LOG_RESULT, *(columns or REJECTION_ONLY), *ENTITY_ONLY
         )
 
@@ -199,7 +202,7 @@ class BucketedLogModel(FlatLogModel):
         of_log = self.entity.groupBy("log_id").agg(F.collect_list(item).alias("_do_log"))
         own = F.filter("_do_log", lambda e: e["rejeicao_id"] == F.col("rejeicao_id"))
         slim = F.transform(own, lambda e: F.struct(*(e[c].alias(c) for c in ENTITY_ONLY)))
-        return self._joined(how).join(of_log, "log_id", how).withColumn("entidades", slim)
+        return self._joined(how).join(of_log.hint("merge"), "log_id", how).withColumn("entidades", slim)
 
     def logs_with_rejections(self, *columns: str) -> DataFrame:
         if "entidades" not in columns:
