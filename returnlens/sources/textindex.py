@@ -30,6 +30,8 @@ GRAM = 3
 FOLDERS = 64
 # Rows of one file per posting row: the bound of its array.
 BLOCK_ROWS = 1 << 16
+# Characters that a task inverts at once.
+PIECE_CHARS = 1 << 20
 # Up to this many candidate files are named to the scan, which then opens no other; beyond, the join alone picks the rows.
 MOST_FILES = 1000
 MESSAGE, VALUE = "mensagem", "valor"
@@ -58,14 +60,77 @@ def _located(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{NESTED}").withColumns({FILE: F.col("_metadata.file_name"), ROW: F.col("_metadata.row_index")})
 
 
+def _inverted(piece_chars: int) -> Callable:
+    """The task's part of the postings: batches of (campo, place, bloco, linha, textos) to rows per gram
+    and block, with the sorted rows that hold the gram. Texts are taken in pieces of bounded length."""
+    gram, columns = GRAM, ("campo", BATCH, DAY, FILE, "bloco")
+
+    def invert(keys: list, rows, texts: list):
+        import numpy as np
+        import pyarrow as pa
+
+        joined = "".join(texts)
+        letters = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        starts = np.flatnonzero(owner[gram - 1:] == owner[:1 - gram])
+        code = np.zeros(len(starts), np.int64)
+        for k in range(gram):
+            code = code << 21 | letters[starts + k]
+        codes, which = np.unique(code, return_inverse=True)
+        # Keys are few: the rows of a batch stand in a few files.
+        number: dict = {}
+        key_of = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)[owner[starts]]
+        row_values, row_of = np.unique(rows, return_inverse=True)
+        held = np.unique((key_of * len(codes) + which) * len(row_values) + row_of[owner[starts]])
+        group, row = np.divmod(held, len(row_values))
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        of_key, of_code = np.divmod(group[first], len(codes))
+        names = ["".join(chr(c >> 21 * k & 0x1FFFFF) for k in reversed(range(gram))) for c in codes.tolist()]
+        known = list(number)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(held)].astype(np.int32)), pa.array(row_values[row]))
+        return {"gram": pa.array([names[c] for c in of_code.tolist()], pa.string()), "linhas": lists,
+                **{n: pa.array([known[k][i] for k in of_key.tolist()]) for i, n in enumerate(columns)}}
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        order = [*columns, "gram", "linhas"]
+        for batch in batches:
+            keys, rows, texts, chars = [], [], [], 0
+            # A row of several texts gives one entry for each.
+            parts = zip(*(batch.column(c).to_pylist() for c in (*columns, ROW, "textos")))
+            for *key, row, values in parts:
+                for text in values:
+                    if len(text) >= gram:
+                        keys.append(tuple(key)), rows.append(row), texts.append(text)
+                        chars += len(text)
+                if chars >= piece_chars:
+                    found = invert(keys, np.array(rows, np.int64), texts)
+                    yield pa.RecordBatch.from_arrays([found[c] for c in order], order)
+                    keys, rows, texts, chars = [], [], [], 0
+            if texts:
+                found = invert(keys, np.array(rows, np.int64), texts)
+                yield pa.RecordBatch.from_arrays([found[c] for c in order], order)
+
+    return run
+
+
 def _postings(table: DataFrame) -> DataFrame:
+    """Tasks invert the rows they read, batch by batch; only lists per gram and block then meet, so what
+    is shuffled is the row numbers and not a row for every gram of every text."""
     texts = F.transform("rejeicoes.mensagem_original", lambda m: F.lower(m))
     values = F.concat(F.array("protocolo"), F.transform(F.flatten("rejeicoes.entidades"), lambda e: e["entidade_valor"]))
-    found = [table.select(F.lit(kind).alias("campo"), *PLACE, F.explode(_grams_of_all(column)).alias("gram"))
-             for kind, column in ((MESSAGE, texts), (VALUE, values))]
-    key = ("campo", "gram", BATCH, DAY, FILE, F.floor(F.col(ROW) / BLOCK_ROWS).alias("bloco"))
-    rows = F.sort_array(F.collect_list(ROW)).alias("linhas")
-    return found[0].unionByName(found[1]).groupBy(*key).agg(rows).withColumn("pasta", (F.crc32("gram") % FOLDERS).cast("int"))
+    block = F.floor(F.col(ROW) / BLOCK_ROWS).alias("bloco")
+    both = F.array(*(F.struct(F.lit(kind).alias("campo"), F.array_distinct(F.filter(column, lambda t: t.isNotNull())).alias("textos"))
+                     for kind, column in ((MESSAGE, texts), (VALUE, values))))
+    rows = table.select(*PLACE, block, F.inline(both)).where(F.size("textos") > 0)
+    key = ("campo", BATCH, DAY, FILE, "bloco")
+    types = {**dict(rows.dtypes), "gram": "string", "linhas": "array<bigint>"}
+    found = rows.mapInArrow(_inverted(PIECE_CHARS), ", ".join(f"{n} {types[n]}" for n in (*key, "gram", "linhas")))
+    # Two texts of one row may stand in two pieces.
+    together = F.array_sort(F.array_distinct(F.flatten(F.collect_list("linhas")))).alias("linhas")
+    return found.groupBy("campo", "gram", *key[1:]).agg(together).withColumn("pasta", (F.crc32("gram") % FOLDERS).cast("int"))
 
 
 def index_texts(spark: SparkSession, root: str) -> None:

@@ -144,3 +144,30 @@ def test_pages_of_nothing(spark, lake, tmp_path):
     rows = detail.detail_rows(open_silver(spark, lake[1]), "nowhere at all")
     write_pages(rows, str(tmp_path / "pages"))
     assert page_count(spark, str(tmp_path / "pages")) == 0 and page_at(spark, str(tmp_path / "pages"), 1).collect() == []
+
+
+def test_postings_come_without_a_row_per_gram(spark, lake):
+    """Same postings as a row for every gram of every text, but no generator over the grams."""
+    located = textindex._located(spark, lake[1])
+    found = textindex._postings(located)
+    assert "Generate explode" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.campo, r.gram, r.dia, r.arquivo, n) for r in found.collect() for n in r.linhas}
+    messages = F.transform("rejeicoes.mensagem_original", lambda m: F.lower(m))
+    values = F.concat(F.array("protocolo"), F.transform(F.flatten("rejeicoes.entidades"), lambda e: e["entidade_valor"]))
+    wanted = set()
+    for kind, texts in (("mensagem", messages), ("valor", values)):
+        wanted |= {(kind, r.g, r.dia, r.arquivo, r.linha) for r in located.select("dia", "arquivo", "linha", F.explode(textindex._grams_of_all(texts)).alias("g")).collect()}
+    assert got == wanted and len(got) > 4_000
+    assert all(r.linhas == sorted(set(r.linhas)) for r in found.collect())
+
+
+def test_pieces_of_texts(spark, lake, monkeypatch):
+    """Pieces of a few characters, which end amid the rows of a file, change no posting."""
+    located = textindex._located(spark, lake[1])
+
+    def rows():
+        return sorted(map(str, textindex._postings(located).collect()))
+
+    whole = rows()
+    monkeypatch.setattr(textindex, "PIECE_CHARS", 50)
+    assert rows() == whole
