@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from returnlens.functions import rules
-from returnlens.operators.canonical import canonicalize
+from returnlens.operators.canonical import canonicalize, spread
 
 DELIMITERS = (";", ",")
 DEFAULT_DELIMITER = ";"
@@ -169,7 +169,8 @@ def read_records(lines: DataFrame, splits: DataFrame, files: DataFrame, store: S
     known = files.select("path", "file_hash", "separator", "header", "encoding", "multiline")
     placed = splits.select("path", "block", "start", "first").join(known, "path")
     text = F.when(F.col("encoding") == UTF8, F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), LATIN1))
-    rows = lines.select("path", "block", "at", "value").join(placed, ["path", "block"]).select(
+    # The stored lines are compressed, so their scan has few splits for the work on their text.
+    rows = spread(lines.select("path", "block", "at", "value")).join(placed, ["path", "block"]).select(
         "path", "block", "file_hash", "separator", "header", "multiline", (F.col("start") + F.col("at") - F.col("first")).alias("linha"), text.alias("text"))
     rows = rows.where("linha > 0")
     single = rows.where("NOT multiline").select("path", "file_hash", "separator", "header", "linha", "text")
