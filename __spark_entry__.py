@@ -42,13 +42,13 @@ from returnlens.functions.entities import entity_values
 from returnlens.functions.payload import extract_protocol, pair_messages, parse_payload
 from returnlens.functions.sqltext import run_on_table
 from returnlens.functions.text import mask_stages, strip
-from returnlens.operators.canonical import canonicalize, spread
+from returnlens.operators.canonical import ROW, canonicalize
 from returnlens.operators.silver import dim_log, fact_entities, fact_rejections
 from returnlens.plans import client, consolidated, critical, detail, observability, overview
 from returnlens.plans.cases import rule_logs, wide_logs, write_raw_files
 from returnlens.plans.demo import raw_logs
 from returnlens.sources.rawlogs import describe_files, describe_splits, read_lines
-from returnlens.sources.buckets import open_buckets, write_buckets
+from returnlens.sources.buckets import buckets_for, open_buckets, write_buckets
 from returnlens.sources.pages import page_at, page_count, write_pages
 from returnlens.sources.silver import export_csv, ingest, ledger, open_silver, register_views, rejected_lines
 from returnlens.sources.textindex import index_texts, open_indexed
@@ -66,7 +66,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonicalize(spread(raw_logs(spark, sf_dir)), keep=("log_id",))
+    return canonicalize(raw_logs(spark, sf_dir), keep=("log_id", ROW))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def _flat_model(spark: SparkSession, sf_dir: str) -> LogModel:
 def _bucketed_model(spark: SparkSession, sf_dir: str) -> LogModel:
     nested, path = silver_table(spark, sf_dir).withColumn("lote", F.lit("1")), _folder(spark, sf_dir, "buckets")
     if path not in _written:
-        write_buckets(nested, path, buckets=8)
+        write_buckets(nested, path, buckets=buckets_for(nested.count()))
         _written.add(path)
     return open_buckets(spark, path, nested)
 
@@ -194,7 +194,7 @@ def _protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mask_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spread(raw_logs(configure_session(spark), sf_dir)).selectExpr("log_id", f"{strip('des_resposta')} AS limpa")
+    raw = raw_logs(configure_session(spark), sf_dir).selectExpr("log_id", f"{strip('des_resposta')} AS limpa")
     return run_on_table(raw, mask_stages("limpa", "mascara")).select("log_id", "mascara")
 
 
@@ -420,7 +420,7 @@ def queries() -> dict[str, Query]:
         return _report(lambda m: m.where(log_filter).logs().select("log_id", "protocolo", "status_geral"), source=source)
 
     operators: dict[str, Query] = {
-        "canonical_columns": lambda s, d: _canonical(configure_session(s), d).drop("log_id").withColumn(
+        "canonical_columns": lambda s, d: _canonical(configure_session(s), d).drop("log_id", ROW).withColumn(
             "data", F.col("data").cast("timestamp")),
         "canonical_defaults": _canonical_defaults,
         "parse_timestamps": _timestamps,

@@ -1,8 +1,8 @@
 """Rule application: semantic labels, contextual result, success, operational result.
 
 A rule hit is kept as the position of the rule; labels are looked up in one literal table at
-the end. The stages expect the columns (or struct fields) ``mensagem``, ``codigo`` and
-``funcionalidade``; the last may also be a column outside the array.
+the end. The stages expect the columns ``mensagem``, ``codigo`` and
+``funcionalidade``.
 """
 
 from __future__ import annotations
@@ -191,7 +191,7 @@ def prepare_stages() -> list[Stage]:
         lambda r: {"limpa": strip(r("mensagem")), "codigo_limpo": strip(r("codigo"))},
         lambda r: {"minuscula": f"lower({r('limpa')})", "dobrada": fold(r("limpa"))},
         lambda r: {"negada": has_negation(r("minuscula"))},
-        *mask_stages("limpa", "mascara"),
+        *mask_stages("limpa", "mascara", "dobrada"),
     ]
 
 
@@ -268,11 +268,18 @@ def is_success_message(message: str, code: str, functionality: str) -> str:
             f"{success_text(low, f'''coalesce({functionality}, '')''')}))")
 
 
-def worst_result(results: str) -> str:
-    """Worst of an array of results; SUCESSO when it is empty."""
-    order = f"array({text_list(rules.RESULT_ORDER)})"
-    ranks = f"transform({results}, x -> CAST(array_position({order}, x) AS INT) - 1)"
-    return f"coalesce(get({order}, array_max({ranks})), {text(rules.RESULT_ORDER[0])})"
+def _result_order() -> str:
+    return f"array({text_list(rules.RESULT_ORDER)})"
+
+
+def result_rank(result: str) -> str:
+    """How bad a result is."""
+    return f"CAST(array_position({_result_order()}, {result}) AS INT) - 1"
+
+
+def worst_result(rank: str) -> str:
+    """The result of the largest rank; SUCESSO where there is none."""
+    return f"coalesce(get({_result_order()}, {rank}), {text(rules.RESULT_ORDER[0])})"
 
 
 def general_status(result: str) -> str:

@@ -11,12 +11,13 @@ KINDS = tuple(rule.kind for rule in rules.ENTITY_RULES)
 FOUND_TYPE = "ARRAY<STRUCT<tipo: STRING, valores: ARRAY<STRING>>>"
 
 
-def entity_values(message: str, kind: str) -> str:
-    """Distinct values of one entity kind, in order of first occurrence."""
+def entity_values(message: str, kind: str, folded: str | None = None) -> str:
+    """Distinct values of one entity kind, in order of first occurrence. ``folded`` is ``fold(message)``,
+    stripped or not, where it is at hand."""
     rule = next(r for r in rules.ENTITY_RULES if r.kind == kind)
     found = f"regexp_extract_all({message}, {text(java_regex(rule.pattern))}, 0)"
     if rule.pattern.startswith("(?i)") and (word := required_word(rule.pattern)):
-        found = f"if(contains({fold(message)}, {text(word)}), {found}, CAST(array() AS ARRAY<STRING>))"
+        found = f"if(contains({folded or fold(message)}, {text(word)}), {found}, CAST(array() AS ARRAY<STRING>))"
 
     def clean(value: str, _: str) -> str:
         value = f"upper({value})" if rule.upper else value
@@ -25,12 +26,12 @@ def entity_values(message: str, kind: str) -> str:
     return f"array_distinct({each(found, clean) if rule.strip else found})"
 
 
-def found_entities(message: str) -> str:
+def found_entities(message: str, folded: str | None = None, some_digit: str | None = None) -> str:
     """``array<struct<tipo, valores>>`` of every kind; each pattern needs a digit, so a message
-    without one is not scanned."""
-    kinds = ", ".join(struct(tipo=text(k), valores=entity_values(message, k)) for k in KINDS)
+    without one (``some_digit``, where it is known) is not scanned."""
+    kinds = ", ".join(struct(tipo=text(k), valores=entity_values(message, k, folded)) for k in KINDS)
     found = keep(f"array({kinds})", lambda k: f"size({k}.valores) > 0")
-    return f"if({rlike(message, java_regex(chr(92) + 'd'))}, {found}, CAST(array() AS {FOUND_TYPE}))"
+    return f"if({some_digit or rlike(message, java_regex(chr(92) + 'd'))}, {found}, CAST(array() AS {FOUND_TYPE}))"
 
 
 def entity_rows(found: str, rejection_id: str) -> str:

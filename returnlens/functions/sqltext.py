@@ -1,13 +1,12 @@
-"""Spark SQL expression text and the two ways to run a sequence of expressions.
+"""Spark SQL expression text and how to run a sequence of expressions.
 
 The classification is a few hundred expressions. Written as SQL text they reach Catalyst in a
-handful of parser calls, and one definition serves both a table (one column per name, compiled
-by whole-stage code generation) and the elements of an array (one struct field per name).
+handful of parser calls; a table takes one column per name, compiled by code generation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -73,15 +72,3 @@ def run_on_table(df: DataFrame, stages: Iterable[Stage]) -> DataFrame:
         df = df.selectExpr(*columns, *(f"{value} AS `{name}`" for name, value in added.items()))
         columns += [f"`{name}`" for name in added]
     return df
-
-
-def run_on_array(array: str, fields: Sequence[str], stages: Iterable[Stage]) -> str:
-    """One ``transform`` per stage over the struct elements of an array."""
-    known = list(fields)
-    for stage in stages:
-        item = f"x{next(_names)}"
-        added = stage(lambda name, item=item: f"{item}.{name}")
-        merged = {name: f"{item}.{name}" for name in known} | added
-        array = f"transform({array}, {item} -> {struct(**merged)})"
-        known = list(merged)
-    return array

@@ -82,45 +82,42 @@ def _replace(value: str, steps: Iterable[tuple[str, str]]) -> str:
     return value
 
 
-def _substitution(column: str, steps: tuple[tuple[str, str], ...], condition: str | None = None) -> Stage:
-    """Stage of ordered substitutions under a cheap necessary condition: the word a lone
-    pattern requires, or the given one (a template over the column)."""
+def _substitution(column: str, steps: tuple[tuple[str, str], ...], condition: Ref) -> Stage:
+    """Stage of ordered substitutions under a cheap necessary condition."""
+    return lambda r: {column: f"if({condition(r)}, {_replace(r(column), steps)}, {r(column)})"}
 
-    def stage(r: Ref) -> dict[str, str]:
-        value = r(column)
-        if condition is not None:
-            guard = condition.format(value)
-        else:
-            word = required_word(steps[0][0])
-            scanned = fold(value) if steps[0][0].startswith(IGNORE_CASE) else value
-            guard = f"contains({scanned}, {text(word)})"
-        return {column: f"if({guard}, {_replace(value, steps)}, {value})"}
 
-    return stage
-
-
-def mask_stages(source: str, target: str) -> list[Stage]:
+def mask_stages(source: str, target: str, folded: str | None = None) -> list[Stage]:
     """Template of a stripped message: identifiers, dates and amounts become placeholders.
 
     The substitutions keep their order; they are grouped only under conditions that all members
-    of a group need.
+    of a group need. Placeholders hold no digit and, with their braces, join no letters to a word, so the
+    digits and words that a pattern needs are looked for once, in the source; ``folded`` names the
+    column of ``fold(source)``, which is added where it is not there yet. ``<target>_digito`` is added too.
     """
-    digit = text(java_regex(r"\d"))
-    eight = text(java_regex(r"\d{8}"))
+    low, some_digit = folded or f"{target}_dobrada", f"{target}_digito"
+    digit, eight, code = (text(java_regex(p)) for p in (r"\d", r"\d{8}", r"\d-\d|\d{8}"))
+
+    def word(steps: tuple[tuple[str, str], ...]) -> Ref:
+        return lambda r: f"contains({r(low)}, {text(required_word(steps[0][0]))})"
+
+    def number(condition: str) -> Ref:
+        return lambda r: f"({r(some_digit)} AND {condition.replace('@', r(target))})"
+
     return [
-        lambda r: {target: r(source)},
-        _substitution(target, rules.MASK_OBJECTS, "contains({0}, '@')"),
-        _substitution(target, rules.MASK_PREFIX, f"contains({fold('{0}')}, 'rejei')"),
-        _substitution(target, rules.MASK_DATES, "(contains({0}, '/') OR contains({0}, '-'))"),
-        _substitution(target, rules.MASK_PLATE, "{0} RLIKE " + digit.replace("{", "{{").replace("}", "}}")),
-        _substitution(target, rules.MASK_FORMATTED, "contains({0}, '-')"),
-        _substitution(target, rules.MASK_LONG_NUMBERS, "{0} RLIKE " + eight.replace("{", "{{").replace("}", "}}")),
-        _substitution(target, rules.MASK_LABELLED),
-        _substitution(target, rules.MASK_BARE, "{0} RLIKE " + eight.replace("{", "{{").replace("}", "}}")),
-        _substitution(target, rules.MASK_POSTCODES, "{0} RLIKE " + text(java_regex(r"\d-\d|\d{8}")).replace("{", "{{").replace("}", "}}")),
-        _substitution(target, rules.MASK_PROTOCOL),
-        _substitution(target, rules.MASK_AMOUNTS, "(contains({0}, ',') OR contains({0}, '.'))"),
-        _substitution(target, rules.MASK_LISTS, "contains({0}, '}}')"),
+        lambda r: {target: r(source), some_digit: f"{r(source)} RLIKE {digit}", **({} if folded else {low: fold(r(source))})},
+        _substitution(target, rules.MASK_OBJECTS, lambda r: f"contains({r(target)}, '@')"),
+        _substitution(target, rules.MASK_PREFIX, lambda r: f"contains({r(low)}, 'rejei')"),
+        _substitution(target, rules.MASK_DATES, number("(contains(@, '/') OR contains(@, '-'))")),
+        _substitution(target, rules.MASK_PLATE, lambda r: r(some_digit)),
+        _substitution(target, rules.MASK_FORMATTED, number("contains(@, '-')")),
+        _substitution(target, rules.MASK_LONG_NUMBERS, number(f"@ RLIKE {eight}")),
+        _substitution(target, rules.MASK_LABELLED, lambda r: f"({r(some_digit)} AND {word(rules.MASK_LABELLED)(r)})"),
+        _substitution(target, rules.MASK_BARE, number(f"@ RLIKE {eight}")),
+        _substitution(target, rules.MASK_POSTCODES, number(f"@ RLIKE {code}")),
+        _substitution(target, rules.MASK_PROTOCOL, word(rules.MASK_PROTOCOL)),
+        _substitution(target, rules.MASK_AMOUNTS, number("(contains(@, ',') OR contains(@, '.'))")),
+        _substitution(target, rules.MASK_LISTS, lambda r: f"contains({r(target)}, '}}')"),
         lambda r: {target: f"trim(regexp_replace({r(target)}, {text(java_regex(ANY_SPACE + '+'))}, ' '))"},
     ]
 

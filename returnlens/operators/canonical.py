@@ -90,14 +90,21 @@ def with_dense_key(df: DataFrame) -> DataFrame:
 
 # Partitions per split of a scan, and the number of splits from which a scan stays as it is.
 SPREAD, MOST_SPLITS = 16, 2000
+# Number of a row, by which rows are dealt out; what belongs to one log finds together by it without an exchange.
+ROW = "fila"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, keep_row: bool = False) -> DataFrame:
     """Deal the rows of a scan out evenly before costly steps.
 
     Splits are cut by bytes, but a Parquet row group is read whole by one of them, so a file with few
-    row groups leaves most splits empty however large it is. Rows are dealt in turn, not by a key, which
-    may repeat. A very large scan has row groups enough; it stays as it is and is not shuffled.
+    row groups leaves most splits empty however large it is. Rows are dealt by their place in the scan,
+    not by a key, which may repeat; unlike dealing in turn, that needs no sort before. Put it right behind
+    the scan: what stands before it runs in the splits as they are. A very large scan has row groups
+    enough; it stays as it is and is not shuffled, unless the row numbers are kept.
     """
     splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df if splits >= MOST_SPLITS else df.repartition(max(cores, min(splits * SPREAD, MOST_SPLITS)))
+    if splits >= MOST_SPLITS and not keep_row:
+        return df
+    dealt = df.withColumn(ROW, F.monotonically_increasing_id()).repartition(max(cores, splits, min(splits * SPREAD, MOST_SPLITS)), ROW)
+    return dealt if keep_row else dealt.drop(ROW)

@@ -1,11 +1,11 @@
 """Canonical logs to classified logs with their rejections and entities.
 
-The whole step is row-local: messages, their classification, the worst result and the
-entities stay with their log, so no row moves between partitions until a query asks for it.
+Messages, their classification, the worst result and the entities stay in the partition of their log.
 ``dim_log`` and the two fact tables are projections of this nested table.
 
-A log with one message, the common case, is classified as plain columns in
-generated code. Only the others run the same stages over the elements of their message array.
+Messages are classified as rows of their own, in plain columns and generated code, however many a log
+has. They find together again by the log's row; where the logs were dealt out by that row (``spread``) or by
+ranges of the log's columns, nothing moves for it.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from returnlens.functions.classify import (
     classification_stages,
     description,
     general_status,
-    semantic_labels,
+    result_rank,
     worst_result,
 )
-from returnlens.functions.entities import entity_rows, found_entities
+from returnlens.functions.entities import FOUND_TYPE, entity_rows, found_entities
 from returnlens.functions.payload import extract_protocol, pair_messages, parse_payload
-from returnlens.functions.sqltext import Ref, Stage, keep, run_on_array, run_on_table, struct, text, text_list
+from returnlens.functions.sqltext import Ref, Stage, run_on_table, struct, text, text_list
+from returnlens.operators.canonical import ROW
 
 DIM_COLUMNS = ("log_id", "protocolo", "data_evento", "contratante", "funcionalidade", "status_geral",
                "resultado_operacional")
@@ -35,13 +36,11 @@ FACT_COLUMNS = ("rejeicao_id", "log_id", "codigo_antt", "categoria_operacional",
 ENTITY_COLUMNS = ("entidade_id", "rejeicao_id", "entidade_tipo", "entidade_valor")
 
 
-PAIR_FIELDS = ("pos", "mensagem", "codigo")
-
-
 def _rejection_stages(log_id: str = "log_id") -> list[Stage]:
     """Classified message to the fields of its rejection."""
     return [
-        lambda r: {"rejeicao_id": f"concat({log_id}, '_rej_', {r('pos')})", "achados": found_entities(r("mensagem"))},
+        lambda r: {"rejeicao_id": f"concat({log_id}, '_rej_', {r('pos')})",
+                   "achados": f"if({r('rejeitada')}, {found_entities(r('mensagem'), r('dobrada'), r('mascara_digito'))}, CAST(array() AS {FOUND_TYPE}))"},
         lambda r: {"rejeicao": _rejection(r)},
     ]
 
@@ -81,60 +80,34 @@ def _rejection(r: Ref) -> str:
     )
 
 
-def classified_messages(pairs: str, functionality: str = "funcionalidade") -> str:
-    """Pairs with their classification: rule positions, result and labels as struct fields."""
-    return run_on_array(pairs, PAIR_FIELDS, classification_stages(functionality))
-
-
-def _kept_rejections(classified: str) -> str:
-    """Rejections of a classified array."""
-    fields = ("pos", "mensagem", "codigo", "limpa", "mascara", "semantica", "resultado_operacional",
-              "tipo_erro_tecnico", "severidade")
-    kept = keep(classified, lambda p: f"{p}.resultado_operacional IN ({text_list(rules.REJECTION_RESULTS)})")
-    slim = run_on_array(kept, (), [lambda r: {f: r(f) for f in fields}])
-    labelled = run_on_array(slim, fields, [lambda r: {"rotulo": semantic_labels(r("semantica"))}, *_rejection_stages()])
-    return f"transform({labelled}, p -> p.rejeicao)"
-
-
 def classify_logs(canonical: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """Nested silver table: one row per log, the ``dim_log`` columns and ``rejeicoes``.
 
-    Input: the canonical columns plus ``log_id``; ``keep_columns`` are carried along.
+    Input: the canonical columns plus ``log_id``; ``keep_columns`` are carried along. A column ``ROW`` that
+    numbers the rows is used as it is; else they are numbered here. Rows that repeat stay apart.
     """
-    log = ["log_id", "protocolo", "data_evento", "contratante", "funcionalidade", *keep_columns]
+    row = ROW if ROW in canonical.columns else f"monotonically_increasing_id() AS {ROW}"
+    # The columns that the logs may be laid out by are all among the keys.
+    carried = ["log_id", "contratante", "funcionalidade", "cod_protocolo", *keep_columns]
+    log = [ROW, "protocolo", "data_evento", *carried]
     df = canonical.selectExpr(
-        "log_id",
-        f"{extract_protocol('cod_mensagem', 'des_resposta', 'cod_protocolo')} AS protocolo",
-        "data AS data_evento", "contratante", "funcionalidade",
-        f"{parse_payload('cod_mensagem', 'des_resposta')} AS payload",
-        *keep_columns,
-    )
+        row, f"{extract_protocol('cod_mensagem', 'des_resposta', 'cod_protocolo')} AS protocolo", "data AS data_evento",
+        *carried, f"{parse_payload('cod_mensagem', 'des_resposta')} AS payload")
     df = df.selectExpr(*log, f"{pair_messages('payload')} AS pares")
-    single = "size(pares) = 1"
-    df = df.selectExpr(*log, f"{single} AS unica", f"if({single}, NULL, pares) AS pares", "0 AS pos",
-                       f"if({single}, get(pares, 0).mensagem, '') AS mensagem",
-                       f"if({single}, get(pares, 0).codigo, '') AS codigo")
-    df = run_on_table(df, classification_stages())
-    df = df.selectExpr(*log, "unica", "pos", "mensagem", "codigo", "limpa", "mascara", "semantica", "rotulo",
-                       "resultado_operacional", "tipo_erro_tecnico", "severidade",
-                       f"{classified_messages('pares')} AS classificadas")
-    rejected = f"resultado_operacional IN ({text_list(rules.REJECTION_RESULTS)})"
+    # A log without messages keeps one row, whose position is null.
+    df = run_on_table(df.selectExpr(*log, "inline_outer(pares)"), classification_stages())
+    df = df.selectExpr(*log, "pos", "mensagem", "codigo", "limpa", "dobrada", "mascara", "mascara_digito", "semantica", "rotulo", "resultado_operacional",
+                       "tipo_erro_tecnico", "severidade",
+                       f"pos IS NOT NULL AND resultado_operacional IN ({text_list(rules.REJECTION_RESULTS)}) AS rejeitada")
     first, last = _rejection_stages()
     df = run_on_table(df, [first])
-    row = last(lambda name: name)["rejeicao"]
-    empty = "slice(array({0}), 1, 0)".format(row)
-    worst = worst_result("transform(classificadas, p -> p.resultado_operacional)")
-    # The optimizer moves filters below projections by inlining every column they name, which
-    # multiplies through the stages above without bound. It does not move them below a
-    # projection that depends on the row position.
-    fenced = "(unica AND monotonically_increasing_id() >= 0)"
-    df = df.selectExpr(
-        *log, f"if({fenced}, resultado_operacional, {worst}) AS resultado_operacional",
-        f"CASE WHEN NOT {fenced} THEN {_kept_rejections('classificadas')} WHEN {rejected} THEN array({row})"
-        f" ELSE {empty} END AS rejeicoes",
-    )
+    rejection = struct(pos="pos", rejeicao=last(lambda name: name)["rejeicao"])
+    df = df.selectExpr(*log, f"if(pos IS NULL, NULL, {result_rank('resultado_operacional')}) AS grau",
+                       f"if(rejeitada, {rejection}, NULL) AS rejeicao")
+    df = df.groupBy(*log).agg(F.expr(f"{worst_result('max(grau)')} AS resultado_operacional"),
+                              F.expr("array_sort(collect_list(rejeicao)) AS rejeicoes"))
     return df.selectExpr(*DIM_COLUMNS[:-2], f"{general_status('resultado_operacional')} AS status_geral",
-                         "resultado_operacional", "rejeicoes", *keep_columns)
+                         "resultado_operacional", "transform(rejeicoes, p -> p.rejeicao) AS rejeicoes", *keep_columns)
 
 
 def dim_log(silver: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from returnlens.operators.canonical import spread
+from returnlens.operators.canonical import ROW, spread
 from returnlens.plans.demo import raw_logs
 
 # (functionality, code, message) by event_id modulo their number: one for each semantic rule, then one
@@ -49,18 +49,18 @@ def _canonical(events: DataFrame, functionality, code, response) -> DataFrame:
     return events.select(
         F.concat(F.lit("log_"), F.col("event_id").cast("string")).alias("log_id"), F.lit("C").alias("contratante"),
         functionality.alias("funcionalidade"), code.alias("cod_mensagem"), response.alias("des_resposta"),
-        F.concat(F.lit("P"), F.col("event_id").cast("string")).alias("cod_protocolo"), F.col("ts").alias("data"))
+        F.concat(F.lit("P"), F.col("event_id").cast("string")).alias("cod_protocolo"), F.col("ts").alias("data"), ROW)
 
 
 def rule_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical logs of one message each, with a case for every rule."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("k", (F.col("event_id") % len(RULE_RETURNS)).cast("int"))
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts"), keep_row=True).withColumn("k", (F.col("event_id") % len(RULE_RETURNS)).cast("int"))
     return _canonical(events, *(F.get(F.lit([r[i] for r in RULE_RETURNS]), F.col("k")) for i in range(3)))
 
 
 def wide_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical logs with many messages, with many entities of one kind, or with an entity far behind."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts"), keep_row=True)
     messages = F.expr(f"""concat('{{"Codigo":"209","Mensagem":["', array_join(transform(sequence(1, {WIDE_MESSAGES}),
         i -> concat('O CEP 01001-', lpad(i, 3, '0'), ' ainda não está cadastrado.')), '","'), '"]}}')""")
     values = F.expr(f"concat('CEP inexistente: ', array_join(transform(sequence(1, {WIDE_VALUES}), i -> concat('02000-', lpad(i, 3, '0'))), ' '))")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from returnlens.operators.canonical import ROW, spread
+
 FUNCTIONALITY = {"purchase": "Emitir CIOT", "signup": "Retificar CIOT", "view": "Consultar CIOT",
                  "click": "Encerrar CIOT", "error": "Cancelar CIOT"}
 
@@ -49,8 +51,8 @@ def _filled(template: str, parameters: dict[str, Column]) -> Column:
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw log columns plus ``log_id`` and the source key ``event_id``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Raw log columns plus ``log_id`` and the row number by which they are dealt out."""
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type"), keep_row=True)
     key = F.col("event_id")
 
     def digits(value: Column, width: int) -> Column:
@@ -74,4 +76,5 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         function.alias("funcionalidade"),
         code.alias("cod_mensagem"),
         response.alias("des_resposta"),
+        ROW,
     )

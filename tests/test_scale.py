@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from returnlens import LogFilter, LogModel
+from returnlens import LogFilter, LogModel, classify_logs
 from returnlens.operators.canonical import spread
 from returnlens.operators.silver import dim_log, fact_entities, fact_rejections
 from returnlens.plans.cases import rule_logs, wide_logs
@@ -47,3 +47,25 @@ def test_flat_joins_broadcast_no_table(spark):
         assert df.count() > 0
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def operators_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_messages_are_rows_and_find_together_in_place(spark):
+    """Messages of a log are classified in columns, not in lambdas; dealing the logs out is the one exchange."""
+    for logs in (registry._classified(spark, registry.SMOKE_DIR), registry._wide(spark, registry.SMOKE_DIR)):
+        plan = operators_of(logs)
+        assert plan.count("Exchange ") == 1 and "hashpartitioning(fila" in plan and "Sort " not in plan.split("Exchange ")[1]
+        assert "Generate inline(pares" in plan
+
+
+def test_logs_that_repeat_stay_apart(spark):
+    """Two equal logs, one without any message, one whose messages are of different results."""
+    rows = [("a", "209", '{"Codigo":"209","Mensagem":["CEP 01001-001 inexistente","Dados enviados com sucesso"]}')] * 2 + [("b", "", '""')]
+    raw = spark.createDataFrame(rows, "log_id string, cod_mensagem string, des_resposta string").selectExpr(
+        "*", "'C' AS contratante", "'F' AS funcionalidade", "'P' AS cod_protocolo", "timestamp'2024-01-01' AS data")
+    found = [(r.log_id, r.status_geral, [x.rejeicao_id for x in r.rejeicoes], sum(len(x.entidades) for x in r.rejeicoes))
+             for r in classify_logs(raw).collect()]
+    assert sorted(found) == [("a", "ERRO", ["a_rej_0"], 1)] * 2 + [("b", "SUCESSO", [], 0)]
