@@ -20,6 +20,8 @@ KEY = "log_id"
 # Enough for tasks of some hundred MB at a few ten TB; fixed when the tables are first written.
 BUCKETS = 4096
 COUNT = "baldes"
+# Logs per bucket where the number of buckets follows the table.
+BUCKET_LOGS = 100_000
 TABLES = {"dim_log": dim_log, "fact_rejeicoes_semanticas": fact_rejections,
           "fact_entidades_extraidas": lambda nested, keep: fact_entities(nested, keep=(KEY, *keep))}
 
@@ -46,6 +48,11 @@ def _columns(project, nested: DataFrame) -> tuple[str, str]:
     return ", ".join(f"`{n}` {t}" for n, t in rows.dtypes), rows.columns
 
 
+def buckets_for(logs: int, least: int = 8) -> int:
+    """Number of buckets for a table of so many logs, so that the tasks of a join grow in number, not in size."""
+    return max(least, min(BUCKETS, -(-logs // BUCKET_LOGS)))
+
+
 def write_buckets(nested: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write the batches of a nested table, which replace themselves and leave the others as they are.
 

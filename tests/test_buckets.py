@@ -92,3 +92,10 @@ def test_no_rows(spark, tables, tmp_path):
     write_buckets(nested, str(tmp_path / "t"), buckets=2)
     model = open_buckets(spark, str(tmp_path / "t"), nested)
     assert model.logs().collect() == [] and model.entities().collect() == []
+
+
+def test_buckets_grow_with_the_table():
+    from returnlens.sources.buckets import BUCKETS, buckets_for
+
+    assert buckets_for(0) == buckets_for(100_000) == 8
+    assert buckets_for(36_000_000) == 360 and buckets_for(10**12) == BUCKETS
