@@ -24,6 +24,8 @@ MODEL_WORDS = 1024
 WORD_CLASSES = 16
 SHAPES = 51
 RATE = 0.01
+STEP_VALUES = 1 << 15
+OUTPUT_ROWS = 2048
 KNOWN_WORDS = 1 << 18
 TOKENS_AT_ONCE = 2_500_000
 END = np.uint64(0x6A09E667F3BCC909)
@@ -91,11 +93,13 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
+    def views(self, values: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of one vector, by parameter."""
+        ends = np.cumsum([v.size for v in self.p.values()])
+        return {k: values[end - v.size:end].reshape(v.shape) for (k, v), end in zip(self.p.items(), ends)}
+
     def load(self, values: np.ndarray) -> None:
-        at = 0
-        for k, v in self.p.items():
-            self.p[k] = np.asarray(values[at:at + v.size], dtype=np.float32).reshape(v.shape)
-            at += v.size
+        self.p = self.views(np.array(values, dtype=np.float32))
 
     def number(self, hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input row and output class of every token; the inputs of words are their output columns."""
@@ -109,7 +113,11 @@ class Network:
 
     def step(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         x, a = self.p["E"][inputs], h @ self.p["U"]
-        gates = 1 / (1 + np.exp(-(x[:, :2 * HIDDEN] + a[:, :2 * HIDDEN])))
+        gates = x[:, :2 * HIDDEN] + a[:, :2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r, inner = gates[:, :HIDDEN], gates[:, HIDDEN:], a[:, 2 * HIDDEN:]
         n = np.tanh(x[:, 2 * HIDDEN:] + r * inner)
         if keep is not None:
@@ -117,40 +125,49 @@ class Network:
         return n + z * (h - n)
 
     def outputs(self, h: np.ndarray, targets: np.ndarray, classes: np.ndarray, grads: dict | None = None):
-        """Log-probability of every target given its state, and with ``grads`` the slope by the state."""
+        """Log-probability of every target given its state, and with ``grads``, zeros that are filled, the slope
+        by the state."""
         logits = h @ self.p["Wc"] + self.p["bc"]
         logits -= logits.max(axis=1, keepdims=True)
-        chances = np.exp(logits)
-        total = chances.sum(axis=1)
         rows = np.arange(len(h))
-        out = (logits[rows, classes] - np.log(total)).astype(float)
+        right = logits[rows, classes]
+        chances = np.exp(logits, out=logits)
+        total = chances.sum(axis=1)
+        out = (right - np.log(total)).astype(float)
         slope = None
         if grads is not None:
             chances /= total[:, None]
             chances[rows, classes] -= 1
-            grads["Wc"] = h.T @ chances
-            grads["bc"] = chances.sum(axis=0)
+            np.matmul(h.T, chances, out=grads["Wc"])
+            chances.sum(axis=0, out=grads["bc"])
             slope = chances @ self.p["Wc"].T
-            grads["Wo"], grads["bo"] = np.zeros_like(self.p["Wo"]), np.zeros_like(self.p["bo"])
         order = np.argsort(classes, kind="stable")
         cuts = np.searchsorted(classes[order], np.arange(WORD_CLASSES + 1))
+        order = order[:cuts[-1]]
+        states, within = h[order], targets[order]
+        more = np.zeros(len(order))
+        slopes = None if grads is None else np.zeros_like(states)
         for c in range(WORD_CLASSES):
-            lo, hi, own = self.edges[c], self.edges[c + 1], order[cuts[c]:cuts[c + 1]]
-            if not len(own) or hi - lo < 2:
+            lo, hi, a, b = self.edges[c], self.edges[c + 1], cuts[c], cuts[c + 1]
+            if a == b or hi - lo < 2:
                 continue
-            state = h[own]
-            inner = state @ self.p["Wo"][:, lo:hi] + self.p["bo"][lo:hi]
+            inner = states[a:b] @ self.p["Wo"][:, lo:hi]
+            inner += self.p["bo"][lo:hi]
             inner -= inner.max(axis=1, keepdims=True)
-            share = np.exp(inner)
+            own, mine = np.arange(b - a), within[a:b] - lo
+            right = inner[own, mine]
+            share = np.exp(inner, out=inner)
             sums = share.sum(axis=1)
-            mine = targets[own] - lo
-            out[own] += inner[np.arange(len(own)), mine] - np.log(sums)
+            more[a:b] = right - np.log(sums)
             if grads is not None:
                 share /= sums[:, None]
-                share[np.arange(len(own)), mine] -= 1
-                grads["Wo"][:, lo:hi] = state.T @ share
-                grads["bo"][lo:hi] = share.sum(axis=0)
-                slope[own] += share @ self.p["Wo"][:, lo:hi].T
+                share[own, mine] -= 1
+                np.matmul(states[a:b].T, share, out=grads["Wo"][:, lo:hi])
+                share.sum(axis=0, out=grads["bo"][lo:hi])
+                np.matmul(share, self.p["Wo"][:, lo:hi].T, out=slopes[a:b])
+        out[order] += more
+        if grads is not None:
+            slope[order] += slopes
         return out, slope
 
 
@@ -186,11 +203,14 @@ def train_on(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds: np.n
 
 
 def _learn(net, keep, states, targets, inputs, classes, memory) -> None:
-    grads: dict[str, np.ndarray] = {}
+    if not memory:
+        flat = np.zeros(sum(v.size for v in net.p.values()), np.float32)
+        memory.update(flat=flat, grads=net.views(flat), kept={k: np.zeros((3, v.size), np.float32) for k, v in net.p.items()}, t=0)
+    grads = memory["grads"]
+    memory["flat"][:] = 0
     _, slope = net.outputs(np.concatenate(states), inputs[targets], classes[targets], grads)
     sizes = [len(s) for s in states]
     places = np.concatenate([[0], np.cumsum(sizes)])
-    grads["U"] = np.zeros_like(net.p["U"])
     carried = np.zeros((sizes[0], HIDDEN), dtype=np.float32)
     rows, slopes = [], []
     for j in range(len(keep) - 1, -1, -1):
@@ -206,15 +226,31 @@ def _learn(net, keep, states, targets, inputs, classes, memory) -> None:
     rows, slopes = np.concatenate(rows), np.concatenate(slopes)
     order = np.argsort(rows, kind="stable")
     used, first = np.unique(rows[order], return_index=True)
-    grads["E"] = np.zeros_like(net.p["E"])
     grads["E"][used] = np.add.reduceat(slopes[order], first, axis=0)
-    memory["t"] = t = memory.get("t", 0) + 1
+    memory["flat"] /= max(len(targets), FULL_STEP_TOKENS)  # a window of few texts is a small step
+    memory["t"] += 1
     for k, value in net.p.items():
-        g = grads[k] / max(len(targets), FULL_STEP_TOKENS)  # a window of few texts is a small step
-        m, v = memory.setdefault(k, (np.zeros_like(value), np.zeros_like(value)))
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        value -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
+        _descend(value.reshape(-1), grads[k].reshape(-1), memory["kept"][k], memory["t"])
+
+
+def _descend(value: np.ndarray, g: np.ndarray, kept: np.ndarray, t: int) -> None:
+    """One step of Adam, in place and in pieces that stay in the cache; ``g`` is used up."""
+    for at in range(0, len(value), STEP_VALUES):
+        x, d, (m, v, s) = value[at:at + STEP_VALUES], g[at:at + STEP_VALUES], kept[:, at:at + STEP_VALUES]
+        np.subtract(d, m, out=s)
+        s *= 0.1
+        m += s
+        d *= d
+        d -= v
+        d *= 0.01
+        v += d
+        np.divide(v, 1 - 0.99 ** t, out=d)
+        np.sqrt(d, out=d)
+        d += 1e-6
+        np.divide(m, 1 - 0.9 ** t, out=s)
+        s *= RATE
+        s /= d
+        x -= s
 
 
 def score_tokens(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -234,7 +270,10 @@ def score_tokens(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds:
             targets.append(place)
             texts.append(group[:n])
         at = np.concatenate(targets)
-        logs, _ = net.outputs(np.concatenate(states), inputs[at], classes[at])
+        state = np.concatenate(states)
+        # In pieces that stay in the cache.
+        logs = np.concatenate([net.outputs(state[k:k + OUTPUT_ROWS], inputs[at[k:k + OUTPUT_ROWS]], classes[at[k:k + OUTPUT_ROWS]])[0]
+                               for k in range(0, len(at), OUTPUT_ROWS)])
         total += np.bincount(np.concatenate(texts), logs, len(total))
     return total
 

@@ -97,3 +97,20 @@ def test_chain_of_forms(spark):
     words = {"aaaaaaa": 2, "aaaaaab": 20, "aaaaabb": 200, "aaaabbb": 2000, "aaabbbb": 20000, "aabbbbb": 200000}
     got = rows_of(variants.group_variants(spark.createDataFrame(list(words.items()), "word string, n long")))
     assert {(r[0], r[2]) for r in got} == {(w, "aabbbbb") for w in words} and got == brute(words)
+
+
+def test_descent_in_pieces_is_the_plain_formula():
+    import numpy as np
+
+    from returnlens.llm.recurrent import RATE, STEP_VALUES, _descend
+
+    random = np.random.default_rng(1)
+    value, kept = random.standard_normal(STEP_VALUES + 7).astype(np.float32), np.zeros((3, STEP_VALUES + 7), np.float32)
+    plain, m, v = value.copy(), np.zeros_like(value), np.zeros_like(value)
+    for t in range(1, 4):
+        g = random.standard_normal(len(value)).astype(np.float32)
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        plain -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
+        _descend(value, g.copy(), kept, t)
+    assert np.array_equal(value, plain)
