@@ -204,8 +204,8 @@ def train_on(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds: np.n
 
 def _learn(net, keep, states, targets, inputs, classes, memory) -> None:
     if not memory:
-        flat = np.zeros(sum(v.size for v in net.p.values()), np.float32)
-        memory.update(flat=flat, grads=net.views(flat), kept={k: np.zeros((3, v.size), np.float32) for k, v in net.p.items()}, t=0)
+        flat = np.zeros(sum(v.size for v in net.p.values()), net.p["E"].dtype)
+        memory.update(flat=flat, grads=net.views(flat), t=0, **{k: np.zeros((3, *v.shape), v.dtype) for k, v in net.p.items()})
     grads = memory["grads"]
     memory["flat"][:] = 0
     _, slope = net.outputs(np.concatenate(states), inputs[targets], classes[targets], grads)
@@ -230,7 +230,7 @@ def _learn(net, keep, states, targets, inputs, classes, memory) -> None:
     memory["flat"] /= max(len(targets), FULL_STEP_TOKENS)  # a window of few texts is a small step
     memory["t"] += 1
     for k, value in net.p.items():
-        _descend(value.reshape(-1), grads[k].reshape(-1), memory["kept"][k], memory["t"])
+        _descend(value.reshape(-1), grads[k].reshape(-1), memory[k].reshape(3, -1), memory["t"])
 
 
 def _descend(value: np.ndarray, g: np.ndarray, kept: np.ndarray, t: int) -> None:
