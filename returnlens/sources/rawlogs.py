@@ -143,7 +143,7 @@ def joined_records(lines: DataFrame, store: Store) -> DataFrame:
     state = F.coalesce("_fixed", F.lit(0)).bitwiseXOR((F.col("_all") % 2).cast("int"))
     entering = sums.select("path", "block", F.coalesce(F.lag(state).over(file), F.lit(0)).alias("_enter"))
     before = split.rowsBetween(Window.unboundedPreceding, -1)
-    known = here.join(entering, ["path", "block"])
+    known = here.join(F.broadcast(entering), ["path", "block"])
     last = F.coalesce(F.last("_set", ignorenulls=True).over(before), F.col("_enter"))
     open_before = last.bitwiseXOR(((F.col("_turns") - F.col("_turn")) % 2).cast("int"))
     started = known.withColumn("_start", F.when(open_before == 0, F.col("linha")))
@@ -156,7 +156,7 @@ def joined_records(lines: DataFrame, store: Store) -> DataFrame:
     ends = ends.select("path", "block", carried.alias("_carried"), "_last", left_open.alias("_open"))
     never = ends.groupBy("path").agg(F.max_by("_open", "block").alias("_open"), F.max("_last").alias("_from"))
     never = never.select("path", F.when(F.col("_open") == 1, F.col("_from")).alias("_never"))
-    placed = started.join(ends.select("path", "block", "_carried"), ["path", "block"]).join(never, "path")
+    placed = started.join(F.broadcast(ends.select("path", "block", "_carried")), ["path", "block"]).join(F.broadcast(never), "path")
     record = F.when(F.col("linha") >= F.col("_never"), F.col("linha")).otherwise(F.coalesce("_record", "_carried"))
     grouped = placed.withColumn("_record", record).groupBy("path", "file_hash", "separator", "header", "_record").agg(
         F.array_sort(F.collect_list(F.struct("linha", "text"))).alias("parts"))
@@ -169,8 +169,9 @@ def read_records(lines: DataFrame, splits: DataFrame, files: DataFrame, store: S
     known = files.select("path", "file_hash", "separator", "header", "encoding", "multiline")
     placed = splits.select("path", "block", "start", "first").join(known, "path")
     text = F.when(F.col("encoding") == UTF8, F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), LATIN1))
-    # The stored lines are compressed, so their scan has few splits for the work on their text.
-    rows = spread(lines.select("path", "block", "at", "value")).join(placed, ["path", "block"]).select(
+    # The stored lines are compressed, so their scan has few splits for the work on their text, and by its size the
+    # planner would broadcast them. What goes to every task is a row per split.
+    rows = spread(lines.select("path", "block", "at", "value")).join(F.broadcast(placed), ["path", "block"]).select(
         "path", "block", "file_hash", "separator", "header", "multiline", (F.col("start") + F.col("at") - F.col("first")).alias("linha"), text.alias("text"))
     rows = rows.where("linha > 0")
     single = rows.where("NOT multiline").select("path", "file_hash", "separator", "header", "linha", "text")

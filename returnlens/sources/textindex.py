@@ -133,6 +133,11 @@ def _postings(table: DataFrame) -> DataFrame:
     return found.groupBy("campo", "gram", *key[1:]).agg(together).withColumn("pasta", (F.crc32("gram") % FOLDERS).cast("int"))
 
 
+def _rows_of(spark: SparkSession, root: str, batches: list[str]) -> DataFrame:
+    """The rows of some batches where the scan reads them. A join would bring all rows of a batch to one task."""
+    return _located(spark, root).where(F.col(BATCH).isin(batches))
+
+
 def index_texts(spark: SparkSession, root: str) -> None:
     """Write the postings of every ingested batch that has none.
 
@@ -148,7 +153,7 @@ def index_texts(spark: SparkSession, root: str) -> None:
     if not fresh:
         return
     chosen = spark.createDataFrame(fresh, f"{BATCH} string")
-    postings = _postings(_located(spark, root).join(chosen, BATCH, "left_semi"))
+    postings = _postings(_rows_of(spark, root, [r[BATCH] for r in fresh]))
     order = (BATCH, "pasta", "campo", "gram", DAY, FILE)
     _write(postings.repartitionByRange(*order, "bloco").sortWithinPartitions(*order), f"{root}/{POSTINGS}", BATCH, "pasta")
     chosen.write.mode("append").parquet(f"{root}/{INDEXED}")

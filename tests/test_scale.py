@@ -10,6 +10,7 @@ from returnlens import LogFilter, LogModel, classify_logs
 from returnlens.operators.canonical import spread
 from returnlens.operators.silver import dim_log, fact_entities, fact_rejections
 from returnlens.plans.cases import rule_logs, wide_logs
+from returnlens.sources.rawlogs import describe_files, describe_splits, read_lines, read_records
 
 
 @pytest.fixture
@@ -49,6 +50,26 @@ def test_flat_joins_broadcast_no_table(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_lines_of_raw_files_are_not_broadcast(spark, tmp_path):
+    """The stored lines are small files here; to the tasks goes the row per split."""
+    (tmp_path / "a.csv").write_text("des_resposta;cod_mensagem\n" + "".join(f'"linha {i}\nmais";{i}\n' for i in range(500)))
+
+    def store(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    joins = []
+
+    def watched(df, name):
+        joins.extend(line for line in operators_of(df).splitlines() if "Join" in line and name == "linhas_marcadas")
+        return store(df, name)
+
+    lines = store(read_lines(spark, str(tmp_path / "a.csv")), "linhas")
+    splits = store(describe_splits(lines), "partes")
+    records = read_records(lines, splits, store(describe_files(splits), "arquivos"), watched)
+    assert records.count() == 500 and "BuildRight" in joins[0] and "SortMergeJoin" not in joins[0]
+
+
 def operators_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

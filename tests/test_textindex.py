@@ -51,6 +51,14 @@ def scanned(plan) -> list[tuple[int, str]]:
     return result
 
 
+def test_batches_are_indexed_where_they_are_read(spark, lake):
+    """No row of a batch moves before it is inverted, so a batch of any size has as many tasks as its scan."""
+    root = lake[1]
+    rows = textindex._rows_of(spark, root, [r[BATCH] for r in textindex.ledger(spark, root).collect()])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 400 and "Exchange" not in plan and "Join" not in plan and textindex._rows_of(spark, root, ["x"]).isEmpty()
+
+
 def test_grams(spark):
     rows = spark.createDataFrame([(None,), ("",), ("ab",), ("abc",), ("ababab",), ("çãé" + "x" * 50_000,)], "t string")
     got = [r[0] for r in rows.select(grams(F.col("t"))).collect()]
