@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from returnlens.functions import rules
 from returnlens.functions.regex import java_regex
-from returnlens.functions.sqltext import each, keep, struct, text
-from returnlens.functions.text import fold, required_word, rlike
+from returnlens.functions.sqltext import Ref, Stage, each, keep, struct, text
+from returnlens.functions.text import fold, required_word
 
 KINDS = tuple(rule.kind for rule in rules.ENTITY_RULES)
 FOUND_TYPE = "ARRAY<STRUCT<tipo: STRING, valores: ARRAY<STRING>>>"
@@ -14,10 +14,20 @@ FOUND_TYPE = "ARRAY<STRUCT<tipo: STRING, valores: ARRAY<STRING>>>"
 def entity_values(message: str, kind: str, folded: str | None = None) -> str:
     """Distinct values of one entity kind, in order of first occurrence. ``folded`` is ``fold(message)``,
     stripped or not, where it is at hand."""
+    return _distinct(matches(message, kind, folded), kind)
+
+
+def matches(message: str, kind: str, folded: str | None = None) -> str:
+    """What the pattern of a kind finds, in order; no lambda, so it runs in generated code."""
     rule = next(r for r in rules.ENTITY_RULES if r.kind == kind)
     found = f"regexp_extract_all({message}, {text(java_regex(rule.pattern))}, 0)"
     if rule.pattern.startswith("(?i)") and (word := required_word(rule.pattern)):
         found = f"if(contains({folded or fold(message)}, {text(word)}), {found}, CAST(array() AS ARRAY<STRING>))"
+    return found
+
+
+def _distinct(found: str, kind: str) -> str:
+    rule = next(r for r in rules.ENTITY_RULES if r.kind == kind)
 
     def clean(value: str, _: str) -> str:
         value = f"upper({value})" if rule.upper else value
@@ -26,12 +36,18 @@ def entity_values(message: str, kind: str, folded: str | None = None) -> str:
     return f"array_distinct({each(found, clean) if rule.strip else found})"
 
 
-def found_entities(message: str, folded: str | None = None, some_digit: str | None = None) -> str:
-    """``array<struct<tipo, valores>>`` of every kind; each pattern needs a digit, so a message
-    without one (``some_digit``, where it is known) is not scanned."""
-    kinds = ", ".join(struct(tipo=text(k), valores=entity_values(message, k, folded)) for k in KINDS)
-    found = keep(f"array({kinds})", lambda k: f"size({k}.valores) > 0")
-    return f"if({some_digit or rlike(message, java_regex(chr(92) + 'd'))}, {found}, CAST(array() AS {FOUND_TYPE}))"
+def matches_stage(condition: Ref) -> Stage:
+    """A column per kind, ``achado_<kind>``, of what its pattern finds in a message under a condition; each pattern
+    needs a digit, so a message without one is not scanned."""
+    return lambda r: {f"achado_{k}": f"if({condition(r)} AND {r('mascara_digito')}, {matches(r('mensagem'), k, r('dobrada'))}, CAST(array() AS ARRAY<STRING>))"
+                      for k in KINDS}
+
+
+def found_stage(r: Ref) -> dict[str, str]:
+    """``achados``, ``array<struct<tipo, valores>>`` of every kind that was found."""
+    kinds = ", ".join(struct(tipo=text(k), valores=_distinct(r(f"achado_{k}"), k)) for k in KINDS)
+    some = " OR ".join(f"size({r(f'achado_{k}')}) > 0" for k in KINDS)
+    return {"achados": f"if({some}, {keep(f'array({kinds})', lambda k: f'size({k}.valores) > 0')}, CAST(array() AS {FOUND_TYPE}))"}
 
 
 def entity_rows(found: str, rejection_id: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from returnlens.functions import rules
 from returnlens.functions.regex import java_regex
-from returnlens.functions.sqltext import bind, case, each, keep, struct, text, text_list
+from returnlens.functions.sqltext import bind, case, contains_any, each, keep, struct, text, text_list
 from returnlens.functions.text import rlike, split_message, strip
 
 NO_VALUES = "CAST(array() AS ARRAY<STRING>)"
@@ -93,7 +93,9 @@ def parse_payload(code: str, response: str) -> str:
 
     brace = f"(contains({code}, '{{') OR contains({response}, '{{'))"
     parsed = bind(f"coalesce({json_object(response)}, {json_object(code)})", read)
-    return f"if({brace}, {bind(parsed, at_least_one)}, {bind(plain, at_least_one)})"
+    # One code and one message, the most frequent case, need no lambda and so run in generated code.
+    single = struct(codes=f"array(if({_no_text(code)}, '', {strip(code)}))", messages=f"array(if({_no_text(response)}, '', {strip(response)}))")
+    return f"if({brace}, {bind(parsed, at_least_one)}, if(contains({code}, ','), {bind(plain, at_least_one)}, {single}))"
 
 
 def pair_messages(payload: str) -> str:
@@ -107,7 +109,11 @@ def pair_messages(payload: str) -> str:
         return each(singles, lambda m, _: struct(mensagem=m, codigo=code))
 
     pairs = f"flatten({each(payload + '.messages', expand)})"
-    return each(pairs, lambda p, i: struct(pos=i, mensagem=f"{p}.mensagem", codigo=f"{p}.codigo"))
+    numbered = each(pairs, lambda p, i: struct(pos=i, mensagem=f"{p}.mensagem", codigo=f"{p}.codigo"))
+    # The messages of a payload are stripped; an only one that cannot be a list is its own pair, without lambdas.
+    only = f"{payload}.messages[0]"
+    alone = f"size({payload}.messages) = 1 AND NOT ({contains_any(only, chr(34) + chr(39))} OR startswith({only}, '['))"
+    return f"if({alone}, array({struct(pos='0', mensagem=only, codigo=f'{payload}.codes[0]')}), {numbered})"
 
 
 def _protocol_in_json(value: str) -> str:

@@ -118,7 +118,8 @@ def mask_stages(source: str, target: str, folded: str | None = None) -> list[Sta
         _substitution(target, rules.MASK_PROTOCOL, word(rules.MASK_PROTOCOL)),
         _substitution(target, rules.MASK_AMOUNTS, number("(contains(@, ',') OR contains(@, '.'))")),
         _substitution(target, rules.MASK_LISTS, lambda r: f"contains({r(target)}, '}}')"),
-        lambda r: {target: f"trim(regexp_replace({r(target)}, {text(java_regex(ANY_SPACE + '+'))}, ' '))"},
+        # A run that is one blank already is not touched.
+        lambda r: {target: f"trim(regexp_replace({r(target)}, {text(java_regex(f'(?: {ANY_SPACE}|(?! ){ANY_SPACE}){ANY_SPACE}*'))}, ' '))"},
     ]
 
 

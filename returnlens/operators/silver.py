@@ -22,7 +22,7 @@ from returnlens.functions.classify import (
     result_rank,
     worst_result,
 )
-from returnlens.functions.entities import FOUND_TYPE, entity_rows, found_entities
+from returnlens.functions.entities import entity_rows, found_stage, matches_stage
 from returnlens.functions.payload import extract_protocol, pair_messages, parse_payload
 from returnlens.functions.sqltext import Ref, Stage, run_on_table, struct, text, text_list
 from returnlens.operators.canonical import ROW
@@ -39,8 +39,8 @@ ENTITY_COLUMNS = ("entidade_id", "rejeicao_id", "entidade_tipo", "entidade_valor
 def _rejection_stages(log_id: str = "log_id") -> list[Stage]:
     """Classified message to the fields of its rejection."""
     return [
-        lambda r: {"rejeicao_id": f"concat({log_id}, '_rej_', {r('pos')})",
-                   "achados": f"if({r('rejeitada')}, {found_entities(r('mensagem'), r('dobrada'), r('mascara_digito'))}, CAST(array() AS {FOUND_TYPE}))"},
+        matches_stage(lambda r: r("rejeitada")),
+        lambda r: {"rejeicao_id": f"concat({log_id}, '_rej_', {r('pos')})", **found_stage(r)},
         lambda r: {"rejeicao": _rejection(r)},
     ]
 
@@ -99,8 +99,8 @@ def classify_logs(canonical: DataFrame, keep_columns: tuple[str, ...] = ()) -> D
     df = df.selectExpr(*log, "pos", "mensagem", "codigo", "limpa", "dobrada", "mascara", "mascara_digito", "semantica", "rotulo", "resultado_operacional",
                        "tipo_erro_tecnico", "severidade",
                        f"pos IS NOT NULL AND resultado_operacional IN ({text_list(rules.REJECTION_RESULTS)}) AS rejeitada")
-    first, last = _rejection_stages()
-    df = run_on_table(df, [first])
+    *first, last = _rejection_stages()
+    df = run_on_table(df, first)
     rejection = struct(pos="pos", rejeicao=last(lambda name: name)["rejeicao"])
     df = df.selectExpr(*log, f"if(pos IS NULL, NULL, {result_rank('resultado_operacional')}) AS grau",
                        f"if(rejeitada, {rejection}, NULL) AS rejeicao")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from returnlens import LogFilter, LogModel, classify_logs
+from returnlens.functions.payload import pair_messages, parse_payload
 from returnlens.operators.canonical import spread
 from returnlens.operators.silver import dim_log, fact_entities, fact_rejections
 from returnlens.plans.cases import rule_logs, wide_logs
@@ -82,6 +83,27 @@ def test_messages_are_rows_and_find_together_in_place(spark):
         assert "Generate inline(pares" in plan
 
 
+def test_patterns_of_entities_run_in_columns(spark):
+    """Below a lambda everything is interpreted, so there no pattern of an entity runs over a message."""
+    projected = operators_of(registry._classified(spark, registry.SMOKE_DIR)).split("AS achado_")
+    assert len(projected) > 6 and "regexp_extract_all" not in projected[0] and "lambda" not in "".join(projected[1:-1])
+
+
+def test_single_messages_need_no_lambda(spark):
+    """The short way of an only message gives what the long one gives for a list of it."""
+    codes = [None, "", " 217 ", "nan", "217,203", " , ", '{"Codigo":"9"}']
+    texts = [None, "", "  ", "nan", "None", " a, b ", "[a]", '"a"', "d'água", '"a","b"', "\u00a0x\u00a0", "[", '{"Mensagem":" m "}', '{"Mensagem":[]}']
+    rows = spark.createDataFrame([(c, t) for c in codes for t in texts], "c string, t string")
+    pairs = rows.selectExpr("c", "t", f"{parse_payload('c', 't')} AS p").selectExpr("c", "t", "p", f"{pair_messages('p')} AS pares").collect()
+    for c, t, p, found in pairs:
+        assert [f.pos for f in found] == list(range(len(found))) and all(f.codigo in p.codes for f in found), (c, t)
+    got = {(c, t): (p.codes, [f.mensagem for f in found]) for c, t, p, found in pairs}
+    assert got[None, None] == got["nan", "None"] == ([""], [""]) and got[" 217 ", " a, b "] == (["217"], ["a, b"])
+    assert got["217,203", "[a]"] == (["217", "203"], ["a"]) and got[" , ", '"a","b"'] == ([""], ["a", "b"])
+    assert got["", "[" ] == ([""], ["["]) and got["", "\u00a0x\u00a0"][1] == ["x"] and got["", "d'água"][1] == ["d'água"]
+    assert got[" 217 ", '{"Mensagem":" m "}'] == ([""], ["m"]) and got['{"Codigo":"9"}', "nan"] == (["9"], [""])
+
+
 def test_logs_that_repeat_stay_apart(spark):
     """Two equal logs, one without any message, one whose messages are of different results."""
     rows = [("a", "209", '{"Codigo":"209","Mensagem":["CEP 01001-001 inexistente","Dados enviados com sucesso"]}')] * 2 + [("b", "", '""')]
