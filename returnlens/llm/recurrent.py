@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ WORD_CLASSES = 16
 SHAPES = 51
 RATE = 0.01
 STEP_VALUES = 1 << 15
+SCALED_STEPS = 64
+FAR = 60
 OUTPUT_ROWS = 2048
 KNOWN_WORDS = 1 << 18
 TOKENS_AT_ONCE = 2_500_000
@@ -77,6 +79,7 @@ class Network:
         band = np.minimum((mass / max(mass[-1], 1) * WORD_CLASSES).astype(int), WORD_CLASSES - 1) if len(counts) else np.zeros(0, int)
         self.words, self.index = words, None
         self.edges = np.searchsorted(band, np.arange(WORD_CLASSES + 1))
+        self.numbers, self.widths = np.arange(WORD_CLASSES + 1), np.diff(self.edges)
         self.band = band.astype(np.int32)
         self.end_input = len(words)
         self.log_share = -np.log(shape_counts + 0.5 * (shape_words + 1))
@@ -93,10 +96,11 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def views(self, values: np.ndarray) -> dict[str, np.ndarray]:
-        """The parts of one vector, by parameter."""
-        ends = np.cumsum([v.size for v in self.p.values()])
-        return {k: values[end - v.size:end].reshape(v.shape) for (k, v), end in zip(self.p.items(), ends)}
+    def views(self, values: np.ndarray, names: Iterable[str] | None = None) -> dict[str, np.ndarray]:
+        """The parts of one vector, or of several in rows, by parameter."""
+        parts = {k: self.p[k] for k in names or self.p}
+        ends = np.cumsum([v.size for v in parts.values()])
+        return {k: values[..., end - v.size:end].reshape(*values.shape[:-1], *v.shape) for (k, v), end in zip(parts.items(), ends)}
 
     def load(self, values: np.ndarray) -> None:
         self.p = self.views(np.array(values, dtype=np.float32))
@@ -107,68 +111,103 @@ class Network:
             self.index = HashIndex(self.words)
         word = self.index.find(hashes)
         other = np.where(hashes == END, self.end_input, self.end_input + 1 + shapes)
-        inputs = np.where(word >= 0, word, other).astype(np.int32)
+        inputs = np.where(word >= 0, word, other).astype(np.min_scalar_type(self.end_input + SHAPES))
         classes = np.where(word >= 0, self.band[word] if len(self.band) else 0, other - self.end_input + WORD_CLASSES)
-        return inputs, classes.astype(np.int32)
-
-    def step(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        x, a = self.p["E"][inputs], h @ self.p["U"]
-        gates = x[:, :2 * HIDDEN] + a[:, :2 * HIDDEN]
-        np.negative(gates, out=gates)
+        return inputs, classes.astype(np.min_scalar_type(self.classes))
+
+    def columns(self, inputs: np.ndarray) -> np.ndarray:
+        """What the inputs add to the gates and the candidate, a column per input, the gates' part negated."""
+        x = _wide(3 * HIDDEN, len(inputs), self.p["E"].dtype)
+        x[:] = self.p["E"][inputs].T
+        np.negative(x[:2 * HIDDEN], out=x[:2 * HIDDEN])
+        return x
+
+    def step(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None, x: np.ndarray | None = None) -> np.ndarray:
+        """States after the inputs, of which ``x`` has the columns if they are at hand. A unit's values over
+        all texts lie side by side, so every part of the gates is one run of memory."""
+        x, h = self.columns(inputs) if x is None else x, h.T
+        a = self.p["U"].T @ h
+        gates = np.subtract(x[:2 * HIDDEN], a[:2 * HIDDEN])
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        z, r, inner = gates[:, :HIDDEN], gates[:, HIDDEN:], a[:, 2 * HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN:] + r * inner)
+        inner = a[2 * HIDDEN:]
+        n = gates[HIDDEN:] * inner
+        n += x[2 * HIDDEN:]
+        np.tanh(n, out=n)
         if keep is not None:
-            keep.append((inputs, h, z, r, n, inner))
-        return n + z * (h - n)
-
-    def outputs(self, h: np.ndarray, targets: np.ndarray, classes: np.ndarray, grads: dict | None = None):
-        """Log-probability of every target given its state, and with ``grads``, zeros that are filled, the slope
-        by the state."""
-        logits = h @ self.p["Wc"] + self.p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        rows = np.arange(len(h))
-        right = logits[rows, classes]
-        chances = np.exp(logits, out=logits)
-        total = chances.sum(axis=1)
-        out = (right - np.log(total)).astype(float)
-        slope = None
-        if grads is not None:
-            chances /= total[:, None]
-            chances[rows, classes] -= 1
-            np.matmul(h.T, chances, out=grads["Wc"])
-            chances.sum(axis=0, out=grads["bc"])
-            slope = chances @ self.p["Wc"].T
+            keep.append((inputs, h, gates, n, inner))
+        new = h - n
+        new *= gates[:HIDDEN]
+        new += n
+        return new.T
+
+    def outputs(self, h: np.ndarray, targets: np.ndarray, classes: np.ndarray, grads: dict | None = None) -> np.ndarray:
+        """Log-probability of every target given its state, a column of ``h``; with ``grads``, zeros that are
+        filled, the slope by the states instead."""
         order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(WORD_CLASSES + 1))
-        order = order[:cuts[-1]]
-        states, within = h[order], targets[order]
-        more = np.zeros(len(order))
-        slopes = None if grads is None else np.zeros_like(states)
-        for c in range(WORD_CLASSES):
-            lo, hi, a, b = self.edges[c], self.edges[c + 1], cuts[c], cuts[c + 1]
-            if a == b or hi - lo < 2:
-                continue
-            inner = states[a:b] @ self.p["Wo"][:, lo:hi]
-            inner += self.p["bo"][lo:hi]
-            inner -= inner.max(axis=1, keepdims=True)
-            own, mine = np.arange(b - a), within[a:b] - lo
-            right = inner[own, mine]
-            share = np.exp(inner, out=inner)
-            sums = share.sum(axis=1)
-            more[a:b] = right - np.log(sums)
-            if grads is not None:
-                share /= sums[:, None]
-                share[own, mine] -= 1
-                np.matmul(states[a:b].T, share, out=grads["Wo"][:, lo:hi])
-                share.sum(axis=0, out=grads["bo"][lo:hi])
-                np.matmul(share, self.p["Wo"][:, lo:hi].T, out=slopes[a:b])
-        out[order] += more
-        if grads is not None:
-            slope[order] += slopes
-        return out, slope
+        classes, targets, at = classes[order], targets[order], np.arange(len(order))
+        wc, wo = (np.concatenate([self.p[k], self.p[b][None]]) for k, b in (("Wc", "bc"), ("Wo", "bo")))
+        states = _wide(HIDDEN + 1, len(order), np.result_type(h, wc))
+        states[:-1], states[-1] = h.take(order, axis=1), 1
+        chances = np.matmul(wc.T, states, out=_wide(self.classes, len(order), states.dtype))
+        # The bands' tables, words by tokens, lie in one vector.
+        cuts = np.searchsorted(classes, self.numbers)
+        sizes, words = cuts[1:] - cuts[:-1], cuts[-1]
+        ends = np.cumsum(sizes * self.widths)
+        inner = np.empty(ends[-1], states.dtype)
+        begins, own = ends - sizes * self.widths, classes[:words]
+        bands = [(self.edges[c], self.edges[c + 1], cuts[c], cuts[c + 1], inner[begins[c]:ends[c]].reshape(-1, sizes[c]))
+                 for c in np.flatnonzero(sizes)]
+        for lo, hi, a, b, table in bands:
+            np.matmul(wo[:, lo:hi].T, states[:, a:b], out=table)
+        mine = (begins - cuts[:-1] - self.edges[:-1] * sizes)[own] + targets[:words] * sizes[own] + at[:words]
+        if grads is None:
+            out = chances[classes, at].astype(float)
+            out[:words] += inner[mine]
+        total, off = _exponentials([chances], chances)
+        sums, more = _exponentials([band[-1] for band in bands], inner)
+        if grads is None:
+            out -= off + np.log(total)
+            out[:words] -= more + np.log(sums)
+            logs = np.empty_like(out)
+            logs[order] = out
+            return logs
+        # Times the sums, a slope by a logit is its exponential, less the sum for the target's own.
+        chances[classes, at] -= total
+        inner[mine] -= sums
+        np.matmul(states / total, chances.T, out=grads["c"])
+        slope = self.p["Wc"] @ chances
+        slope /= total
+        slopes, states = _wide(HIDDEN, words, states.dtype), states[:, :words] / sums
+        for lo, hi, a, b, table in bands:
+            np.matmul(states[:, a:b], table.T, out=grads["o"][:, lo:hi])
+            np.matmul(wo[:-1, lo:hi], table, out=slopes[:, a:b])
+        slopes /= sums
+        slope[:, :words] += slopes
+        out = _wide(HIDDEN, len(order), states.dtype)
+        out[:, order] = slope
+        return out
+
+
+def _wide(*shape) -> np.ndarray:
+    """An empty array, of the shape and type given, whose rows do not lie a power of two apart, as these
+    would share few places of the cache."""
+    *shape, kind = shape
+    return np.empty((*shape[:-1], shape[-1] + 16), kind)[..., :shape[-1]]
+
+
+def _exponentials(tables: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Turns the tables, all parts of ``values``, into exponentials; the sums of their columns and what was
+    taken off the logarithms before, the columns' maxima, if any value is far from 0."""
+    off: np.ndarray | float = 0.0
+    if values.size and not (values.max() < FAR and values.min() > -FAR):
+        off = np.concatenate([table.max(axis=0) for table in tables])
+        for table in tables:
+            table -= table.max(axis=0)
+    np.exp(values, out=values)
+    ones = np.ones(max([0, *map(len, tables)]), values.dtype)
+    return np.concatenate([ones[:len(table)] @ table for table in tables] or [ones]), off
 
 
 def windows(starts: np.ndarray, lengths: np.ndarray, lanes: int, width: int):
@@ -186,51 +225,108 @@ def windows(starts: np.ndarray, lengths: np.ndarray, lanes: int, width: int):
 def train_on(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds: np.ndarray, memory: dict) -> None:
     """One pass of truncated backpropagation: every window of every text gives a gradient, and state runs
     on from window to window."""
-    starts, lengths = bounds[:-1], np.diff(bounds)
-    for fresh, group, begin, live in windows(starts, lengths, LANES, WINDOW):
+    for fresh, group, begin, live in windows(bounds[:-1], np.diff(bounds), LANES, WINDOW):
         if fresh:
             h = np.zeros((len(group), HIDDEN), dtype=np.float32)
+        before, targets, _ = _places(net, inputs, bounds, group, begin, live)
+        x, at = net.columns(before), 0
         keep: list = []
-        states, targets = [], []
-        for j, n in enumerate(live):
-            place = starts[group[:n]] + begin + j
-            before = inputs[place - 1] if begin + j else np.full(n, net.end_input, dtype=np.int32)
-            new = net.step(before, h[:n], keep)
-            h = new if n == len(h) else np.concatenate([new, h[n:]])
-            states.append(new)
-            targets.append(place)
-        _learn(net, keep, states, np.concatenate(targets), inputs, classes, memory)
+        states = []
+        for n in live:
+            h = net.step(before[at:at + n], h[:n], keep, x[:, at:at + n])
+            states.append(h)
+            at += n
+        _learn(net, keep, states, targets, inputs, classes, memory)
+
+
+def _places(net, inputs, bounds, group, begin, live) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, places and texts of a window's tokens, step after step."""
+    every = np.arange(live[0])
+    lane = np.concatenate([every[:n] for n in live])
+    texts = group[lane]
+    place = bounds[texts] + np.repeat(np.arange(begin, begin + len(live)), live)
+    before = inputs[place - 1]
+    if not begin:
+        before[:live[0]] = net.end_input
+    return before, place, texts
 
 
 def _learn(net, keep, states, targets, inputs, classes, memory) -> None:
     if not memory:
-        flat = np.zeros(sum(v.size for v in net.p.values()), net.p["E"].dtype)
-        memory.update(flat=flat, grads=net.views(flat), t=0, **{k: np.zeros((3, *v.shape), v.dtype) for k, v in net.p.items()})
+        values, table = net.flat(), net.p["E"]
+        net.p = net.views(values)
+        dense, values = [k for k in net.p if k != "E"], values[table.size:]
+        slopes, kept = np.zeros_like(values), np.zeros((3, len(values)), values.dtype)
+        # A layer's biases follow its weights, as one more row.
+        parts, layers = net.views(slopes, dense), np.split(slopes, [net.p["U"].size, net.p["U"].size + (HIDDEN + 1) * net.classes])
+        grads = {"U": parts["U"], "c": layers[1].reshape(HIDDEN + 1, -1), "o": layers[2].reshape(HIDDEN + 1, -1)}
+        memory.update(values=values, slopes=slopes, kept=kept, grads=grads, t=0,
+                      E=np.zeros((3, *table.shape), table.dtype), **net.views(kept, dense))
     grads = memory["grads"]
-    memory["flat"][:] = 0
-    _, slope = net.outputs(np.concatenate(states), inputs[targets], classes[targets], grads)
-    sizes = [len(s) for s in states]
-    places = np.concatenate([[0], np.cumsum(sizes)])
-    carried = np.zeros((sizes[0], HIDDEN), dtype=np.float32)
-    rows, slopes = [], []
-    for j in range(len(keep) - 1, -1, -1):
-        used, h, z, r, n, inner = keep[j]
-        dh = slope[places[j]:places[j + 1]] + carried[:sizes[j]]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz, dr = dh * (h - n) * z * (1 - z), dn * inner * r * (1 - r)
-        through = np.concatenate([dz, dr, dn * r], axis=1)
-        grads["U"] += h.T @ through
-        carried[:sizes[j]] = dh * z + through @ net.p["U"].T
-        rows.append(used)
-        slopes.append(np.concatenate([dz, dr, dn], axis=1))
-    rows, slopes = np.concatenate(rows), np.concatenate(slopes)
-    order = np.argsort(rows, kind="stable")
-    used, first = np.unique(rows[order], return_index=True)
-    grads["E"][used] = np.add.reduceat(slopes[order], first, axis=0)
-    memory["flat"] /= max(len(targets), FULL_STEP_TOKENS)  # a window of few texts is a small step
+    memory["slopes"][:] = 0
+    h, gates, n, inner = (np.concatenate([step[k] for step in keep], axis=1) for k in range(1, 5))
+    slope = net.outputs(np.concatenate([s.T for s in states], axis=1), inputs[targets], classes[targets], grads)
+    # What a slope by a state is times the slopes by gates, by the candidate's inner part and by the state before.
+    z, r = gates[:HIDDEN], gates[HIDDEN:]
+    rest = 1 - z
+    through = _wide(4, *n.shape, n.dtype)
+    np.subtract(h, n, out=through[0])
+    through[0] *= z
+    through[0] *= rest
+    candidate = n * n
+    np.subtract(1, candidate, out=candidate)
+    candidate *= rest
+    np.multiply(candidate, r, out=through[2])
+    np.subtract(1, r, out=through[1])
+    through[1] *= through[2]
+    through[1] *= inner
+    through[3] = z
+    back = np.concatenate([net.p["U"], np.eye(HIDDEN, dtype=n.dtype)], axis=1)
+    flow = through.base.reshape(4 * HIDDEN, -1)[:, :n.shape[1]]
+    at, carried = n.shape[1], None
+    for state in reversed(states):
+        to, at = at, at - len(state)
+        own = slope[:, at:to]
+        if carried is not None:
+            own[:, :carried.shape[1]] += carried
+        through[:, :, at:to] *= own
+        carried = back @ flow[:, at:to]
+    np.matmul(h, flow[:3 * HIDDEN].T, out=grads["U"])
+    candidate *= slope
+    rows = np.concatenate([step[0] for step in keep])
+    seen = np.zeros(len(net.p["E"]), dtype=bool)
+    seen[rows] = True
+    used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[rows]
+    slopes, sums = np.empty((len(rows), 3 * HIDDEN), n.dtype), np.zeros((len(used), 3 * HIDDEN), n.dtype)
+    slopes[:, :2 * HIDDEN], slopes[:, 2 * HIDDEN:] = flow[:2 * HIDDEN].T, candidate.T
+    np.add.at(sums.reshape(-1), (place[:, None] * (3 * HIDDEN) + np.arange(3 * HIDDEN)).reshape(-1), slopes.reshape(-1))
+    scale = max(len(targets), FULL_STEP_TOKENS)  # a window of few texts is a small step
+    memory["slopes"] /= scale
     memory["t"] += 1
-    for k, value in net.p.items():
-        _descend(value.reshape(-1), grads[k].reshape(-1), memory[k].reshape(3, -1), memory["t"])
+    _descend_rows(net.p["E"], used, sums / scale, memory["E"], memory["t"])
+    _descend(memory["values"], memory["slopes"], memory["kept"], memory["t"])
+
+
+def _descend_rows(value: np.ndarray, used: np.ndarray, g: np.ndarray, kept: np.ndarray, t: int) -> None:
+    """One step of Adam for a table of which only the rows ``used`` have slopes. All rows move, as in the
+    plain formula; but the means, kept up to powers of their decay, and the root change in these rows alone."""
+    m, v, root = kept
+    since = (t - 1) % SCALED_STEPS
+    if t > 1 and not since:
+        m *= 0.9 ** SCALED_STEPS
+        v *= 0.99 ** SCALED_STEPS
+        root *= 0.99 ** (SCALED_STEPS / 2)
+    m[used] += g * (0.1 / 0.9 ** since)
+    v[used] += g * g * (0.01 / 0.99 ** since)
+    root[used] = np.sqrt(v[used])
+    size = 0.99 ** (since / 2) / (1 - 0.99 ** t) ** 0.5
+    rate = RATE * 0.9 ** since / (1 - 0.9 ** t) / size
+    value, m, root = value.reshape(-1), m.reshape(-1), root.reshape(-1)
+    for at in range(0, len(value), STEP_VALUES):
+        d = root[at:at + STEP_VALUES] + 1e-6 / size
+        np.divide(m[at:at + STEP_VALUES], d, out=d)
+        d *= rate
+        value[at:at + STEP_VALUES] -= d
 
 
 def _descend(value: np.ndarray, g: np.ndarray, kept: np.ndarray, t: int) -> None:
@@ -256,25 +352,21 @@ def _descend(value: np.ndarray, g: np.ndarray, kept: np.ndarray, t: int) -> None
 def score_tokens(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log-probability of every text under the network, words of shape classes up to their
     smoothed share; state is carried from a text's first token to its last."""
-    starts, lengths = bounds[:-1], np.diff(bounds)
-    total = np.zeros(len(lengths))
-    for fresh, group, begin, live in windows(starts, lengths, SCORE_LANES, SCORE_WINDOW):
+    total = np.zeros(len(bounds) - 1)
+    for fresh, group, begin, live in windows(bounds[:-1], np.diff(bounds), SCORE_LANES, SCORE_WINDOW):
         if fresh:
             h = np.zeros((len(group), HIDDEN), dtype=np.float32)
-        states, targets, texts = [], [], []
-        for j, n in enumerate(live):
-            place = starts[group[:n]] + begin + j
-            before = inputs[place - 1] if begin + j else np.full(n, net.end_input, dtype=np.int32)
-            h = net.step(before, h[:n])
-            states.append(h)
-            targets.append(place)
-            texts.append(group[:n])
-        at = np.concatenate(targets)
-        state = np.concatenate(states)
+        before, at, texts = _places(net, inputs, bounds, group, begin, live)
+        states, done = [], 0
+        for n in live:
+            h = net.step(before[done:done + n], h[:n])
+            states.append(h.T)
+            done += n
+        state = np.concatenate(states, axis=1)
         # In pieces that stay in the cache.
-        logs = np.concatenate([net.outputs(state[k:k + OUTPUT_ROWS], inputs[at[k:k + OUTPUT_ROWS]], classes[at[k:k + OUTPUT_ROWS]])[0]
+        logs = np.concatenate([net.outputs(state[:, k:k + OUTPUT_ROWS], inputs[at[k:k + OUTPUT_ROWS]], classes[at[k:k + OUTPUT_ROWS]])
                                for k in range(0, len(at), OUTPUT_ROWS)])
-        total += np.bincount(np.concatenate(texts), logs, len(total))
+        total += np.bincount(texts, logs, len(total))
     return total
 
 

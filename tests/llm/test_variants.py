@@ -114,3 +114,57 @@ def test_descent_in_pieces_is_the_plain_formula():
         plain -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
         _descend(value, g.copy(), kept, t)
     assert np.array_equal(value, plain)
+
+
+def test_descent_by_rows_is_the_plain_formula():
+    import numpy as np
+
+    from returnlens.llm.recurrent import RATE, SCALED_STEPS, _descend_rows
+
+    random = np.random.default_rng(2)
+    value, kept = random.standard_normal((50, 6)), np.zeros((3, 50, 6))
+    plain, m, v = value.copy(), np.zeros_like(value), np.zeros_like(value)
+    for t in range(1, 2 * SCALED_STEPS + 9):
+        used = np.flatnonzero(random.random(50) < (0.1 if t % 7 else 0.9))
+        used = used[used != 3]  # a row without any slope stays as it is
+        g = np.zeros_like(value)
+        g[used] = random.standard_normal((len(used), 6))
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        plain -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
+        _descend_rows(value, used, g[used], kept, t)
+        assert np.allclose(value, plain, rtol=1e-9, atol=1e-12), t
+
+
+def test_outputs_near_and_far_from_zero():
+    import numpy as np
+
+    from returnlens.llm import recurrent
+
+    random = np.random.default_rng(4)
+    words = np.sort(random.integers(1, 1 << 62, 90, dtype=np.uint64))
+    net = recurrent.Network(words, np.sort(random.integers(2, 90, 90))[::-1].astype(float), 9, np.full(51, 3.0), np.full(51, 2.0))
+    start = net.p
+    hashes = np.concatenate([random.choice(words, 60), [recurrent.END], random.integers(0, 9, 5, dtype=np.uint64)])
+    inputs, classes = net.number(hashes, random.integers(0, 51, len(hashes)))
+    for factor in (1, 3000):
+        net.p = {k: random.standard_normal(v.shape) * (0.3 if factor == 1 or k[0] != "W" else factor) for k, v in start.items()}
+        h = np.tanh(random.standard_normal((recurrent.HIDDEN, len(inputs))))
+        logits, inner = h.T @ net.p["Wc"] + net.p["bc"], h.T @ net.p["Wo"] + net.p["bo"]
+        want = np.empty(len(inputs))
+        for i, (word, c) in enumerate(zip(inputs.tolist(), classes.tolist())):
+            want[i] = logits[i, c] - np.logaddexp.reduce(logits[i])
+            if c < recurrent.WORD_CLASSES:
+                band = inner[i, net.edges[c]:net.edges[c + 1]]
+                want[i] += band[word - net.edges[c]] - np.logaddexp.reduce(band)
+        assert np.allclose(net.outputs(h, inputs, classes), want, rtol=1e-9)
+        near = np.abs(inner).max() < recurrent.FAR
+        assert near == (factor == 1)
+        grads = {"c": np.zeros((recurrent.HIDDEN + 1, net.classes)), "o": np.zeros((recurrent.HIDDEN + 1, len(words)))}
+        slope = net.outputs(h, inputs, classes, grads)
+        assert np.isfinite(slope).all() and all(np.isfinite(g).all() for g in grads.values())
+        if near:
+            for unit in range(3):
+                moved = h.copy()
+                moved[unit] += 1e-6
+                assert np.allclose((want - net.outputs(moved, inputs, classes)) / 1e-6, slope[unit], atol=1e-4)
