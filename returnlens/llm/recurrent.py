@@ -19,7 +19,7 @@ WINDOW = 16
 LANES = 64
 FULL_STEP_TOKENS = 512
 SCORE_WINDOW = 64
-SCORE_LANES = 1024
+SCORE_LANES = 1008
 MODEL_WORDS = 1024
 WORD_CLASSES = 16
 SHAPES = 51
@@ -30,6 +30,7 @@ FAR = 60
 OUTPUT_ROWS = 2048
 KNOWN_WORDS = 1 << 18
 TOKENS_AT_ONCE = 2_500_000
+TEXT_BYTES = 1 << 18
 END = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -115,10 +116,18 @@ class Network:
         classes = np.where(word >= 0, self.band[word] if len(self.band) else 0, other - self.end_input + WORD_CLASSES)
         return inputs, classes.astype(np.min_scalar_type(self.classes))
 
+    def table(self) -> np.ndarray:
+        """What every input adds to the gates and the candidate, a column per input, the gates' part negated."""
+        out = _wide(3 * HIDDEN, len(self.p["E"]), self.p["E"].dtype)
+        np.negative(self.p["E"][:, :2 * HIDDEN].T, out=out[:2 * HIDDEN])
+        out[2 * HIDDEN:] = self.p["E"][:, 2 * HIDDEN:].T
+        return out.base
+
     def columns(self, inputs: np.ndarray) -> np.ndarray:
-        """What the inputs add to the gates and the candidate, a column per input, the gates' part negated."""
-        x = _wide(3 * HIDDEN, len(inputs), self.p["E"].dtype)
-        x[:] = self.p["E"][inputs].T
+        """The inputs' columns of the table, which is made where there are more inputs than half its columns."""
+        if 2 * len(inputs) > len(self.p["E"]):
+            return self.table().take(np.concatenate([inputs, inputs[:16]]), axis=1)[:, :len(inputs)]
+        x = np.ascontiguousarray(self.p["E"][inputs].T)
         np.negative(x[:2 * HIDDEN], out=x[:2 * HIDDEN])
         return x
 
@@ -352,14 +361,15 @@ def _descend(value: np.ndarray, g: np.ndarray, kept: np.ndarray, t: int) -> None
 def score_tokens(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log-probability of every text under the network, words of shape classes up to their
     smoothed share; state is carried from a text's first token to its last."""
-    total = np.zeros(len(bounds) - 1)
+    total, table = np.zeros(len(bounds) - 1), net.table()
     for fresh, group, begin, live in windows(bounds[:-1], np.diff(bounds), SCORE_LANES, SCORE_WINDOW):
         if fresh:
             h = np.zeros((len(group), HIDDEN), dtype=np.float32)
         before, at, texts = _places(net, inputs, bounds, group, begin, live)
         states, done = [], 0
         for n in live:
-            h = net.step(before[done:done + n], h[:n])
+            now = before[done:done + n]
+            h = net.step(now, h[:n], None, table.take(now, axis=1))
             states.append(h.T)
             done += n
         state = np.concatenate(states, axis=1)
@@ -373,7 +383,7 @@ def score_tokens(net: Network, inputs: np.ndarray, classes: np.ndarray, bounds:
 def _token_groups(batches: Iterator[pa.RecordBatch], column: int):
     """Tokens of many rows at a time: (their other columns, hashes, shapes, bounds)."""
     held, parts, size = [], [], 0
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", TEXT_BYTES):
         held.append(batch.drop_columns(["text"]))
         parts.append(tokens_of(batch.column(column)))
         size += len(parts[-1][0])

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 16
 _random = np.random.default_rng(20240607)
 TABLE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -70,15 +71,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hash of data[start:end] of every run, in pieces of bounded memory."""
+    """64-bit hash of data[start:end] of every run, in pieces that stay in the cache."""
     out = np.empty(len(starts), dtype=np.uint64)
     table = TABLE[LOWER] if lower else TABLE
     lengths = ends - starts
     total = np.concatenate([[0], np.cumsum(lengths)])
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(total, total[at] + CHUNK_BYTES, side="right")) - 1)
-        if to == at + 1 and lengths[at] > CHUNK_BYTES:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PIECE_BYTES, side="right")) - 1)
+        if to == at + 1 and lengths[at] > PIECE_BYTES:
             out[at] = _long_hash(data[starts[at]:ends[at]], table)
         else:
             span = table[data[starts[at]:ends[to - 1]]]

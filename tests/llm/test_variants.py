@@ -168,3 +168,20 @@ def test_outputs_near_and_far_from_zero():
                 moved = h.copy()
                 moved[unit] += 1e-6
                 assert np.allclose((want - net.outputs(moved, inputs, classes)) / 1e-6, slope[unit], atol=1e-4)
+
+
+def test_hashes_of_runs_longer_than_a_piece():
+    import numpy as np
+    import pyarrow as pa
+
+    from returnlens.llm import words
+
+    random = np.random.default_rng(6)
+    assert words.PIECE_BYTES <= 1 << 17  # a piece's numbers, eight bytes a byte of text, have to stay in the cache
+    texts = ["".join(map(chr, random.integers(97, 123, n))) for n in (1, 5, 700, words.PIECE_BYTES, words.PIECE_BYTES + 1, 3 * words.PIECE_BYTES)]
+    got, bounds = words.word_hashes(pa.array([" ".join(texts * 2), None, *texts]))
+    assert got[:6].tolist() == got[6:12].tolist() == got[12:].tolist() and bounds.tolist() == [0, 12, 12, *range(13, 19)]
+    for text, h in zip(texts, got):
+        data = np.frombuffer(text.encode(), np.uint8)
+        total = (words.TABLE[data] * words.powers(len(data))).sum(dtype=np.uint64)
+        assert h == words.mix(total[None] ^ (np.array([len(data)], np.uint64) * words.MIX_B))[0]
