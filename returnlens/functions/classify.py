@@ -12,7 +12,8 @@ from collections.abc import Mapping
 
 from returnlens.functions import rules
 from returnlens.functions.sqltext import Ref, Stage, case, contains_any, text, text_list
-from returnlens.functions.text import fold, has_negation, mask_stages, matches_any, matches_prefix, strip
+from returnlens.functions.marks import LOWERED, MaskedMarks, Marks, marks_stages
+from returnlens.functions.text import Text, fold_lowered, has_negation, marked_mask_stages, matches_any, matches_prefix, strip
 
 # Positions in the label table: the rules, then the two outcomes without a rule.
 UNCATEGORISED_INDEX = len(rules.SEMANTIC_RULES)
@@ -80,10 +81,10 @@ def _positions(predicate) -> str:
     return ", ".join(str(i) for i, row in enumerate(_label_rows()) if predicate(dict(zip(LABEL_FIELDS, row))))
 
 
-def semantic_index(clean: str, scanned: str, folded: str, code: str) -> str:
+def semantic_index(clean: str, scanned: str, folded: Marks, code: str) -> str:
     """Position of the semantic rule of a stripped message: first pattern hit, else by code.
 
-    ``scanned`` holds the raw and the masked message, ``folded`` is its case-folded form.
+    ``scanned`` holds the raw and the masked message, ``folded`` tells what its case-folded form holds.
     """
     by_code: dict[str, list[int]] = {}
     for i, rule in enumerate(rules.SEMANTIC_RULES):
@@ -101,7 +102,7 @@ def semantic_index(clean: str, scanned: str, folded: str, code: str) -> str:
     return case(branches, str(UNCATEGORISED_INDEX))
 
 
-def context_index(clean: str, folded: str, negated: str, code: str, functionality: str) -> str:
+def context_index(clean: str, folded: Marks, negated: str, code: str, functionality: str) -> str:
     """Position of the first contextual rule that matches functionality, code and message, or NULL."""
     branches = []
     for i, rule in enumerate(rules.CONTEXT_RULES):
@@ -115,11 +116,12 @@ def context_index(clean: str, folded: str, negated: str, code: str, functionalit
     return case(branches)
 
 
-def success_text(lowered: str, functionality: str) -> str:
-    """Lookup hit or success wording in a lower-cased message."""
+def success_text(lowered: str, functionality: str, held: Marks | None = None) -> str:
+    """Lookup hit or success wording in a lower-cased message; ``held`` tells what it holds, where that is known."""
+    held = held or Text(lowered)
     lookup = contains_any(f"lower({functionality})", rules.LOOKUP_FUNCTIONALITIES)
-    worded = matches_any(lowered, lowered, rules.SUCCESS_PATTERNS)
-    return f"(({contains_any(lowered, rules.LOOKUP_HITS)} AND {lookup}) OR {worded})"
+    worded = matches_any(lowered, held, rules.SUCCESS_PATTERNS)
+    return f"(({held.words(rules.LOOKUP_HITS)} AND {lookup}) OR {worded})"
 
 
 # What decides a result, in order of precedence: the outcomes without and with a rule table.
@@ -156,16 +158,16 @@ def outcome_index(r: Ref, functionality: str) -> str:
         positions = ", ".join(str(i) for i, c in enumerate(rules.CONTEXT_RULES) if c.outcome in results)
         return f"{r('contexto')} IN ({positions})"
 
-    low, clean, code = r("minuscula"), r("limpa"), r("codigo_limpo")
+    clean, code, held = r("limpa"), r("codigo_limpo"), Marks(r, LOWERED)
     semantic, context = r("semantica"), r("contexto")
     branches = [
-        (f"{code} = {text(rules.SERVER_ERROR_CODE)} OR {contains_any(low, rules.SERVER_ERROR_WORDS)}", at(_SERVER_ERROR)),
+        (f"{code} = {text(rules.SERVER_ERROR_CODE)} OR {held.words(rules.SERVER_ERROR_WORDS)}", at(_SERVER_ERROR)),
         (context_in(*rules.TECHNICAL_RESULTS), context),
     ]
     for i, group in enumerate(rules.KEYWORD_GROUPS):
-        hit = contains_any(low, group.keywords)
+        hit = held.words(group.keywords)
         if group.technical_type == rules.JAVA_OBJECT_GROUP:
-            hit = f"({hit} OR {matches_any(clean, clean, (rules.JAVA_OBJECT,))})"
+            hit = f"({hit} OR {matches_any(clean, held, (rules.JAVA_OBJECT,))})"
         branches.append((hit, str(first_group + i)))
     system = _positions(lambda row: row["categoria"] == rules.EMPTY_GUIDANCE_CATEGORY)
     if system:
@@ -173,7 +175,7 @@ def outcome_index(r: Ref, functionality: str) -> str:
     integration = _positions(lambda row: row["categoria"] in rules.INTEGRATION_CATEGORIES)
     success = _positions(lambda row: row["categoria"] == "SUCESSO")
     confirmed = (f"{semantic} IN ({success}) OR coalesce({context_in('SUCESSO')}, false)"
-                 f" OR ({clean} != '' AND {success_text(low, functionality)})")
+                 f" OR ({clean} != '' AND {success_text(r('minuscula'), functionality, held)})")
     branches += [
         (f"{semantic} IN ({integration})", at(_INTEGRATION)),
         (f"{code} IN ({text_list(rules.SUCCESS_CODES)})", at(_SUCCESS)),
@@ -186,12 +188,14 @@ def outcome_index(r: Ref, functionality: str) -> str:
 
 
 def prepare_stages() -> list[Stage]:
-    """Stripped, lowered, folded and masked forms of a message."""
+    """Stripped, lowered and masked forms of a message, and the marks of its folded and its lowered form."""
     return [
         lambda r: {"limpa": strip(r("mensagem")), "codigo_limpo": strip(r("codigo"))},
-        lambda r: {"minuscula": f"lower({r('limpa')})", "dobrada": fold(r("limpa"))},
-        lambda r: {"negada": has_negation(r("minuscula"))},
-        *mask_stages("limpa", "mascara", "dobrada"),
+        lambda r: {"minuscula": f"lower({r('limpa')})"},
+        lambda r: {"dobrada": fold_lowered(r("limpa"), r("minuscula"))},
+        *marks_stages("dobrada", "minuscula"),
+        lambda r: {"negada": has_negation(Marks(r, LOWERED))},
+        *marked_mask_stages("limpa", "mascara"),
     ]
 
 
@@ -202,8 +206,7 @@ def semantic_stages() -> list[Stage]:
     """
     return [
         lambda r: {"varrida": f"if({r('limpa')} = {r('mascara')}, {r('limpa')}, concat({r('limpa')}, '\\n', {r('mascara')}))"},
-        lambda r: {"varrida_dobrada": fold(r("varrida"))},
-        lambda r: {"semantica": semantic_index(r("limpa"), r("varrida"), r("varrida_dobrada"), r("codigo_limpo"))},
+        lambda r: {"semantica": semantic_index(r("limpa"), r("varrida"), MaskedMarks(r, r("mascara")), r("codigo_limpo"))},
     ]
 
 
@@ -211,7 +214,7 @@ def context_stages(functionality: str = "funcionalidade") -> list[Stage]:
     """Position of the contextual rule."""
     function = strip(functionality)
     return [
-        lambda r: {"contexto": context_index(r("limpa"), r("dobrada"), r("negada"), r("codigo_limpo"), function)}
+        lambda r: {"contexto": context_index(r("limpa"), Marks(r), r("negada"), r("codigo_limpo"), function)}
     ]
 
 
@@ -264,7 +267,7 @@ def is_success_message(message: str, code: str, functionality: str) -> str:
     """Whether a message without negation confirms success by code, lookup hit or wording."""
     low = strip(f"lower({message})")
     by_code = f"coalesce({strip(code)} IN ({text_list(rules.SUCCESS_CODES)}), false)"
-    return (f"(coalesce({message}, '') != '' AND NOT {has_negation(low)} AND ({by_code} OR "
+    return (f"(coalesce({message}, '') != '' AND NOT {has_negation(Text(low))} AND ({by_code} OR "
             f"{success_text(low, f'''coalesce({functionality}, '')''')}))")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from returnlens.functions import rules
+from returnlens.functions.marks import Marks
 from returnlens.functions.regex import java_regex
-from returnlens.functions.sqltext import Ref, Stage, each, keep, struct, text
+from returnlens.functions.sqltext import Ref, Stage, each, struct, text
 from returnlens.functions.text import fold, required_word
 
 KINDS = tuple(rule.kind for rule in rules.ENTITY_RULES)
@@ -36,18 +37,38 @@ def _distinct(found: str, kind: str) -> str:
     return f"array_distinct({each(found, clean) if rule.strip else found})"
 
 
+# The shapes of numbers that the pattern of a kind needs, and a word where the pattern does not tell.
+_SHAPES = {"CEP": ("postcode", "run8"), "PLACA": ("plate",), "RNTRC": ("run8_12",), "CPF": ("cpf", "run11"), "CNPJ": ("cnpj", "run14"),
+           "CIOT": ("run12_16",), "EIXOS": ("digit",), "MUNICIPIO": ("run7",)}
+_WORDS = {"EIXOS": "eixo"}
+
+
 def matches_stage(condition: Ref) -> Stage:
-    """A column per kind, ``achado_<kind>``, of what its pattern finds in a message under a condition; each pattern
-    needs a digit, so a message without one is not scanned."""
-    return lambda r: {f"achado_{k}": f"if({condition(r)} AND {r('mascara_digito')}, {matches(r('mensagem'), k, r('dobrada'))}, CAST(array() AS ARRAY<STRING>))"
-                      for k in KINDS}
+    """A column per kind, ``achado_<kind>``, of what its pattern finds in a message under a condition; its
+    marks tell which messages are to be scanned at all."""
+
+    def found(r: Ref, rule: rules.EntityRule) -> str:
+        own, kind = Marks(r), rule.kind
+        needed = [condition(r), own.shapes(*_SHAPES[kind])]
+        if kind in _WORDS:
+            needed.append(own.words((_WORDS[kind],)))
+        if rule.pattern.startswith("(?i)"):
+            needed.append(own.pattern(rule.pattern))
+        scan = f"regexp_extract_all({r('mensagem')}, {text(java_regex(rule.pattern))}, 0)"
+        return f"if({' AND '.join(needed)}, {scan}, CAST(array() AS ARRAY<STRING>))"
+
+    return lambda r: {f"achado_{rule.kind}": found(r, rule) for rule in rules.ENTITY_RULES}
 
 
 def found_stage(r: Ref) -> dict[str, str]:
     """``achados``, ``array<struct<tipo, valores>>`` of every kind that was found."""
-    kinds = ", ".join(struct(tipo=text(k), valores=_distinct(r(f"achado_{k}"), k)) for k in KINDS)
-    some = " OR ".join(f"size({r(f'achado_{k}')}) > 0" for k in KINDS)
-    return {"achados": f"if({some}, {keep(f'array({kinds})', lambda k: f'size({k}.valores) > 0')}, CAST(array() AS {FOUND_TYPE}))"}
+    none = f"CAST(array() AS {FOUND_TYPE})"
+
+    def one(kind: str) -> str:
+        found = r(f"achado_{kind}")
+        return f"if(size({found}) > 0, array({struct(tipo=text(kind), valores=_distinct(found, kind))}), {none})"
+
+    return {"achados": f"concat({', '.join(one(k) for k in KINDS)})"}
 
 
 def entity_rows(found: str, rejection_id: str) -> str:

@@ -15,12 +15,14 @@ _BREAK = re.compile(r"\[[^\]]*\](?:[*+?]|\{[\d,]+\})?|\\[a-zA-Z](?:[*+?]|\{[\d,]
 
 # A Unicode word boundary costs more than the character behind it, which it needs in any case.
 _BEFORE_DIGIT = re.compile(r"(?<!\\)\\b(?=\(?\\d(?![*?]|\{0))")
+_BEFORE_LETTER = re.compile(r"(?<!\\)\\b(?=([A-Za-z])(?![*?]|\{0))")
 _BEFORE_PLATE = re.compile(r"(?<!\\)\\b(?=(?:\(\?:)?\[A-Za-z\]\{3\}\[- \]\?\[0-9\])")
 
 
 def _cheap_first(pattern: str) -> str:
     """The same pattern, with a look at what must follow before each boundary: both take no characters,
     so their order does not matter."""
+    pattern = _BEFORE_LETTER.sub(lambda m: rf"(?={m[1]})\b", pattern) if "|" not in pattern else pattern
     return _BEFORE_PLATE.sub(r"(?=[A-Za-z]{2,3}[- ]?[0-9])\\b", _BEFORE_DIGIT.sub(r"(?=\\d)\\b", pattern))
 
 
@@ -65,3 +67,16 @@ def required_words(pattern: str) -> tuple[str, ...] | None:
 def is_plain(pattern: str) -> bool:
     """Whether the pattern is nothing but letters, digits, blanks and underscores."""
     return re.fullmatch(r"(?:\(\?i\))?[\w ]+", pattern) is not None
+
+
+# Two alternatives within a word, with the letters around them.
+_CHOICE = re.compile(r"(?<![\\\w])([^\W\d_]*)\(\?:([^()|\\\[]*)\|([^()|\\\[]*)\)(?![*+?{])([^\W\d_]*)(?![*?{])")
+
+
+def required_alternatives(pattern: str) -> list[tuple[str, ...]]:
+    """Lists of texts; every match of the pattern contains one of each list, in lower case."""
+    body = pattern.removeprefix(IGNORE_CASE)
+    words = [(w,) for w in required_words(pattern) or () if len(w) > 1 or not w.isalnum()]
+    choices = [tuple((before + c + behind).lower() for c in (a, b)) for before, a, b, behind in _CHOICE.findall(body)] if words else []
+    own = [w for w in words if not any(all(w[0] in c for c in choice) for choice in choices)]
+    return list(dict.fromkeys([*own, *(c for c in choices if min(map(len, c)) > 1)]))

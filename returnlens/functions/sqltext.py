@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 Ref = Callable[[str], str]
-# A stage maps a reference to what it adds (or replaces): name -> expression.
-Stage = Callable[[Ref], dict[str, str]]
+# A stage maps a reference to what it adds (or replaces): name -> expression, as text or, for functions without a
+# name, as columns.
+Stage = Callable[[Ref], "dict[str, str | Column]"]
 
 _names = count()
 
@@ -69,6 +70,9 @@ def run_on_table(df: DataFrame, stages: Iterable[Stage]) -> DataFrame:
     for stage in stages:
         added = stage(lambda name: f"`{name}`")
         columns = [c for c in columns if c.strip("`") not in added]
-        df = df.selectExpr(*columns, *(f"{value} AS `{name}`" for name, value in added.items()))
+        if all(isinstance(value, str) for value in added.values()):
+            df = df.selectExpr(*columns, *(f"{value} AS `{name}`" for name, value in added.items()))
+        else:
+            df = df.select(*columns, *(value.alias(name) for name, value in added.items()))
         columns += [f"`{name}`" for name in added]
     return df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from returnlens.functions import rules
+from returnlens.functions.marks import Marks
 from returnlens.functions.regex import is_plain, java_any, java_regex, java_replacement, required_words
 from returnlens.functions.sqltext import (
     Ref,
@@ -40,9 +41,30 @@ def fold(value: str) -> str:
     return f"lower(if({contains_any(value, 'İıſ')}, {odd}, {value}))"
 
 
-def has_negation(lowered: str) -> str:
+def fold_lowered(value: str, lowered: str) -> str:
+    """``fold(value)`` where ``lower(value)`` is at hand."""
+    return f"if({contains_any(value, 'İıſ')}, {fold(value)}, {lowered})"
+
+
+class Text:
+    """What a folded or lowered text holds, asked word by word; ``Marks`` has the answers ready."""
+
+    def __init__(self, folded: str) -> None:
+        self.folded = folded
+
+    def words(self, words: Iterable[str]) -> str:
+        """Whether one of the words occurs."""
+        return contains_any(self.folded, words)
+
+    def pattern(self, pattern: str) -> str:
+        """What every match of a pattern needs."""
+        word = required_word(pattern)
+        return "true" if word is None else self.words((word,))
+
+
+def has_negation(lowered: Text | Marks) -> str:
     """Whether a lower-cased message holds a word that rules success out."""
-    return contains_any(lowered, rules.NEGATIONS)
+    return lowered.words(rules.NEGATIONS)
 
 
 def required_word(pattern: str) -> str | None:
@@ -51,20 +73,20 @@ def required_word(pattern: str) -> str | None:
     return max(words, key=len, default=None)
 
 
-def matches_any(value: str, folded: str, patterns: Iterable[str]) -> str:
-    """Whether one of the patterns is found anywhere; ``folded`` is ``fold(value)``.
+def matches_any(value: str, folded: Text | Marks, patterns: Iterable[str]) -> str:
+    """Whether one of the patterns is found anywhere; ``folded`` tells what ``fold(value)`` holds.
 
     Case-insensitive plain words need no pattern at all, and the others run, as one
-    alternation, only on a text that holds a word one of them requires.
+    alternation, only on a text that holds what one of them requires.
     """
     patterns = tuple(patterns)
     plain = [p.removeprefix(IGNORE_CASE) for p in patterns if is_plain(p) and p.startswith(IGNORE_CASE)]
     others = [p for p in patterns if not (is_plain(p) and p.startswith(IGNORE_CASE))]
-    hits = [contains_any(folded, plain)] if plain else []
+    hits = [folded.words(plain)] if plain else []
     if others:
-        words = dict.fromkeys(required_word(p) for p in others)
+        needed = dict.fromkeys(folded.pattern(p) for p in others)
         found = rlike(value, java_any(others))
-        hits.append(found if None in words else f"({contains_any(folded, words)} AND {found})")
+        hits.append(found if "true" in needed else f"({any_of(needed)} AND {found})")
     return any_of(hits)
 
 
@@ -87,15 +109,47 @@ def _substitution(column: str, steps: tuple[tuple[str, str], ...], condition: Re
     return lambda r: {column: f"if({condition(r)}, {_replace(r(column), steps)}, {r(column)})"}
 
 
-def mask_stages(source: str, target: str, folded: str | None = None) -> list[Stage]:
+# A run that is one blank already is not touched.
+_BLANKS = java_regex(f"(?: {ANY_SPACE}|(?! ){ANY_SPACE}){ANY_SPACE}*")
+
+
+def marked_mask_stages(source: str, target: str) -> list[Stage]:
+    """``mask_stages`` where marks tell what ``fold(source)`` holds: each pattern runs where its own words
+    and shapes may be. No pattern of numbers cuts a run of digits, so what is left of them has the shapes of the source."""
+    shapes = ((rules.MASK_DATES, ("date_slash",), ("date_dash",)), (rules.MASK_PLATE, ("plate",)), (rules.MASK_FORMATTED, ("cnpj",), ("cpf",)),
+              (rules.MASK_LONG_NUMBERS, ("run14",), ("run11",)), (rules.MASK_LABELLED, ("digit",)), (rules.MASK_BARE, ("run8_12",)),
+              (rules.MASK_POSTCODES, ("postcode",), ("run8",)), (rules.MASK_PROTOCOL, ()), (rules.MASK_AMOUNTS, ("comma",), ("point",)))
+
+    def one(step: tuple[str, str], wanted: tuple[str, ...]) -> Stage:
+        def condition(r: Ref) -> str:
+            needed = [Marks(r).shapes(*wanted)] if wanted else []
+            return " AND ".join([*needed, Marks(r).pattern(step[0])]) if step[0].startswith(IGNORE_CASE) or not needed else needed[0]
+
+        return _substitution(target, (step,), condition)
+
+    def twice(step: tuple[str, str]) -> Stage:
+        mark = text(step[1])
+        return _substitution(target, (step,), lambda r: f"contains({r(target)}, {mark}) AND substring_index({r(target)}, {mark}, 2) != {r(target)}")
+
+    return [
+        lambda r: {target: r(source)},
+        _substitution(target, rules.MASK_OBJECTS, lambda r: Marks(r).words("@")),
+        _substitution(target, rules.MASK_PREFIX, lambda r: Marks(r).pattern(rules.MASK_PREFIX[0][0])),
+        *(one(step, wanted) for steps, *each_wanted in shapes for step, wanted in zip(steps, each_wanted, strict=True)),
+        *(twice(step) for step in rules.MASK_LISTS),
+        lambda r: {target: f"trim(if({Marks(r).shapes('blanks')}, regexp_replace({r(target)}, {text(_BLANKS)}, ' '), {r(target)}))"},
+    ]
+
+
+def mask_stages(source: str, target: str) -> list[Stage]:
     """Template of a stripped message: identifiers, dates and amounts become placeholders.
 
     The substitutions keep their order; they are grouped only under conditions that all members
     of a group need. Placeholders hold no digit and, with their braces, join no letters to a word, so the
-    digits and words that a pattern needs are looked for once, in the source; ``folded`` names the
-    column of ``fold(source)``, which is added where it is not there yet. ``<target>_digito`` is added too.
+    digits and words that a pattern needs are looked for once, in the source. The columns ``<target>_dobrada``,
+    ``fold(source)``, and ``<target>_digito`` are added too.
     """
-    low, some_digit = folded or f"{target}_dobrada", f"{target}_digito"
+    low, some_digit = f"{target}_dobrada", f"{target}_digito"
     digit, eight, code = (text(java_regex(p)) for p in (r"\d", r"\d{8}", r"\d-\d|\d{8}"))
 
     def word(steps: tuple[tuple[str, str], ...]) -> Ref:
@@ -105,7 +159,7 @@ def mask_stages(source: str, target: str, folded: str | None = None) -> list[Sta
         return lambda r: f"({r(some_digit)} AND {condition.replace('@', r(target))})"
 
     return [
-        lambda r: {target: r(source), some_digit: f"{r(source)} RLIKE {digit}", **({} if folded else {low: fold(r(source))})},
+        lambda r: {target: r(source), some_digit: f"{r(source)} RLIKE {digit}", low: fold(r(source))},
         _substitution(target, rules.MASK_OBJECTS, lambda r: f"contains({r(target)}, '@')"),
         _substitution(target, rules.MASK_PREFIX, lambda r: f"contains({r(low)}, 'rejei')"),
         _substitution(target, rules.MASK_DATES, number("(contains(@, '/') OR contains(@, '-'))")),
@@ -118,8 +172,7 @@ def mask_stages(source: str, target: str, folded: str | None = None) -> list[Sta
         _substitution(target, rules.MASK_PROTOCOL, word(rules.MASK_PROTOCOL)),
         _substitution(target, rules.MASK_AMOUNTS, number("(contains(@, ',') OR contains(@, '.'))")),
         _substitution(target, rules.MASK_LISTS, lambda r: f"contains({r(target)}, '}}')"),
-        # A run that is one blank already is not touched.
-        lambda r: {target: f"trim(regexp_replace({r(target)}, {text(java_regex(f'(?: {ANY_SPACE}|(?! ){ANY_SPACE}){ANY_SPACE}*'))}, ' '))"},
+        lambda r: {target: f"trim(regexp_replace({r(target)}, {text(_BLANKS)}, ' '))"},
     ]
 
 

@@ -4,14 +4,18 @@ Messages, their classification, the worst result and the entities stay in the pa
 ``dim_log`` and the two fact tables are projections of this nested table.
 
 Messages are classified as rows of their own, in plain columns and generated code, however many a log
-has. They find together again by the log's row; where the logs were dealt out by that row (``spread``) or by
-ranges of the log's columns, nothing moves for it.
+has. The rows of a log stay side by side, so they find together again without a key that is hashed or sorted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from returnlens.functions import rules
 from returnlens.functions.classify import (
@@ -23,6 +27,7 @@ from returnlens.functions.classify import (
     worst_result,
 )
 from returnlens.functions.entities import entity_rows, found_stage, matches_stage
+from returnlens.functions.marks import FIELDS, FOLDED
 from returnlens.functions.payload import extract_protocol, pair_messages, parse_payload
 from returnlens.functions.sqltext import Ref, Stage, run_on_table, struct, text, text_list
 from returnlens.operators.canonical import ROW
@@ -80,6 +85,45 @@ def _rejection(r: Ref) -> str:
     )
 
 
+def _gathered(row: str, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a log, which stand side by side, as one: ``columns`` of the first, the largest ``grau`` and the rejections
+    that are not null, in their order. A log may go on from batch to batch."""
+
+    def one_row_each(pieces: list) -> pa.RecordBatch:
+        table = pa.Table.from_batches(pieces).combine_chunks()
+        at = table[row].to_numpy()
+        first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        worst = np.maximum.reduceat(table["grau"].fill_null(-1).to_numpy(), first)
+        kept = table["rejeicao"].is_valid()
+        ends = np.cumsum(np.add.reduceat(kept.to_numpy().astype(np.int32), first), dtype=np.int32)
+        rejections = table["rejeicao"].filter(kept).combine_chunks()
+        if isinstance(rejections, pa.ChunkedArray):
+            rejections = rejections.chunk(0) if rejections.num_chunks else pa.array([], rejections.type)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int32), ends))), rejections)
+        heads = table.select(columns).take(pa.array(first)).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([*heads.columns, pa.array(worst, pa.int32(), mask=worst < 0), lists], [*columns, "grau", "rejeicoes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column(row).to_numpy()
+            starts = np.flatnonzero(at[1:] != at[:-1]) + 1
+            if len(starts):
+                yield one_row_each([*held, batch.slice(0, starts[-1])])
+                held = [batch.slice(starts[-1])]
+            elif held and held[0].column(row)[0].as_py() != at[0]:
+                yield one_row_each(held)
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield one_row_each(held)
+
+    return run
+
+
 def classify_logs(canonical: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """Nested silver table: one row per log, the ``dim_log`` columns and ``rejeicoes``.
 
@@ -87,7 +131,6 @@ def classify_logs(canonical: DataFrame, keep_columns: tuple[str, ...] = ()) -> D
     numbers the rows is used as it is; else they are numbered here. Rows that repeat stay apart.
     """
     row = ROW if ROW in canonical.columns else f"monotonically_increasing_id() AS {ROW}"
-    # The columns that the logs may be laid out by are all among the keys.
     carried = ["log_id", "contratante", "funcionalidade", "cod_protocolo", *keep_columns]
     log = [ROW, "protocolo", "data_evento", *carried]
     df = canonical.selectExpr(
@@ -96,18 +139,19 @@ def classify_logs(canonical: DataFrame, keep_columns: tuple[str, ...] = ()) -> D
     df = df.selectExpr(*log, f"{pair_messages('payload')} AS pares")
     # A log without messages keeps one row, whose position is null.
     df = run_on_table(df.selectExpr(*log, "inline_outer(pares)"), classification_stages())
-    df = df.selectExpr(*log, "pos", "mensagem", "codigo", "limpa", "dobrada", "mascara", "mascara_digito", "semantica", "rotulo", "resultado_operacional",
+    df = df.selectExpr(*log, "pos", "mensagem", "codigo", "limpa", "mascara", *(FOLDED + f for f in FIELDS), "semantica", "rotulo", "resultado_operacional",
                        "tipo_erro_tecnico", "severidade",
                        f"pos IS NOT NULL AND resultado_operacional IN ({text_list(rules.REJECTION_RESULTS)}) AS rejeitada")
     *first, last = _rejection_stages()
     df = run_on_table(df, first)
-    rejection = struct(pos="pos", rejeicao=last(lambda name: name)["rejeicao"])
+    rejection = last(lambda name: name)["rejeicao"]
     df = df.selectExpr(*log, f"if(pos IS NULL, NULL, {result_rank('resultado_operacional')}) AS grau",
                        f"if(rejeitada, {rejection}, NULL) AS rejeicao")
-    df = df.groupBy(*log).agg(F.expr(f"{worst_result('max(grau)')} AS resultado_operacional"),
-                              F.expr("array_sort(collect_list(rejeicao)) AS rejeicoes"))
+    kinds = df.schema
+    gathered = T.StructType([*(kinds[name] for name in log), kinds["grau"], T.StructField("rejeicoes", T.ArrayType(kinds["rejeicao"].dataType, False))])
+    df = df.mapInArrow(_gathered(ROW, log), gathered).selectExpr(*log, "rejeicoes", f"{worst_result('grau')} AS resultado_operacional")
     return df.selectExpr(*DIM_COLUMNS[:-2], f"{general_status('resultado_operacional')} AS status_geral",
-                         "resultado_operacional", "transform(rejeicoes, p -> p.rejeicao) AS rejeicoes", *keep_columns)
+                         "resultado_operacional", "rejeicoes", *keep_columns)
 
 
 def dim_log(silver: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
